@@ -36,6 +36,7 @@ from . import common as C
 ROLL_BYTES = 64 << 20
 GAP, SPAN = 64 << 10, 8 << 20
 LEVEL = 3
+MOST_READERS = 20_000
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, payload_bytes long, record_type string, refers_to long"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -176,8 +177,13 @@ def _read(folder: str):  # noqa: ANN202
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
-    """The records that *index* rows (file, offset, length; filtered as wanted) point at."""
-    dealt = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    """The records that *index* rows (file, offset, length; filtered as wanted) point at.
+
+    Index rows are small beside what they point at, so their number of partitions is set by the
+    files and not left to be coalesced.
+    """
+    files = index.agg(F.count_distinct("file")).first()[0]
+    dealt = index.select("file", "offset", "length").repartition(min(max(files, 1), MOST_READERS), "file").sortWithinPartitions("file", "offset")
     return dealt.mapInArrow(_read(folder), RESULT)
 
 
