@@ -10,7 +10,7 @@ from .decontam import without
 from .langid import fit, predicted
 from .near_dup import near_duplicates
 
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
