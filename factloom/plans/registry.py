@@ -5,11 +5,658 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from factloom.functions import scalar as X
+from factloom.operators import deploy, edges, graph, knowledge, search, services, survey, text
+from factloom.plans.bridge import SQL, Facts
+from factloom.streaming import dirty
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, plain: bool = False):  # noqa: ANN201
+    """Register a query over the bridge facts; *sql* follows the shared views unless it is *plain*."""
+
+    def add(make: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
+        _QUERIES[name] = lambda spark, sf_dir: make(Facts(spark, sf_dir))
+        if sql:
+            _ORACLES[name] = sql if plain else SQL + sql
+        return make
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+# -- relations --------------------------------------------------------------------------------
+
+
+@query("call_edges", "SELECT * FROM calls")
+def _(f: Facts) -> DataFrame:
+    return edges.call_edges(f.occurrences, f.symbols)
+
+
+@query("binder_edges", "SELECT * FROM binders")
+def _(f: Facts) -> DataFrame:
+    return edges.binder_edges(f.occurrences, f.symbols)
+
+
+@query("member_edges", "SELECT * FROM memb")
+def _(f: Facts) -> DataFrame:
+    return edges.member_edges(f.symbols)
+
+
+@query("definition_pick", "SELECT symbol_id, def_file_id, def_line, def_col_start, def_generated, def_end_line FROM defs WHERE rn = 1")
+def _(f: Facts) -> DataFrame:
+    return edges.definition_pick(f.occurrences, f.files)
+
+
+_DUPLICATES = ", dup AS (SELECT * FROM occ UNION ALL SELECT file_id, symbol_id, line, col_start, role, NULL FROM occ WHERE symbol_id % 10 = 0)"
+
+
+@query("dedupe_occurrences", _DUPLICATES + " SELECT symbol_id, file_id, line, col_start, role, min(enc_end) AS enc_end FROM dup GROUP BY ALL")
+def _(f: Facts) -> DataFrame:
+    again = f.occurrences.where("symbol_id % 10 = 0").withColumn("enc_end", F.lit(None).cast("bigint"))
+    return edges.dedupe_occurrences(f.occurrences.unionAll(again))
+
+
+@query("ref_counts", "SELECT * FROM refc")
+def _(f: Facts) -> DataFrame:
+    return edges.ref_counts(f.occurrences)
+
+
+@query("enclosing_type", "SELECT id, type_id FROM owner WHERE type_id IS NOT NULL")
+def _(f: Facts) -> DataFrame:
+    return edges.enclosing_type(f.symbols)
+
+
+@query("symbol_handles")
+def _(f: Facts) -> DataFrame:
+    codes = f.symbols.select(F.col("id").alias("symbol_id"), X.handle_text(X.symbol_hash(F.col("id").cast("string"))).alias("code"))
+    return edges.handles(codes)
+
+
+# -- search and usage ---------------------------------------------------------------------------
+
+_SHOWN = "id, name, kind, ref_count"
+_ORDER = "name = '{0}' DESC, name ILIKE '{0}%' DESC, def_generated, def_file_id IS NULL, length(name), ref_count DESC, id"
+
+
+@query("symbol_search", f"SELECT {_SHOWN} FROM symbols WHERE name ILIKE '%ring%' ORDER BY {_ORDER.format('ring')} LIMIT 50")
+def _(f: Facts) -> DataFrame:
+    return search.symbol_search(f.symbols, "ring", 50).select("id", "name", "kind", "ref_count")
+
+
+@query("symbols_named", f"SELECT * FROM (SELECT {_SHOWN} FROM symbols WHERE name ILIKE '%red widget%' ORDER BY {_ORDER.format('red widget')} LIMIT 200) WHERE name = 'red widget'")
+def _(f: Facts) -> DataFrame:
+    return search.symbols_named(f.symbols, "red widget").select("id", "name", "kind", "ref_count")
+
+
+@query("path_scope", "SELECT id, path FROM files WHERE path ILIKE 'asia/nation_1%'")
+def _(f: Facts) -> DataFrame:
+    return f.files.where(search.under("asia/nation_1/")).select("id", "path")
+
+
+@query(
+    "refs_enclosing",
+    """SELECT o.symbol_id, f.path, o.line, o.col_start, o.role, f.generated,
+      (SELECT first(s.name ORDER BY s.def_end_line - s.def_line, s.id) FROM symbols s WHERE s.def_file_id = o.file_id AND s.def_end_line IS NOT NULL AND o.line BETWEEN s.def_line AND s.def_end_line) AS enclosing
+    FROM occ o JOIN files f ON f.id = o.file_id WHERE o.role & 1 = 0 AND NOT f.generated""",
+)
+def _(f: Facts) -> DataFrame:
+    return search.references(f.occurrences, f.symbols, f.files)
+
+
+@query("refs_suppressed", "SELECT symbol_id, count(*) FILTER (NOT generated) AS shown, count(*) FILTER (generated) AS generated FROM occ JOIN files ON files.id = file_id WHERE role & 1 = 0 GROUP BY symbol_id")
+def _(f: Facts) -> DataFrame:
+    return search.suppressed(f.occurrences, f.files)
+
+
+_USAGE = "SELECT symbol_id, path, is_test, count(*) AS uses FROM occ JOIN files ON files.id = file_id WHERE role & 1 = 0 AND NOT generated GROUP BY ALL"
+
+
+@query("usage_by_file", _USAGE)
+def _(f: Facts) -> DataFrame:
+    return search.usage_by_file(f.occurrences, f.files)
+
+
+@query("usage_in_tests", f"SELECT symbol_id, CAST(sum(uses) AS BIGINT) AS uses, count(*) AS files FROM ({_USAGE}) WHERE is_test GROUP BY symbol_id")
+def _(f: Facts) -> DataFrame:
+    return search.usage_in_tests(f.occurrences, f.files)
+
+
+@query("unattributed_refs", "SELECT id, greatest(ref_count - coalesce(n, 0), 0) AS unattributed FROM symbols LEFT JOIN (SELECT dst, count(*) AS n FROM edges WHERE kind = 0 GROUP BY dst) ON dst = id")
+def _(f: Facts) -> DataFrame:
+    return search.unattributed(f.symbols, f.edges)
+
+
+@query(
+    "tree_search_context",
+    """, hits AS (SELECT * FROM doclines WHERE contains(lower(text), 'idiot'))
+    SELECT h.path, h.line, h.text,
+      coalesce((SELECT string_agg(x.text, chr(10) ORDER BY x.line) FROM doclines x WHERE x.doc_id = h.doc_id AND x.line BETWEEN h.line - 2 AND h.line - 1), '') AS before,
+      coalesce((SELECT string_agg(x.text, chr(10) ORDER BY x.line) FROM doclines x WHERE x.doc_id = h.doc_id AND x.line BETWEEN h.line + 1 AND h.line + 2), '') AS after
+    FROM hits h""",
+)
+def _(f: Facts) -> DataFrame:
+    return search.tree_search(f.lines.select("path", "line", "text"), "idiot")
+
+
+@query("residue", "SELECT path, line FROM doclines WHERE contains(lower(text), 'idiot') AND (doc_id, line) NOT IN (SELECT doc_id, line FROM doclines WHERE contains(lower(text), 'clown'))")
+def _(f: Facts) -> DataFrame:
+    low = f.lines.select("path", "line", F.lower("text").alias("t"))
+    return search.residue(low.where(F.col("t").contains("idiot")).select("path", "line"), low.where(F.col("t").contains("clown")))
+
+
+@query(
+    "budget_prefix",
+    """SELECT file_id, symbol_id, uses, CAST(spent AS BIGINT) AS spent FROM (
+      SELECT file_id, symbol_id, uses, ceil(sum(length(CAST(symbol_id AS VARCHAR)) + 20 + 1) OVER w / 3.7) AS spent, row_number() OVER w AS rn
+      FROM (SELECT file_id, symbol_id, count(*) AS uses FROM occ WHERE role & 1 = 0 GROUP BY ALL) WINDOW w AS (PARTITION BY file_id ORDER BY uses DESC, symbol_id ROWS UNBOUNDED PRECEDING)) WHERE spent <= 100 OR rn = 1""",
+)
+def _(f: Facts) -> DataFrame:
+    rows = f.occurrences.where(F.col("role").bitwiseAND(1) == 0).groupBy("file_id", "symbol_id").agg(F.count("*").alias("uses"))
+    rows = rows.withColumn("chars", F.length(F.col("symbol_id").cast("string")) + 20)
+    return search.within_budget(rows, [F.desc("uses"), F.asc("symbol_id")], "chars", 100, "file_id").select("file_id", "symbol_id", "uses", "spent")
+
+
+# -- survey -------------------------------------------------------------------------------------
+
+
+@query(
+    "unreached",
+    """SELECT s.id, f.path, coalesce(c.test_callers, 0) AS test_callers,
+      (SELECT count(*) FROM occ o JOIN files rf ON rf.id = o.file_id WHERE o.symbol_id = s.id AND o.role & 1 = 0 AND NOT rf.is_test AND NOT rf.generated) AS prod_refs, s.ref_count
+    FROM symbols s JOIN files f ON f.id = s.def_file_id LEFT JOIN callers c ON c.id = s.id
+    WHERE NOT f.generated AND NOT f.is_test AND s.kind IN (1, 3) AND s.name NOT IN ('__init__', '__new__') AND coalesce(c.prod_callers, 0) = 0 AND s.id NOT IN (SELECT id FROM dispatched)""",
+)
+def _(f: Facts) -> DataFrame:
+    return survey.unreached(f.symbols, f.files, f.edges, f.occurrences, f.links)
+
+
+@query(
+    "outline",
+    """SELECT s.id, f.path, s.def_line, coalesce(c.callers, 0) AS callers, coalesce(c.prod_callers, 0) AS prod_callers, s.id IN (SELECT id FROM dispatched) AS dispatched
+    FROM symbols s JOIN files f ON f.id = s.def_file_id LEFT JOIN callers c ON c.id = s.id WHERE NOT f.generated AND s.kind IN (1, 3) AND f.path ILIKE 'asia%'""",
+)
+def _(f: Facts) -> DataFrame:
+    return survey.outline(f.symbols, f.files, f.edges, f.links, "ASIA")
+
+
+@query("ambiguous_defs", "SELECT symbol_id, count(DISTINCT file_id) AS files FROM occ WHERE role & 1 = 1 GROUP BY symbol_id HAVING count(DISTINCT file_id) > 1")
+def _(f: Facts) -> DataFrame:
+    return survey.ambiguous(f.occurrences)
+
+
+@query(
+    "verify_counts",
+    """SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE generated) AS generated_files, (SELECT count(*) FROM files WHERE is_test) AS test_files,
+      (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM symbols WHERE def_file_id IS NULL) AS undefined, (SELECT count(*) FROM symbols WHERE ref_count = 0) AS unreferenced,
+      (SELECT count(*) FROM symbols WHERE def_end_line IS NULL) AS bodiless, (SELECT count(*) FROM occ) AS occurrences, (SELECT count(*) FROM occ WHERE role & 1 = 1) AS definitions,
+      (SELECT count(*) FROM occ WHERE role & 2 = 2) AS imports, (SELECT count(*) FROM edges WHERE kind = 0) AS calls, (SELECT count(*) FROM edges WHERE kind = 4) AS members""",
+)
+def _(f: Facts) -> DataFrame:
+    return survey.verify_counts(f.files, f.symbols, f.occurrences, f.edges)
+
+
+# -- walks --------------------------------------------------------------------------------------
+
+
+@query(
+    "neighbours_topk",
+    """SELECT parent, other, rank, total FROM (SELECT dst AS parent, src AS other, row_number() OVER (PARTITION BY dst ORDER BY src) AS rank, count(*) OVER (PARTITION BY dst) AS total
+      FROM (SELECT DISTINCT d.src, d.dst FROM dense d JOIN symbols s ON s.id = d.src)) WHERE rank <= 8""",
+)
+def _(f: Facts) -> DataFrame:
+    return graph.neighbours(f.part_edges, f.symbols, f.files, fanout=8).select("parent", "other", "rank", "total")
+
+
+_FILTERED = """SELECT e.src AS parent, e.dst AS other, max(e.line) AS line FROM edges e JOIN symbols o ON o.id = e.dst JOIN files f ON f.id = o.def_file_id
+    WHERE e.kind = 0 AND o.kind NOT IN (4, 5, 6, 7) AND NOT f.generated GROUP BY e.src, e.dst"""
+
+
+@query("walk_calls_filtered", _FILTERED)
+def _(f: Facts) -> DataFrame:
+    return graph.neighbours(f.edges, f.symbols, f.files, outward=True).select("parent", "other", "line")
+
+
+_NEAR = """, near AS MATERIALIZED (SELECT parent, other, rank, total FROM (SELECT dst AS parent, src AS other, row_number() OVER (PARTITION BY dst ORDER BY src) AS rank, count(*) OVER (PARTITION BY dst) AS total
+      FROM (SELECT DISTINCT d.src, d.dst FROM dense d JOIN symbols s ON s.id = d.src)) WHERE rank <= 4),
+  l0 AS MATERIALIZED (SELECT id AS root, id AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, CAST(1 AS BIGINT) AS pos FROM symbols WHERE id % 100 = 0),
+  c1 AS (SELECT a.root, n.other AS node, 1 AS depth, a.node AS parent, a.pos AS before, n.rank FROM l0 a JOIN near n ON n.parent = a.node),
+  l1 AS MATERIALIZED (SELECT root, node, depth, parent, row_number() OVER (PARTITION BY root ORDER BY before, rank) AS pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY before, rank) AS k FROM c1) WHERE k = 1 AND (root, node) NOT IN (SELECT root, node FROM l0)),
+  c2 AS (SELECT a.root, n.other AS node, 2 AS depth, a.node AS parent, a.pos AS before, n.rank FROM l1 a JOIN near n ON n.parent = a.node),
+  l2 AS MATERIALIZED (SELECT root, node, depth, parent, row_number() OVER (PARTITION BY root ORDER BY before, rank) AS pos
+    FROM (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY before, rank) AS k FROM c2) WHERE k = 1 AND (root, node) NOT IN (SELECT root, node FROM l0 UNION ALL SELECT root, node FROM l1)),
+  nodes AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)"""
+
+
+def _walked(f: Facts) -> tuple[DataFrame, DataFrame]:
+    near = graph.neighbours(f.part_edges, f.symbols, f.files, fanout=4)
+    return graph.walk(f.symbols.where("id % 100 = 0").select(F.col("id").alias("root")), near, 2), near
+
+
+@query("walk_callers_d2", _NEAR + " SELECT root, node, depth, parent, pos FROM nodes")
+def _(f: Facts) -> DataFrame:
+    return _walked(f)[0]
+
+
+@query(
+    "walk_counts",
+    _NEAR
+    + """ SELECT n.root, count(DISTINCT n.node) AS nodes, coalesce(any_value(x.listed), 0) - count(DISTINCT n.node) + 1 AS revisited, coalesce(any_value(x.total), 0) - count(DISTINCT n.node) + 1 AS truncated
+    FROM nodes n LEFT JOIN (SELECT a.root, CAST(sum(z.listed) AS BIGINT) AS listed, CAST(sum(z.total) AS BIGINT) AS total FROM nodes a
+      JOIN (SELECT parent, count(*) AS listed, max(total) AS total FROM near GROUP BY parent) z ON z.parent = a.node WHERE a.depth < 2 GROUP BY a.root) x ON x.root = n.root GROUP BY n.root""",
+)
+def _(f: Facts) -> DataFrame:
+    nodes, near = _walked(f)
+    return graph.walk_counts(nodes, near, 2)
+
+
+@query(
+    "call_path_len",
+    """, path AS (SELECT id AS root, id AS node, 0 AS depth FROM symbols WHERE id % 250 = 0
+      UNION SELECT p.root, e.dst, p.depth + 1 FROM path p JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 0) e ON e.src = p.node WHERE p.depth < 8)
+    SELECT root, node, min(depth) AS depth FROM path GROUP BY root, node""",
+)
+def _(f: Facts) -> DataFrame:
+    roots = f.symbols.where("id % 250 = 0").select(F.col("id").alias("root"), F.col("id").alias("node"))
+    return graph.distances(roots, f.edges.where("kind = 0"), 8)
+
+
+@query(
+    "tests_reaching",
+    """, tests AS (SELECT s.id FROM symbols s JOIN files f ON f.id = s.def_file_id WHERE f.is_test), ce AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 0),
+    inner_ AS (SELECT id AS root, id AS node, 0 AS depth FROM symbols WHERE id % 20 = 0
+      UNION SELECT p.root, e.src, p.depth + 1 FROM inner_ p JOIN ce e ON e.dst = p.node WHERE p.depth < 2 AND e.src NOT IN (SELECT id FROM tests))
+    SELECT p.root, e.src AS test_id, min(p.depth) + 1 AS depth FROM inner_ p JOIN ce e ON e.dst = p.node JOIN tests t ON t.id = e.src WHERE e.src <> p.root GROUP BY p.root, e.src""",
+)
+def _(f: Facts) -> DataFrame:
+    return graph.tests_reaching(f.symbols.where("id % 20 = 0").select(F.col("id").alias("root")), f.edges, f.symbols, f.files, 3)
+
+
+# -- deployment ---------------------------------------------------------------------------------
+
+_SEEDS = """, seeds AS MATERIALIZED (SELECT e.service, s.id AS node FROM entries e JOIN symbols s ON s.def_file_id = e.entry_file
+    UNION SELECT e.service, o.symbol_id FROM entries e JOIN occ o ON o.file_id = e.entry_file WHERE o.role & 1 = 0
+      AND NOT EXISTS (SELECT 1 FROM bodies b WHERE b.def_file_id = o.file_id AND o.line BETWEEN b.def_line AND b.def_end_line))"""
+_REACH = (
+    _SEEDS
+    + """, steps AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE kind IN (0, 4)),
+    reached AS (SELECT service, node AS symbol_id FROM seeds UNION SELECT r.service, e.dst FROM reached r JOIN steps e ON e.src = r.symbol_id)"""
+)
+
+
+def _reached(f: Facts) -> DataFrame:
+    return deploy.reach(deploy.seeds(f.entries, f.symbols, f.occurrences), f.edges, 40)
+
+
+@query("seed_union", _SEEDS + " SELECT service, node FROM seeds")
+def _(f: Facts) -> DataFrame:
+    return deploy.seeds(f.entries, f.symbols, f.occurrences)
+
+
+@query("reach_closure", _REACH + " SELECT service, symbol_id FROM reached")
+def _(f: Facts) -> DataFrame:
+    return _reached(f)
+
+
+@query("services_reaching", _REACH + " SELECT symbol_id, count(*) AS services FROM reached GROUP BY symbol_id")
+def _(f: Facts) -> DataFrame:
+    return _reached(f).groupBy("symbol_id").agg(F.count("*").alias("services"))
+
+
+@query(
+    "runs_attributed",
+    _REACH
+    + """, direct AS (SELECT DISTINCT r.symbol_id AS id, r.service FROM reached r JOIN symbols s ON s.id = r.symbol_id),
+    bytype AS (SELECT DISTINCT o.id, d.service FROM owner o JOIN direct d ON d.id = o.type_id WHERE o.id NOT IN (SELECT id FROM direct)),
+    ranked AS (SELECT def_file_id, id, row_number() OVER (PARTITION BY def_file_id ORDER BY ref_count DESC, id) AS rk FROM symbols WHERE def_file_id IS NOT NULL),
+    hit AS (SELECT def_file_id, first(id ORDER BY rk) AS hit FROM ranked WHERE rk <= 40 AND id IN (SELECT id FROM direct) GROUP BY def_file_id)
+    SELECT id, service, 'direct' AS via FROM direct UNION ALL SELECT id, service, 'type' FROM bytype
+    UNION ALL SELECT DISTINCT s.id, d.service, 'file' FROM symbols s JOIN hit h ON h.def_file_id = s.def_file_id JOIN direct d ON d.id = h.hit
+      WHERE s.id NOT IN (SELECT id FROM direct) AND s.id NOT IN (SELECT id FROM bytype)""",
+)
+def _(f: Facts) -> DataFrame:
+    return deploy.runs(_reached(f), f.symbols)
+
+
+def _deployed(f: Facts) -> tuple[DataFrame, DataFrame]:
+    start = f.services.select("name", F.when(F.col("id") % 3 == 0, F.col("id")).alias("entry_file"), F.concat(F.lit("run "), F.col("name")).alias("command"))
+    runs = f.services.where("id % 4 = 1").select(F.col("name").alias("service"), F.when(F.col("id") % 8 == 1, F.col("id")).alias("entry_file"), F.lit("job").alias("command"), F.lit("0 3 * * *").alias("schedule"))
+    return start, runs
+
+
+@query(
+    "entrypoints_union",
+    """SELECT name AS service, CASE WHEN id % 3 = 0 THEN id END AS entry_file, 'run ' || name AS command, NULL AS schedule FROM services
+    UNION ALL SELECT name || ' (0 3 * * *)', CASE WHEN id % 8 = 1 THEN id END, 'job', '0 3 * * *' FROM services WHERE id % 4 = 1""",
+)
+def _(f: Facts) -> DataFrame:
+    return deploy.entry_points(*_deployed(f))
+
+
+@query("services_blind", "SELECT DISTINCT name FROM services WHERE id % 3 <> 0 AND name NOT IN (SELECT name FROM services WHERE id % 8 = 1)")
+def _(f: Facts) -> DataFrame:
+    return deploy.blind(*_deployed(f))
+
+
+@query(
+    "entry_file_by_path",
+    """SELECT key, file_id FROM (SELECT n_nationkey AS key, f.id AS file_id, row_number() OVER (PARTITION BY n_nationkey ORDER BY f.path <> h.hint, length(f.path), f.path) AS rn
+    FROM (SELECT n_nationkey, r_name || '/' || n_name AS hint FROM nation JOIN region ON r_regionkey = n_regionkey) h JOIN files f ON starts_with(f.path, h.hint)) WHERE rn = 1""",
+)
+def _(f: Facts) -> DataFrame:
+    hints = f.table("nation").join(f.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("key"), F.concat_ws("/", "r_name", "n_name").alias("hint"))
+    return deploy.entry_file(hints, f.files)
+
+
+# -- services -----------------------------------------------------------------------------------
+
+
+@query("cross_callers", "SELECT DISTINCT a.symbol_id, a.service_id, b.symbol_id AS caller_id FROM links a JOIN links b ON b.service_id = a.service_id AND b.role = 1 WHERE a.role = 0 AND a.symbol_id <> b.symbol_id")
+def _(f: Facts) -> DataFrame:
+    return services.cross_callers(f.links)
+
+
+@query("handler_members", "SELECT DISTINCT l.service_id, l.symbol_id AS type_id, m.dst AS method_id FROM links l JOIN memb m ON m.src = l.symbol_id WHERE l.role = 0")
+def _(f: Facts) -> DataFrame:
+    return services.handler_members(f.links, f.symbols)
+
+
+@query("rpc_callers", "SELECT * FROM wire")
+def _(f: Facts) -> DataFrame:
+    return services.rpc_callers(f.links, f.symbols, f.files, f.edges)
+
+
+_TARGETS = """SELECT DISTINCT w.caller_id, w.service_id, w.rpc, m.dst AS method_id FROM wirecalls w JOIN links l ON l.service_id = w.service_id AND l.role = 0
+    JOIN memb m ON m.src = l.symbol_id JOIN symbols h ON h.id = m.dst AND replace(lower(h.name), '_', '') = w.key JOIN files f ON f.id = h.def_file_id AND NOT f.generated
+    JOIN symbols c ON c.id = w.caller_id WHERE c.id <> h.id AND c.def_file_id <> h.def_file_id"""
+
+
+@query("rpc_targets", _TARGETS)
+def _(f: Facts) -> DataFrame:
+    return services.rpc_targets(f.links, f.symbols, f.files, f.edges)
+
+
+@query(
+    "rpc_targets_left",
+    """, raw AS (SELECT mine.symbol_id, mine.service_id, hm.id AS method_id, replace(lower(hm.name), '_', '') AS hk, replace(lower(rpc.name), '_', '') AS rk, me.lang AS here, hm.lang AS there
+      FROM links mine JOIN symbols me ON me.id = mine.symbol_id JOIN links theirs ON theirs.service_id = mine.service_id AND theirs.role = 0
+      JOIN memb x ON x.src = theirs.symbol_id JOIN symbols hm ON hm.id = x.dst JOIN files hf ON hf.id = hm.def_file_id AND NOT hf.generated
+      LEFT JOIN links client ON client.service_id = mine.service_id AND client.role = 1 AND client.via_symbol IS NOT NULL
+      LEFT JOIN memb y ON y.src = client.via_symbol LEFT JOIN symbols rpc ON rpc.id = y.dst WHERE mine.role = 1),
+    kept AS (SELECT symbol_id, service_id, method_id, any_value(here) AS here, any_value(there) AS there, bool_or(coalesce(rk = hk, false)) AS checked, bool_or(rk IS NULL) AS bare FROM raw GROUP BY ALL)
+    SELECT symbol_id, service_id, method_id, checked FROM kept WHERE symbol_id <> method_id AND here <> there AND (checked OR bare)""",
+)
+def _(f: Facts) -> DataFrame:
+    return services.rpc_targets_by_binding(f.links, f.symbols, f.files)
+
+
+@query("services_called", "SELECT DISTINCT l.symbol_id, s.pkg || '.' || s.name AS service FROM links l JOIN services s ON s.id = l.service_id WHERE l.role = 1")
+def _(f: Facts) -> DataFrame:
+    return services.services_called(f.links, f.services)
+
+
+@query("service_pivot", "SELECT s.id AS service_id, count(*) FILTER (l.role = 0) AS serves, count(*) FILTER (l.role = 1) AS calls FROM services s LEFT JOIN links l ON l.service_id = s.id GROUP BY s.id")
+def _(f: Facts) -> DataFrame:
+    return services.service_pivot(f.links, f.services)
+
+
+def _inward(n: int) -> str:
+    """One hop: the closure over production callers, the calls that meet it, those not met before."""
+    front = "SELECT id AS root, id AS node FROM symbols WHERE id % 10 = 0" if n == 1 else f"SELECT DISTINCT root, caller_id AS node FROM h{n - 1}"
+    before = "" if n == 1 else " AND (c.root, w.caller_id) NOT IN (" + " UNION ALL ".join(f"SELECT root, caller_id FROM h{i}" for i in range(1, n)) + ")"
+    return f""", n{n} AS (({front}) UNION SELECT c.root, e.src FROM n{n} c JOIN inward e ON e.dst = c.node),
+    h{n} AS MATERIALIZED (SELECT DISTINCT c.root, {n} AS hop, w.method_id, w.service_id, w.rpc, w.caller_id FROM n{n} c JOIN wire w ON w.method_id = c.node WHERE true{before})"""
+
+
+_HOPS = ", inward AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE kind = 0 AND src NOT IN (SELECT s.id FROM symbols s JOIN files f ON f.id = s.def_file_id WHERE f.is_test))" + _inward(1) + _inward(2)
+
+
+@query("affects_hops", _HOPS + " SELECT * FROM h1 UNION ALL SELECT * FROM h2")
+def _(f: Facts) -> DataFrame:
+    roots = f.symbols.where("id % 10 = 0").select(F.col("id").alias("root"))
+    return services.affects_hops(roots, f.links, f.symbols, f.files, f.edges, depth=40, hops=2)
+
+
+@query("affects_sites", _HOPS + " SELECT root, service_id, count(DISTINCT caller_id) AS sites, string_agg(DISTINCT rpc, ',' ORDER BY rpc) AS rpcs FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY root, service_id")
+def _(f: Facts) -> DataFrame:
+    roots = f.symbols.where("id % 10 = 0").select(F.col("id").alias("root"))
+    hops = services.affects_hops(roots, f.links, f.symbols, f.files, f.edges, depth=40, hops=2)
+    return hops.groupBy("root", "service_id").agg(F.count_distinct("caller_id").alias("sites"), F.array_join(F.array_sort(F.collect_set("rpc")), ",").alias("rpcs"))
+
+
+@query("rpc_chain")
+def _(f: Facts) -> DataFrame:
+    return services.rpc_chain(f.symbols.where("id % 10 = 0").select(F.col("id").alias("root")), f.links, f.symbols, f.files, f.edges)
+
+
+@query("link_services")
+def _(f: Facts) -> DataFrame:
+    named = f.symbols.withColumn("name", F.when(F.col("kind") == 1, F.concat(F.regexp_replace("name", "[#]", ""), F.when(F.col("id") % 2 == 0, "ServiceServer").otherwise("ServiceClient"))).otherwise(F.col("name")))
+    made = f.files.withColumn("generated", F.col("id") % 3 == 0)
+    return services.link_services(named, made, f.occurrences, f.edges)
+
+
+_STEMS = "(SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'Register' || b || 'ServiceServer' WHEN 1 THEN 'New' || b || 'ServiceClient' WHEN 2 THEN lower(b) || 'ServiceStub' WHEN 3 THEN b || 'Service_GetClient' WHEN 4 THEN b || 'Client' ELSE 'Unimplemented' || b || 'ServiceBase' END AS name, b, p_partkey % 6 AS k FROM (SELECT p_partkey, replace(p_brand, '#', '') AS b FROM part))"
+
+
+@query(
+    "classify_names",
+    f"SELECT id, name, CASE WHEN k = 4 THEN NULL ELSE b || 'Service' END AS service, CASE k WHEN 0 THEN 0 WHEN 5 THEN 0 WHEN 4 THEN NULL ELSE 1 END AS role FROM {_STEMS}",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    b, k = F.replace("p_brand", F.lit("#"), F.lit("")), F.col("p_partkey") % 6
+    name = (
+        F.when(k == 0, F.concat(F.lit("Register"), b, F.lit("ServiceServer")))
+        .when(k == 1, F.concat(F.lit("New"), b, F.lit("ServiceClient")))
+        .when(k == 2, F.concat(F.lower(b), F.lit("ServiceStub")))
+        .when(k == 3, F.concat(b, F.lit("Service_GetClient")))
+        .when(k == 4, F.concat(b, F.lit("Client")))
+        .otherwise(F.concat(F.lit("Unimplemented"), b, F.lit("ServiceBase")))
+    )
+    rows = f.table("part").select(F.col("p_partkey").alias("id"), name.alias("name")).withColumn("said", X.classify(F.col("name")))
+    return rows.select("id", "name", F.col("said.service").alias("service"), F.col("said.role").alias("role"))
+
+
+@query("same_rpc", "SELECT c_custkey AS id, replace(lower(replace(c_name, '#', '_')), '_', '') AS key FROM customer", plain=True)
+def _(f: Facts) -> DataFrame:
+    return f.table("customer").select(F.col("c_custkey").alias("id"), X.same_rpc(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("key"))
+
+
+# -- text ---------------------------------------------------------------------------------------
+
+
+_NAMES = ", names AS (SELECT name, min(id) AS id FROM symbols WHERE kind IN (1, 3) AND length(name) >= 4 AND (strlen(name) >= 12 OR contains(name, '_') OR regexp_matches(substr(name, 2), '\\p{Lu}')) GROUP BY name HAVING count(*) <= 8)"
+
+
+@query("weak_names", _NAMES + " SELECT name, id FROM names")
+def _(f: Facts) -> DataFrame:
+    return text.weak_names(f.symbols)
+
+
+@query(
+    "weak_links",
+    _NAMES
+    + """, hit AS (SELECT l.text, l.file_id, l.line, coalesce(a.id, b.id) AS dst FROM (SELECT DISTINCT * FROM lits) l LEFT JOIN names a ON a.name = l.text LEFT JOIN names b ON b.name = regexp_extract(l.text, '[^./:]*$') WHERE coalesce(a.id, b.id) IS NOT NULL AND strlen(l.text) >= 4)
+    SELECT dst, file_id, line, 2 AS kind, 1 AS source, CAST(0.3 AS DOUBLE) AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line, text) AS rn FROM hit) WHERE rn <= 50""",
+)
+def _(f: Facts) -> DataFrame:
+    return text.weak_links(f.literals, f.symbols)
+
+
+@query("literals_search", "SELECT l.text, f.path, l.line FROM lits l JOIN files f ON f.id = l.file_id WHERE contains(lower(l.text), 'pkg.red')")
+def _(f: Facts) -> DataFrame:
+    return text.literal_search(f.literals.withColumn("enclosing", F.lit(None).cast("bigint")), f.files, "PKG.red").select("text", "path", "line")
+
+
+@query(
+    "literal_enclosing",
+    """SELECT l.text, l.file_id, l.line, (SELECT first(b.id ORDER BY b.def_line DESC, b.id) FROM bodies b WHERE b.def_file_id = l.file_id AND l.line BETWEEN b.def_line AND b.def_end_line) AS enclosing
+    FROM (SELECT DISTINCT * FROM lits) l WHERE strlen(text) >= 4 AND trim(text) <> '' AND NOT regexp_matches(text, '^[0-9.]+$')""",
+)
+def _(f: Facts) -> DataFrame:
+    return text.admitted(f.literals, f.symbols)
+
+
+_HEADS = r"""SELECT page_id AS doc_id, CAST(regexp_extract(html, '<h([1-6])', 1) AS INT) AS level, regexp_extract(html, '<h[1-6][^>]*>([^<]*)', 1) AS heading, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INT) AS words FROM pages WHERE regexp_matches(html, '<h[1-6]')"""
+
+
+@query("section_words", f"SELECT level, count(*) AS sections, CAST(sum(words) AS BIGINT) AS words, min(heading) AS first FROM ({_HEADS}) GROUP BY level", plain=True)
+def _(f: Facts) -> DataFrame:
+    rows = f.table("pages").where(F.col("html").rlike("<h[1-6]")).select(
+        F.regexp_extract("html", "<h([1-6])", 1).cast("int").alias("level"), F.regexp_extract("html", "<h[1-6][^>]*>([^<]*)", 1).alias("heading"), F.regexp_count("html", F.lit("<p[ >]")).alias("words")
+    )
+    return rows.groupBy("level").agg(F.count("*").alias("sections"), F.sum("words").alias("words"), F.min("heading").alias("first"))
+
+
+_SECTIONS = "(SELECT event_id % 200 AS doc_id, CAST(1 + (event_id * 7) % 4 AS INT) AS level, event_type AS heading, CAST(event_id // 200 AS INT) AS start_line FROM events WHERE event_id < 6000)"
+
+
+@query(
+    "doc_sections",
+    f"""SELECT a.doc_id, a.level, a.heading, a.start_line, coalesce((SELECT min(b.start_line) - 1 FROM {_SECTIONS} b WHERE b.doc_id = a.doc_id AND b.start_line > a.start_line AND b.level <= a.level), 40) AS end_line FROM {_SECTIONS} a""",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    heads = f.table("events").where("event_id < 6000").select((F.col("event_id") % 200).alias("doc_id"), (1 + F.col("event_id") * 7 % 4).cast("int").alias("level"), F.col("event_type").alias("heading"), F.floor(F.col("event_id") / 200).cast("int").alias("start_line"))
+    return text.section_spans(heads, heads.select("doc_id").distinct().withColumn("lines", F.lit(40)))
+
+
+@query(
+    "docs_rank",
+    """SELECT d.doc_id, 0 AS start_line, d.source AS heading, CAST(d.n_chars AS INT) AS words, count(*) AS hits, contains(lower(d.source), 'idiot') AS in_heading
+    FROM documents d JOIN doclines l ON l.doc_id = d.doc_id WHERE contains(lower(l.text), 'idiot') GROUP BY ALL""",
+)
+def _(f: Facts) -> DataFrame:
+    sections = f.table("documents").select("doc_id", F.lit(0).alias("start_line"), F.lit(1 << 30).alias("end_line"), F.lit(1).alias("level"), F.col("source").alias("heading"), F.col("n_chars").cast("int").alias("words"))
+    return text.section_hits(f.lines.select("doc_id", "line", "text"), sections, "IDIOT")
+
+
+@query(
+    "context_score",
+    """, base AS (SELECT s.*, coalesce(f.is_test, false) AS t, (1 + least(s.ref_count, 50) / 100) * CASE WHEN f.generated THEN 0.05 ELSE 1.0 END * CASE s.kind WHEN 1 THEN 1.6 WHEN 3 THEN 1.4 WHEN 0 THEN 1.2 ELSE 0.35 END AS b,
+      contains(lower(s.name), 'ring') AS nh, contains(lower(s.module), 'ring') AS mh FROM symbols s LEFT JOIN files f ON f.id = s.def_file_id WHERE s.def_file_id IS NOT NULL)
+    SELECT id, CAST(round((4.0 * CASE WHEN lower(name) = 'ring' THEN 2.5 * b ELSE b END + CASE WHEN t AND nh THEN 0.9 ELSE 0 END) * 1000000) AS BIGINT) AS score, CASE WHEN t AND nh THEN 'name,test' ELSE 'name' END AS sources FROM base WHERE nh OR mh""",
+)
+def _(f: Facts) -> DataFrame:
+    return text.context_scores(f.symbols, f.files, "Ring").select("id", F.round(F.col("score") * 1000000).cast("bigint").alias("score"), "sources")
+
+
+# -- knowledge and change -----------------------------------------------------------------------
+
+
+@query("ext_share", "SELECT p_type AS ext, count(*) AS files, count(*) / (SELECT count(*) FROM part) AS share, count(*) >= 5 AND count(*) / (SELECT count(*) FROM part) >= 0.05 AS kept FROM part GROUP BY p_type", plain=True)
+def _(f: Facts) -> DataFrame:
+    return knowledge.language_shares(f.table("part").select(F.col("p_type").alias("ext")))
+
+
+@query(
+    "lang_coverage",
+    """, t AS (SELECT CASE lang WHEN 0 THEN 'rust' WHEN 1 THEN 'py' WHEN 2 THEN 'go' ELSE 'ts' END AS lang, count(*) AS files FROM files GROUP BY 1), i AS (SELECT CASE lang WHEN 0 THEN 'java' WHEN 1 THEN 'py' WHEN 2 THEN 'go' ELSE 'ts' END AS lang, count(*) AS symbols FROM symbols GROUP BY 1)
+    SELECT lang, CAST(coalesce(files, 0) AS BIGINT) AS files, CAST(coalesce(symbols, 0) AS BIGINT) AS symbols, CASE WHEN symbols IS NULL THEN 'NotIndexed' WHEN files IS NULL THEN 'IndexedOnly' ELSE 'Indexed' END AS state FROM t FULL JOIN i USING (lang)""",
+)
+def _(f: Facts) -> DataFrame:
+    named = lambda zero: F.when(F.col("lang") == 0, zero).when(F.col("lang") == 1, "Python").when(F.col("lang") == 2, "golang").otherwise("tsx")
+    tree = f.files.select(named("rust").alias("lang")).groupBy("lang").agg(F.count("*").alias("files"))
+    index = f.symbols.select(named("java").alias("lang")).groupBy("lang").agg(F.count("*").alias("symbols"))
+    return knowledge.language_coverage(tree, index)
+
+
+@query(
+    "snapshot_diff",
+    """SELECT path, CASE WHEN id % 7 = 0 THEN 'created' WHEN id % 7 = 1 THEN 'removed' ELSE 'modified' END AS state FROM files WHERE id % 7 IN (0, 1, 2)""",
+)
+def _(f: Facts) -> DataFrame:
+    before = f.files.where("id % 7 <> 0").select("path", "content_hash")
+    after = f.files.where("id % 7 <> 1").select("path", F.when(F.col("id") % 7 == 2, "other").otherwise(F.col("content_hash")).alias("content_hash"))
+    return knowledge.snapshot_diff(before, after)
+
+
+@query(
+    "overlay_diff",
+    "SELECT module AS path, CAST(id AS VARCHAR) AS name, CASE id % 5 WHEN 0 THEN 'added' WHEN 1 THEN 'gone' ELSE 'moved' END AS state FROM symbols WHERE id % 5 IN (0, 1, 2)",
+)
+def _(f: Facts) -> DataFrame:
+    rows = f.symbols.select(F.col("module").alias("path"), F.col("id").cast("string").alias("name"), "id")
+    live = rows.where("id % 5 <> 1").select("path", "name", F.when(F.col("id") % 5 == 2, F.col("id") + 1).otherwise(F.col("id")).alias("line"))
+    return knowledge.overlay_diff(live, rows.where("id % 5 <> 0").select("path", "name", F.col("id").alias("line")))
+
+
+def _concept_links(f: Facts) -> DataFrame:
+    return f.table("customer").select(F.col("c_custkey").alias("concept_id"), F.sha2((F.col("c_custkey") * 3).cast("string"), 256).alias("symbol_hash"))
+
+
+@query("concept_resolution", "SELECT c_custkey AS concept_id, s.id AS symbol_id FROM customer LEFT JOIN symbols s ON s.hash = sha256(CAST(c_custkey * 3 AS VARCHAR))")
+def _(f: Facts) -> DataFrame:
+    return knowledge.resolve_links(_concept_links(f), f.symbols).select("concept_id", "symbol_id")
+
+
+@query("concept_dangling", "SELECT c_custkey AS concept_id FROM customer WHERE sha256(CAST(c_custkey * 3 AS VARCHAR)) NOT IN (SELECT hash FROM symbols)")
+def _(f: Facts) -> DataFrame:
+    return knowledge.dangling(_concept_links(f), f.symbols).select("concept_id")
+
+
+@query("latest_upsert", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1", plain=True)
+def _(f: Facts) -> DataFrame:
+    rows = f.table("events").select("user_id", "event_id", "event_type")
+    return knowledge.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), ["user_id"], "event_id")
+
+
+@query(
+    "verdict_standing",
+    """SELECT CAST(n_nationkey AS VARCHAR) AS check_id, 'area' || n_regionkey AS area, CASE WHEN n_nationkey % 4 = 0 THEN 'Open' WHEN n_nationkey % 4 = 1 THEN 'Broken' WHEN n_nationkey % 4 = 2 THEN 'Current' ELSE 'Expired' END AS standing FROM nation""",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    n = f.table("nation")
+    checks = n.select(F.col("n_nationkey").cast("string").alias("check_id"), F.concat(F.lit("area"), F.col("n_regionkey")).alias("area"))
+    verdicts = n.where("n_nationkey % 4 <> 0").select(F.col("n_nationkey").cast("string").alias("check_id"), (F.col("n_nationkey") % 4 != 1).alias("holds"), F.when(F.col("n_nationkey") % 4 == 2, "head").alias("commit_sha"))
+    return knowledge.standings(checks, verdicts, "head")
+
+
+# -- change events ------------------------------------------------------------------------------
+
+
+@query(
+    "event_sessions",
+    """, marked AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 3600000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    numbered AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM marked)
+    SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(min(ts)) AS start_us, count(*) AS events FROM numbered GROUP BY user_id, n""",
+)
+def _(f: Facts) -> DataFrame:
+    events = f.table("events").select(F.col("user_id").cast("string").alias("path"), "ts")
+    return dirty.bursts(events, "1 hour").select("path", F.unix_micros("start").alias("start_us"), "events")
+
+
+@query(
+    "dirty_state",
+    """SELECT CAST(user_id AS VARCHAR) AS path, CASE last WHEN 'signup' THEN 'removed' ELSE 'modified' END AS state
+    FROM (SELECT user_id, first(event_type ORDER BY ts DESC, event_id DESC) AS last FROM events GROUP BY user_id) WHERE last <> 'view'""",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    seen = F.when(F.col("event_type") != "signup", F.col("event_type"))
+    events = f.table("events").select(F.col("user_id").cast("string").alias("path"), F.struct("ts", "event_id").alias("at"), seen.alias("content_hash"))
+    baseline = events.select("path").distinct().withColumn("content_hash", F.lit("view"))
+    return dirty.dirty_paths(events, baseline)
+
+
+@query("reindex_scheduler")
+def _(f: Facts) -> DataFrame:
+    from factloom.streaming import scheduler
+
+    events = f.table("events").select(F.lit("repo").alias("key"), "ts", F.when(F.col("event_type") == "purchase", "head").otherwise("change").alias("op"), (F.col("event_id") % 120).cast("int").alias("debt"))
+    return scheduler.decisions(events.where("event_id < 500"))
