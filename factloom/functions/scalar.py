@@ -126,7 +126,7 @@ def occurrence_range(single: Column, multi: Column, packed: Column) -> Column:
 
 def clean_doc(parts: Column, most: int = 1200) -> Column:
     """Documentation without leading code fences, parts joined by a blank, cut at *most* characters."""
-    bare = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"^(?:\s*```(?:(?!```)[\s\S])*(?:```|$))+", "")))
+    bare = F.transform(parts, lambda p: F.regexp_replace(F.regexp_replace(p, r"^(?:\s*```(?:(?!```)[\s\S])*(?:```|$))+", ""), r"^\s+|\s+$", ""))
     return F.substring(F.array_join(F.filter(bare, lambda p: p != ""), " "), 1, most)
 
 

@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom import schema as S
 
@@ -48,7 +49,7 @@ def parse(symbol: str) -> Parsed | None:
     return Parsed(fields[0], fields[2], name.strip("`"), kind, text[: m.start()] or None, module)
 
 
-@F.pandas_udf("struct<scheme:string,package:string,name:string,kind:int,container:string,module:string>")
+@F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType() if n == "kind" else T.StringType()) for n in Parsed._fields]))
 def parse_symbol(symbols: pd.Series) -> pd.DataFrame:
     rows = [parse(s) if s else None for s in symbols]
     return pd.DataFrame([r or (None,) * 6 for r in rows], columns=list(Parsed._fields))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom import schema as S
+from factloom.stage import staged
 
 LINES = 256
 
@@ -109,12 +110,14 @@ def handles(hashes: DataFrame, longest: int = 12) -> DataFrame:
     Prefixes of different lengths never collide, so each length is one round: of the symbols
     without a handle, the lowest id takes each prefix.
     """
-    left, out = hashes, None
+    left, out = staged(hashes, "codes"), None
     for n in range(2, longest + 1):
         prefix = F.substring("code", 1, n)
-        won = left.groupBy(prefix.alias("handle")).agg(F.min("symbol_id").alias("symbol_id")).select("symbol_id", "handle")
+        won = staged(left.groupBy(prefix.alias("handle")).agg(F.min("symbol_id").alias("symbol_id")).select("symbol_id", "handle"), "handles")
         out = won if out is None else out.unionAll(won)
-        left = left.join(won.select("symbol_id"), "symbol_id", "left_anti")
+        left = staged(left.join(won.select("symbol_id"), "symbol_id", "left_anti"), "codes")
+        if left.isEmpty():
+            break
     return out
 
 

@@ -6,12 +6,15 @@ join.  Nothing is collected: loops end when a level is empty, which is one small
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom import schema as S
-from factloom.stage import staged
+from factloom.stage import folder, staged
 
 
 def neighbours(edges: DataFrame, symbols: DataFrame, files: DataFrame, kind: int = S.CALLS, outward: bool = False, exclude_tests: bool = False, fanout: int | None = None) -> DataFrame:
@@ -71,17 +74,25 @@ def walk_counts(nodes: DataFrame, near: DataFrame, depth: int) -> DataFrame:
 
 
 def distances(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(root, node, depth): fewest hops over *edges* (src, dst) from the seeds (root, node), up to *depth*."""
+    """(root, node, depth): fewest hops over *edges* (src, dst) from the seeds (root, node), up to *depth*.
+
+    Levels are folders of one table, so all nodes seen are one scan however deep the walk is.
+    """
+    spark = seeds.sparkSession
     edges = staged(edges.select("src", "dst").distinct(), "hops")
-    level = staged(seeds.select("root", "node", F.lit(0).alias("depth")).distinct(), "reach")
-    seen = level
-    for d in range(1, depth + 1):
-        came = level.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        level = staged(came.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d)), "reach")
+    where = f"{folder(spark)}/reach-{uuid.uuid4().hex[:8]}"
+    level = seeds.select("root", "node").distinct()
+    schema = level.schema
+    for d in range(depth + 1):
+        if d:
+            came = level.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+            level = came.join(spark.read.schema(schema).parquet(where), ["root", "node"], "left_anti")
+        level.write.parquet(f"{where}/depth={d}")
+        level = spark.read.schema(schema).parquet(f"{where}/depth={d}")
         if level.isEmpty():
             break
-        seen = seen.unionAll(level)
-    return seen
+    kinds = T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])
+    return spark.read.schema(kinds).parquet(where)
 
 
 def call_path(edges: DataFrame, source: int, target: int, depth: int = 8) -> DataFrame | None:

@@ -15,7 +15,8 @@ from factloom.stage import staged
 def artefacts(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(symbol_id, pkg, service, role) of generated symbols whose names follow a service convention."""
     made = files.where("generated").select(F.col("id").alias("def_file_id"), X.package_of(F.col("path")).alias("folder"))
-    rows = symbols.join(made, "def_file_id").withColumn("said", X.classify(F.col("name")))
+    # Through a generator the rules are evaluated once a row, however often their result is used.
+    rows = symbols.join(made, "def_file_id").select("*", F.explode(F.array(X.classify(F.col("name")))).alias("said"))
     return rows.where("said is not null and folder is not null").select(F.col("id").alias("symbol_id"), F.col("folder").alias("pkg"), F.col("said.service").alias("service"), F.col("said.role").alias("role"), "name")
 
 

@@ -638,7 +638,7 @@ def _(f: Facts) -> DataFrame:
 )
 def _(f: Facts) -> DataFrame:
     events = f.table("events").select(F.col("user_id").cast("string").alias("path"), "ts")
-    return dirty.bursts(events, "1 hour").select("path", F.unix_micros("start").alias("start_us"), "events")
+    return dirty.bursts(events, "1 hour").select("path", F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(start as timestamp_ntz))").alias("start_us"), "events")
 
 
 @query(
