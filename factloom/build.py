@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom import rules
@@ -29,11 +28,11 @@ def build(spark: SparkSession, index: str, root: str, compose: tuple[str, ...] =
     weak = text.weak_links(spelled, symbols)
     relations = staged(relations.unionByName(weak, allowMissingColumns=True), "edges")
     links = services.link_services(symbols, files, occ, relations)
-    named = links.select("pkg", F.col("service").alias("name")).distinct().withColumn("id", F.row_number().over(W.orderBy("pkg", "name")).cast("bigint"))
+    named = links.select("pkg", F.col("service").alias("name")).distinct().withColumn("id", X.stable_id(F.concat_ws(".", "pkg", "name")))
     links = staged(links.join(named.withColumnRenamed("name", "service"), ["pkg", "service"]).select(F.col("id").alias("service_id"), "symbol_id", "role", "via_symbol"), "links")
 
     prose = markdown.parse(files_here.where("path like '%.md'"))
-    doc_files = prose.select(F.row_number().over(W.orderBy("path")).cast("bigint").alias("id"), "path", "title", "lines")
+    doc_files = prose.select(X.stable_id(F.col("path")).alias("id"), "path", "title", "lines")
     sections = markdown.flat(prose).join(doc_files.select("path", F.col("id").alias("doc_id")), "path").drop("path")
 
     small = {r["path"]: r["text"] for r in files_here.where(F.col("path").isin(*compose) | F.col("path").endswith(".sh") | F.col("path").endswith("Dockerfile")).collect()}

@@ -23,6 +23,11 @@ def symbol_hash(symbol: Column) -> Column:
     return F.substring(F.sha2(symbol, 256), 1, 32)
 
 
+def stable_id(text: Column) -> Column:
+    """60 bits of a text's hash: an id that needs no ordering of all rows and is the same in every build."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("bigint")
+
+
 def handle_text(hash_hex: Column, length: int = 12) -> Column:
     """The first *length* base-32 characters of a hash: five bits each, from the left."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from factloom.operators.graph import distances
 
 REACH_DEPTH = 12
 FILE_SYMBOLS = 40
+MOST_HINTS = 10_000
 
 
 def entry_points(services: DataFrame, on_demand: DataFrame) -> DataFrame:
@@ -26,12 +29,25 @@ def blind(services: DataFrame, on_demand: DataFrame) -> DataFrame:
 
 
 def entry_file(hints: DataFrame, files: DataFrame) -> DataFrame:
-    """(key, file_id): for each (key, hint), the file at that path, else the shortest path that starts with it."""
-    joined = hints.join(F.broadcast(files.select(F.col("id").alias("file_id"), "path")), F.col("path").startswith(F.col("hint")))
+    """(key, file_id): for each (key, hint), the file at that path, else the shortest path that starts with it.
+
+    Hints come from deployment files, which are read on the driver: at most MOST_HINTS are
+    broadcast at a time, and the files, of any number, stay where they are.
+    """
+    most = hints.count()
+    parts = [hints] if most <= MOST_HINTS else [hints.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i) for n in [most // MOST_HINTS + 1] for i in range(n)]
+    names = files.select(F.col("id").alias("file_id"), "path")
+    joined = reduce(DataFrame.unionAll, [names.join(F.broadcast(h), F.col("path").startswith(F.col("hint"))) for h in parts])
     best = F.min(F.struct((F.col("path") != F.col("hint")).alias("far"), F.length("path").alias("n"), "path", "file_id"))
     return joined.groupBy("key").agg(best.alias("b")).select("key", F.col("b.file_id").alias("file_id"))
 
 
+def mentioning(services: DataFrame, needle: str) -> DataFrame:
+    """Names of services whose command or ports hold *needle* in any case."""
+    q = needle.lower()
+    return services.where(F.lower("command").contains(q) | F.lower(F.array_join("ports", ",")).contains(q)).select("name")
+
+
 def seeds(entries: DataFrame, symbols: DataFrame, occ: DataFrame) -> DataFrame:
     """(service, node): symbols of an entry file, and those that it refers to outside all bodies."""
     own = entries.where("entry_file is not null").select("service", F.col("entry_file").alias("file_id")).distinct()

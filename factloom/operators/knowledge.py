@@ -90,3 +90,35 @@ def apply_verdicts(areas: DataFrame, standing: DataFrame) -> DataFrame:
     )
     state = F.when(F.col("broken"), "Failing").when(F.col("state") != "Indexed", F.col("state")).when(F.col("current"), "Verified").when(F.col("expired"), "VerifyStale").otherwise(F.col("state"))
     return areas.join(seen, "area", "left").select("area", state.alias("state"))
+
+
+def verification_checks(pivot: DataFrame, entries: DataFrame) -> DataFrame:
+    """(check_id, area, claim): what a reader could confirm: each linked service's counts, and each resolved entrypoint."""
+    linked = pivot.where("serves + calls > 0").select(
+        F.concat(F.lit("service-"), F.col("service_id").cast("string")).alias("check_id"),
+        F.lit("cross-api").alias("area"),
+        F.format_string("%d symbols serve it, %d call it", "serves", "calls").alias("claim"),
+    )
+    started = entries.where("entry_file is not null").select(F.concat(F.lit("entry-"), X.slug(F.col("service"))).alias("check_id"), F.lit("entrypoints").alias("area"), F.concat(F.lit("starts in file "), F.col("entry_file").cast("string")).alias("claim"))
+    return linked.unionAll(started.distinct())
+
+
+def coverage_areas(entries: DataFrame, links: DataFrame, protos: int) -> DataFrame:
+    """(area, known, total, state) of entrypoints and of service links, before verdicts.
+
+    Nothing to resolve is NotApplicable, nothing resolved NotCovered, some Partial, all Indexed.
+    """
+    def state(known, total, absent="NotApplicable"):  # noqa: ANN001, ANN202
+        return F.when(total == 0, absent).when(known == 0, "NotCovered").when(known < total, "Partial").otherwise("Indexed")
+
+    e = entries.agg(F.lit("entrypoints").alias("area"), F.count("entry_file").alias("known"), F.count("*").alias("total"))
+    sides = links.groupBy("service_id").agg(F.max(F.when(F.col("role") == 0, 1).otherwise(0)).alias("served"), F.max(F.when(F.col("role") == 1, 1).otherwise(0)).alias("called"))
+    absent = "NotApplicable" if not protos else "NotIndexed"
+    s = sides.agg(F.lit("cross-api").alias("area"), F.count(F.when(F.col("served") + F.col("called") == 2, 1)).alias("known"), F.count("*").alias("total"))
+    return e.withColumn("state", state(F.col("known"), F.col("total"))).unionAll(s.withColumn("state", state(F.col("known"), F.col("total"), absent)))
+
+
+def hit_classes(hits: DataFrame) -> DataFrame:
+    """(class, hits) of text hits (is_test, generated, path): tests, generated, docs, hand-written."""
+    kind = F.when(F.col("is_test"), "tests").when(F.col("generated"), "generated").when(F.col("path").endswith(".md"), "docs").otherwise("hand-written")
+    return hits.groupBy(kind.alias("class")).agg(F.count("*").alias("hits"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import schema as S
 from factloom.functions import scalar as X
-from factloom.operators.edges import enclosing_type, inside, members, spans
+from factloom.operators.edges import enclosing_type, inside, members, ranked, spans
 from factloom.operators.graph import distances
 from factloom.stage import staged
 
@@ -163,3 +163,18 @@ def rpc_chain(roots: DataFrame, links: DataFrame, symbols: DataFrame, files: Dat
         seen = new if seen is None else seen.unionAll(new)
         front = new.select("root", F.col("method_id").alias("node"))
     return out
+
+
+def rpc_mentions(lines: DataFrame, links: DataFrame, symbols: DataFrame, most: int = 6) -> DataFrame:
+    """(path, line, rpc): lines that call a known RPC by name, ``.rpc(``; the first name of a line, *most* lines of a path.
+
+    Names are looked up by equality on the identifiers of a line, not by searching it for each.
+    """
+    from factloom.operators.edges import ranked
+
+    via = links.where((F.col("role") == S.CALLS_SERVICE) & F.col("via_symbol").isNotNull()).select(F.col("via_symbol").alias("type_id")).distinct()
+    names = via.join(members(symbols).select("type_id", F.col("member_id").alias("id")), "type_id").join(symbols.select("id", "name"), "id").select(F.col("name").alias("rpc")).distinct()
+    called = F.posexplode(F.regexp_extract_all("text", F.lit(r"\.([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)))
+    met = lines.select("path", "line", called.alias("at", "rpc")).join(names, "rpc")
+    first = met.groupBy("path", "line").agg(F.min(F.struct("at", "rpc")).alias("f")).select("path", "line", F.col("f.rpc").alias("rpc"))
+    return ranked(first, ["path"], [F.asc("line")]).where(F.col("rank") <= most).select("path", "line", "rpc")

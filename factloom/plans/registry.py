@@ -437,7 +437,17 @@ def _(f: Facts) -> DataFrame:
     return hops.groupBy("root", "service_id").agg(F.count_distinct("caller_id").alias("sites"), F.array_join(F.array_sort(F.collect_set("rpc")), ",").alias("rpcs"))
 
 
-@query("rpc_chain")
+def _outward(n: int) -> str:
+    front = "SELECT id AS root, id AS node, 0 AS d FROM symbols WHERE id % 10 = 0" if n == 1 else f"SELECT DISTINCT root, method_id AS node, 0 AS d FROM g{n - 1}"
+    before = "" if n == 1 else " AND (c.root, t.method_id) NOT IN (" + " UNION ALL ".join(f"SELECT root, method_id FROM g{i}" for i in range(1, n)) + ")"
+    return f""", w{n} AS (({front}) UNION SELECT c.root, e.dst, c.d + 1 FROM w{n} c JOIN outward e ON e.src = c.node WHERE c.d < 2),
+    g{n} AS MATERIALIZED (SELECT DISTINCT c.root, {n} AS hop, t.caller_id, t.service_id, t.method_id FROM w{n} c JOIN targets t ON t.caller_id = c.node WHERE true{before})"""
+
+
+@query(
+    "rpc_chain",
+    f", targets AS MATERIALIZED ({_TARGETS}), outward AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE kind = 0)" + "".join(_outward(n) for n in (1, 2, 3, 4)) + " SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4",
+)
 def _(f: Facts) -> DataFrame:
     return services.rpc_chain(f.symbols.where("id % 10 = 0").select(F.col("id").alias("root")), f.links, f.symbols, f.files, f.edges)
 
@@ -627,6 +637,49 @@ def _(f: Facts) -> DataFrame:
     return knowledge.standings(checks, verdicts, "head")
 
 
+@query(
+    "verification_checks",
+    """SELECT 'service-' || s.id AS check_id, 'cross-api' AS area, count(*) FILTER (l.role = 0) || ' symbols serve it, ' || count(*) FILTER (l.role = 1) || ' call it' AS claim
+    FROM services s JOIN links l ON l.service_id = s.id GROUP BY s.id
+    UNION ALL SELECT 'entry-' || replace(lower(name), '_', '-'), 'entrypoints', 'starts in file ' || id FROM services WHERE id % 3 = 0
+    UNION ALL SELECT 'entry-' || replace(lower(name), '_', '-') || '-0-3', 'entrypoints', 'starts in file ' || id FROM services WHERE id % 8 = 1""",
+)
+def _(f: Facts) -> DataFrame:
+    return knowledge.verification_checks(services.service_pivot(f.links, f.services), deploy.entry_points(*_deployed(f)))
+
+
+@query(
+    "coverage_areas",
+    """, e AS (SELECT CASE WHEN id % 3 = 0 THEN id END AS f FROM services UNION ALL SELECT CASE WHEN id % 8 = 1 THEN id END FROM services WHERE id % 4 = 1),
+    s AS (SELECT service_id, bool_or(role = 0) AND bool_or(role = 1) AS both_sides FROM links GROUP BY service_id),
+    a AS (SELECT 'entrypoints' AS area, count(f) AS known, count(*) AS total FROM e UNION ALL SELECT 'cross-api', count(*) FILTER (both_sides), count(*) FROM s)
+    SELECT area, known, total, CASE WHEN known = 0 THEN 'NotCovered' WHEN known < total THEN 'Partial' ELSE 'Indexed' END AS state FROM a""",
+)
+def _(f: Facts) -> DataFrame:
+    return knowledge.coverage_areas(deploy.entry_points(*_deployed(f)), f.links, 1)
+
+
+@query("hit_classes", "SELECT CASE WHEN is_test THEN 'tests' WHEN generated THEN 'generated' ELSE 'hand-written' END AS class, count(*) AS hits FROM files GROUP BY 1")
+def _(f: Facts) -> DataFrame:
+    return knowledge.hit_classes(f.files)
+
+
+@query("services_mentioning", "SELECT name FROM services WHERE contains(lower('run ' || name), 'nation_1')")
+def _(f: Facts) -> DataFrame:
+    return deploy.mentioning(f.services.select("name", F.concat(F.lit("run "), F.col("name")).alias("command"), F.array().cast("array<string>").alias("ports")), "NATION_1")
+
+
+@query(
+    "known_calls",
+    """, t AS (SELECT id AS path, 0 AS line, 'x = ' || replace(name, '#', '') || '(1) + other()' AS text FROM symbols), n AS (SELECT DISTINCT replace(name, '#', '') AS name FROM symbols WHERE kind IN (1, 3) AND NOT def_generated)
+    SELECT path, line, w AS name FROM (SELECT path, line, unnest(list_distinct(regexp_extract_all(text, '([A-Za-z_][A-Za-z0-9_]*)\\s*\\(', 1))) AS w FROM t) WHERE strlen(w) >= 5 AND w IN (SELECT name FROM n)""",
+)
+def _(f: Facts) -> DataFrame:
+    own = f.symbols.withColumn("name", F.replace("name", F.lit("#"), F.lit("")))
+    rows = own.select(F.col("id").alias("path"), F.lit(0).alias("line"), F.concat(F.lit("x = "), F.col("name"), F.lit("(1) + other()")).alias("text"))
+    return search.known_calls(rows, own)
+
+
 # -- change events ------------------------------------------------------------------------------
 
 

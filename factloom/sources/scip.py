@@ -207,11 +207,9 @@ def resolve_prefix(docs: DataFrame, tree: DataFrame, sample: int = 24) -> str:
 def ingest(docs: DataFrame, prefix: str = "", generated: DataFrame | None = None) -> dict[str, DataFrame]:
     """Fact tables files, symbols, occurrences and implements edges of decoded documents.
 
-    Locals are dropped, paths that leave the repository as well; ids are the order of the
-    symbols' hashes and of the paths, so two builds agree.  *generated* holds (path, generated).
+    Locals are dropped, paths that leave the repository as well; ids come from the texts of
+    symbols and paths, so two builds agree and no step orders all rows.  *generated* holds (path, generated).
     """
-    from pyspark.sql import Window as W
-
     path = X.normalise_path(F.concat(F.lit(prefix + "/" if prefix else ""), F.col("path")))
     docs = docs.withColumn("path", path).where("path is not null")
     lang = X.detect_lang(F.col("language"), F.col("path"))
@@ -221,7 +219,7 @@ def ingest(docs: DataFrame, prefix: str = "", generated: DataFrame | None = None
         files = files.withColumn("generated", F.coalesce("generated", F.lit(False)))
     else:
         files = files.withColumn("generated", F.lit(False))
-    files = files.withColumns({"is_test": X.is_test_path(F.col("path")), "id": F.row_number().over(W.orderBy("path")).cast("bigint")})
+    files = files.withColumns({"is_test": X.is_test_path(F.col("path")), "id": X.stable_id(F.col("path"))})
 
     occ = docs.select("path", F.explode("occurrences").alias("o")).where("o.symbol <> '' and not startswith(o.symbol, 'local ')")
     at = X.occurrence_range(F.col("o.single"), F.col("o.multi"), F.col("o.packed"))
@@ -233,7 +231,7 @@ def ingest(docs: DataFrame, prefix: str = "", generated: DataFrame | None = None
     symbols = named.join(doc, "symbol", "left").join(langs, "symbol", "left").withColumn("p", parse_symbol("symbol"))
     symbols = symbols.withColumn("hash", X.symbol_hash(F.col("symbol")))
     symbols = symbols.select(
-        F.row_number().over(W.orderBy("hash")).cast("bigint").alias("id"), "symbol", "hash", "p.name", "p.module", "p.container", X.container_leaf(F.col("p.container")).alias("container_leaf"),
+        X.stable_id(F.col("symbol")).alias("id"), "symbol", "hash", "p.name", "p.module", "p.container", X.container_leaf(F.col("p.container")).alias("container_leaf"),
         F.col("p.package").alias("pkg"), "p.kind", F.coalesce("lang", F.lit(0)).alias("lang"), "doc",
     )
     ids = symbols.select("symbol", F.col("id").alias("symbol_id"))

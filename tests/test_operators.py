@@ -183,3 +183,20 @@ def test_symbol_strings():
     assert parse("scip-go gomod x v1 `a/b`/f().(arg)")[2:4] == ("arg", 5)
     assert parse("local 12").kind == 7
     assert parse("too few") is None
+
+
+def test_rpc_mentions(spark):
+    s = symbols(spark, [(1, "ChatServiceClient", "", 1, 1, 0, 20), (2, "SendReply", "ChatServiceClient", 3, 1, 5, 5)])
+    links = spark.createDataFrame([(1, 6, 1, 1)], "service_id bigint, symbol_id bigint, role int, via_symbol bigint")
+    lines = spark.createDataFrame([("a", 1, "c.Other(x).SendReply(y)"), ("a", 2, "SendReply(y)"), ("b", 1, "c.sendReply(")], "path string, line int, text string")
+    assert rows(services.rpc_mentions(lines, links, s), "path", "line", "rpc") == [("a", 1, "SendReply")]
+
+
+def test_empty_tables(spark):
+    s, f, o = symbols(spark, []), files(spark, []), occurrences(spark, [])
+    e = edges.all_edges(o, s)
+    links = spark.createDataFrame([], "service_id bigint, symbol_id bigint, role int, via_symbol bigint")
+    assert e.count() == 0 and survey.unreached(s, f, e, o, links).count() == 0
+    roots = spark.createDataFrame([(1,)], "root bigint")
+    assert services.affects_hops(roots, links, s, f, e).count() == 0
+    assert graph.distances(roots.select("root", F.col("root").alias("node")), e, 3).count() == 1

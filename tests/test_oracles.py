@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from factloom.plans import registry
@@ -22,7 +23,7 @@ def duck():
 
 def plain(frame):
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return ""
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
