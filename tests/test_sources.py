@@ -151,3 +151,39 @@ def test_wire_format_skips_unknown_fields():
     data = field(1, field(3, b"file:///r")) + field(99, 7) + document("a.go", "go", [field(50, b"zz") + occurrence("s", [1, 2, 3])])
     (doc,) = scip.documents(data)
     assert (doc["root"], doc["path"], doc["occurrences"][0]["packed"]) == ("file:///r", "a.go", [1, 2, 3])
+
+
+def test_commands_and_exit_codes(spark, engine, tmp_path, capsys):
+    from factloom.__main__ import main
+
+    base = ["--base", engine.root]
+    assert main([*base, "--log", f"file://{tmp_path}/log", "symbol", "comp"], spark) == S.FOUND and "compute" in capsys.readouterr().out
+    assert main([*base, "symbol", "zzz_nothing"], spark) == S.NOT_FOUND
+    assert main([*base, "refs", " "], spark) == S.BAD_QUERY
+    assert main([*base, "nonsense"], spark) == S.BAD_QUERY
+    assert main(["--base", f"file://{tmp_path}/none", "topology"], spark) == S.DEGRADED
+    assert main([*base, "line", "app/price.py", "3"], spark) == S.FOUND
+    assert spark.read.json(f"file://{tmp_path}/log").first()["exit"] == S.FOUND
+
+
+def test_authored_knowledge_outlives_builds(spark, engine, tmp_path):
+    from factloom.authored import Authored
+
+    own = Authored(spark, f"file://{tmp_path}")
+    symbol = engine.t["symbols"].where("name = 'compute'").join(engine.t["files"].selectExpr("id AS def_file_id", "path", "content_hash"), "def_file_id")
+    own.add_concept("pricing", "first")
+    own.add_concept("pricing", "how prices are made")
+    own.add_concept("other", ns="mine")
+    own.link_concept("pricing", symbol)
+    assert [tuple(r) for r in own.concepts().collect()] == [("agent", "pricing", "how prices are made", 1), ("mine", "other", "", 0)]
+    link = own.concept_links(engine.t["symbols"], engine.t["files"]).first()
+    assert link["symbol_id"] == symbol.first()["id"] and link["needs_review"] is False
+    own.drop_namespace("mine")
+    assert own.concepts("mine").count() == 0
+    with pytest.raises(ValueError, match="default"):
+        own.drop_namespace("agent")
+    h = symbol.first()["hash"]
+    own.assert_link(h, "gone")
+    assert own.asserted(engine.t["symbols"], symbol.first()["id"]).first()["dst"] is None
+    own.record_verdict("service-1", "cross-api", True, commit="c1")
+    assert own.verdicts().first()["commit_sha"] == "c1"
