@@ -105,6 +105,14 @@ class Facts:
         return self.table("documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
+_BUILT: dict[tuple[str, str], Facts] = {}
+
+
+def facts(spark: SparkSession, sf_dir: str) -> Facts:
+    """The facts of a folder; as in a fact base, symbols and edges are derived once and then read by all queries of an application."""
+    return _BUILT.setdefault((spark.sparkContext.applicationId, sf_dir), Facts(spark, sf_dir))
+
+
 #: The same views for DuckDB; names that a query does not use cost nothing.
 SQL = """
 WITH RECURSIVE files AS (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import scalar as X
 from factloom.operators import deploy, edges, graph, knowledge, search, services, survey, text
-from factloom.plans.bridge import SQL, Facts
+from factloom.plans.bridge import SQL, Facts, facts
 from factloom.streaming import dirty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None, plain: bool = False):  # noqa: ANN2
     """Register a query over the bridge facts; *sql* follows the shared views unless it is *plain*."""
 
     def add(make: Callable[[Facts], DataFrame]) -> Callable[[Facts], DataFrame]:
-        _QUERIES[name] = lambda spark, sf_dir: make(Facts(spark, sf_dir))
+        _QUERIES[name] = lambda spark, sf_dir: make(facts(spark, sf_dir))
         if sql:
             _ORACLES[name] = sql if plain else SQL + sql
         return make
