@@ -7,10 +7,9 @@ weight, scaled so that the expected tokens kept are the budget and none exceeds
 sampled if a hash of its id falls below.
 
 One pass reads the texts and keeps a few bytes per row; cells are a grouping with map-side
-sums, so a source with a third of all rows is one row per task.  The cell table is bounded:
-all but the MOST_SOURCES sources and MOST_LANGS languages with the most tokens share one
-margin entry, which is raked like the others, so no row is dropped.  It is small enough to
-rake on the driver and to broadcast back.
+sums, so a source with a third of all rows is one row per task.  Every source and language
+keeps its own margin.  A table of at most DRIVER_CELLS cells is raked on the driver and
+broadcast back; a larger one is raked by groupings of the cells and joined back.
 
 Targets may be given; by default a margin's shares are its own, tempered by the power TEMPER,
 which lifts small sources, languages and topics.  Where a margin's targets leave no weight to
@@ -33,11 +32,11 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-MOST_SOURCES, MOST_LANGS = 1000, 60
+#: Cells that are raked on the driver and broadcast; more are raked as a DataFrame, to the same weights.
+DRIVER_CELLS = 100_000
 TEMPER = 0.7
 BUDGET = 0.5
 ROUNDS, TOLERANCE = 500, 1e-10
-OTHER = "(other)"
 NONE = "(none)"
 
 #: Topics by register, in the order in which they are tried; the first whose test holds.
@@ -123,35 +122,75 @@ def _codes(values: list[str], tokens: np.ndarray, target: dict[str, float] | Non
     return code, share
 
 
-def cells_of(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> list[tuple]:
-    """The bounded cell table (source, lang, topic, weight, prob) of rows with source, lang, topic and n_tokens."""
+MARGINS = ("source", "lang", "topic")
+_CELLS = "source string, lang string, topic string, weight double, prob double"
+
+
+def _raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
+    """Cells (source, lang, topic, t) with w, their raked tokens: each round is a grouping and a join back per margin, written once."""
+    total = float(cells.agg(F.sum("t")).first()[0] or 0)
+    shares = {}
+    for n in MARGINS:
+        if n in targets:
+            shares[n] = spark.createDataFrame([(k, float(v)) for k, v in targets[n].items()], f"{n} string, share double")
+        else:
+            shares[n] = C.staged(spark, cells.groupBy(n).agg(F.pow(F.sum("t"), F.lit(TEMPER)).alias("share")), "shares")
+    out = cells.withColumn("w", F.col("t").cast("double"))
+    if total <= 0:
+        return out
+    for _ in range(ROUNDS):
+        out = out.withColumn("worst", F.lit(0.0))
+        for n in MARGINS:
+            have = out.groupBy(n).agg(F.sum("w").alias("have")).join(shares[n], n, "left")
+            have = have.withColumn("want", F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0))
+            have = have.crossJoin(F.broadcast(have.agg(F.sum("want").alias("all"))))
+            want = F.col("want") / F.col("all") * total
+            scale = F.when((F.col("all") > 0) & (F.col("have") > 0), want / F.col("have")).otherwise(1.0)
+            off = F.when(F.col("all") > 0, F.abs(want - F.col("have")) / total).otherwise(0.0)
+            have = have.select(n, scale.alias("scale"), off.alias("off"))
+            out = out.join(F.broadcast(have) if n == "topic" else have, n).select(*MARGINS, "t", (F.col("w") * F.col("scale")).alias("w"), F.greatest("worst", "off").alias("worst"))
+        out = C.staged(spark, out, "raked")
+        worst = out.agg(F.max("worst")).first()[0]
+        out = out.drop("worst")
+        if worst < TOLERANCE:
+            break
+    return out
+
+
+def _calibrated_cells(cells: DataFrame, budget: float) -> DataFrame:
+    """(source, lang, topic, weight, prob) of cells with t and w, as by *calibrated*: what exceeds one is set to one until none does."""
+    rows = cells.select(*MARGINS, "t", F.when(F.col("t") > 0, F.col("w") / F.col("t")).otherwise(1.0).alias("weight"))
+    want, scale, full = budget * float(rows.agg(F.sum("t")).first()[0] or 0), 0.0, -1
+    while True:
+        over = F.col("weight") * scale >= 1
+        r = rows.agg(F.sum(F.when(over, F.col("t")).otherwise(0)), F.sum(F.when(over, 0.0).otherwise(F.col("t") * F.col("weight"))), F.sum(F.when(over, 1).otherwise(0))).first()
+        if r[2] == full or not r[1]:
+            break
+        full, scale = r[2], max(scale, (want - r[0]) / r[1])
+    return rows.select(*MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") * (scale if r[1] else 1e12)).alias("prob"))
+
+
+def cells_of(spark: SparkSession, rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> tuple[DataFrame, bool]:
+    """The cells (source, lang, topic, weight, prob) of rows with source, lang, topic and n_tokens, and whether they are few enough to broadcast."""
     targets = targets or {}
     cells = rows.groupBy(*(F.coalesce(n, F.lit(NONE)).alias(n) for n in ("source", "lang")), "topic").agg(F.sum("n_tokens").alias("t"))
+    cells = C.staged(spark, cells, "cells")
+    if cells.count() > DRIVER_CELLS:
+        return C.staged(spark, _calibrated_cells(_raked(spark, cells, targets), budget), "calibrated"), False
+    found = sorted(tuple(r) for r in cells.select(*MARGINS, "t").collect())
+    tokens = np.array([r[3] for r in found], np.float64)
+    margins = [_codes([r[i] for r in found], tokens, targets.get(n)) for i, n in enumerate(MARGINS)] if found else []
+    factor = rake(tokens, [m[0] for m in margins], [m[1] for m in margins])
+    prob = calibrated(tokens, factor, budget) if found else factor
+    return spark.createDataFrame([(r[0], r[1], r[2], float(f), float(p)) for r, f, p in zip(found, factor, prob, strict=True)], _CELLS), True
 
-    def common(name: str, most: int) -> set[str]:
-        top = cells.groupBy(name).agg(F.sum("t").alias("t")).orderBy(F.desc("t"), name).limit(most).collect()
-        return {r[name] for r in top}
 
-    kept = {"source": common("source", MOST_SOURCES), "lang": common("lang", MOST_LANGS)}
-    folded = [F.when(F.col(n).isin(*kept[n]), F.col(n)).otherwise(OTHER).alias(n) if kept[n] else F.col(n) for n in ("source", "lang")]
-    rows = sorted(tuple(r) for r in cells.select(*folded, "topic", "t").groupBy("source", "lang", "topic").agg(F.sum("t").alias("t")).collect())
-    tokens = np.array([r[3] for r in rows], np.float64)
-    margins = [_codes([r[i] for r in rows], tokens, targets.get(n)) for i, n in enumerate(("source", "lang", "topic"))] if rows else []
-    factor = rake(tokens, [m[0] for m in margins], [m[1] for m in margins])
-    prob = calibrated(tokens, factor, budget) if rows else factor
-    return [(r[0], r[1], r[2], float(f), float(p)) for r, f, p in zip(rows, factor, prob, strict=True)]
-
-
-def calibrate(spark: SparkSession, rows: DataFrame, cells: list[tuple]) -> DataFrame:
-    """*rows* (doc_id, source, lang, topic, ..) with weight, prob and sampled from the bounded cell table."""
-    table = spark.createDataFrame(cells, "source string, lang string, topic string, weight double, prob double")
-    at = []
-    for i, n in enumerate(("source", "lang")):
-        own, value = {r[i] for r in cells} - {OTHER}, F.coalesce(F.col(f"m.{n}"), F.lit(NONE))
-        at.append(F.when(value.isin(*own), value).otherwise(OTHER) if own else F.lit(OTHER))
-    on = (F.col("c.source") == at[0]) & (F.col("c.lang") == at[1]) & (F.col("c.topic") == F.col("m.topic"))
+def calibrate(rows: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
+    """*rows* (doc_id, source, lang, topic, ..) with weight, prob and sampled from the cell table, which is broadcast if *small*."""
+    same = [F.coalesce(F.col(f"m.{n}"), F.lit(NONE)) == F.col(f"c.{n}") for n in ("source", "lang")]
+    on = same[0] & same[1] & (F.col("c.topic") == F.col("m.topic"))
     chance = F.pmod(F.xxhash64(F.lit("mixing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))), F.lit(1 << 40)) / float(1 << 40)
-    out = rows.alias("m").join(F.broadcast(table).alias("c"), on, "left")
+    out = rows.alias("m").join((F.broadcast(cells) if small else cells).alias("c"), on, "left")
     prob = F.coalesce("c.prob", F.lit(1.0))
     return out.select("m.*", F.coalesce("c.weight", F.lit(1.0)).alias("weight"), prob.alias("prob"), (chance < prob).alias("sampled"))
 
@@ -162,13 +201,13 @@ def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float
     *targets* may hold a share for each value of ``source``, ``lang`` and ``topic``.
     """
     rows = C.staged(spark, measured(docs, ["doc_id", "source", "lang"]), "measured")
-    return calibrate(spark, rows, cells_of(rows, targets, budget))
+    return calibrate(rows, *cells_of(spark, rows, targets, budget))
 
 
 def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The sampled rows of *docs* with all their columns, then topic, n_tokens, weight and prob; the texts are not shuffled."""
+    """The sampled rows of *docs* with all their columns, then topic, n_tokens, weight and prob; the texts are shuffled only beyond DRIVER_CELLS cells."""
     rows = C.staged(spark, measured(docs, ["source", "lang"]), "measured")
-    return calibrate(spark, measured(docs, docs.columns), cells_of(rows, targets, budget)).where("sampled").drop("sampled")
+    return calibrate(measured(docs, docs.columns), *cells_of(spark, rows, targets, budget)).where("sampled").drop("sampled")
 
 
 def op9_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

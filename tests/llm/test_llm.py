@@ -342,6 +342,25 @@ def test_given_targets(spark):
     assert math.isclose(g["a"], g["b"], rel_tol=1e-6)
 
 
+def test_every_source_keeps_its_margin(spark, monkeypatch):
+    rnd = random.Random(9)
+    rows = [(i, "w " * rnd.randint(2, 60), f"s{i % 1300}", f"l{rnd.randrange(65)}") for i in range(10_400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(4)
+    a = mixing.mix(spark, docs).toPandas().sort_values("doc_id")
+    for name in ("source", "lang"):
+        g = a.assign(w=a.n_tokens * a.weight).groupby(name)[["n_tokens", "w"]].sum()
+        want = g.n_tokens**mixing.TEMPER
+        assert np.allclose(g.w / g.w.sum(), want / want.sum(), atol=1e-8)
+    assert (mixing.mix(spark, docs, {"source": {f"s{i}": 1.0 for i in range(1300)}}).toPandas().prob > 0).all()
+    few = docs.withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 7)).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 3)).where("doc_id < 60")
+    for given in (None, {"source": {"s0": 0.6, "s1": 0.4}}):
+        a = mixing.mix(spark, few, given).toPandas().sort_values("doc_id")
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", 0)
+        b = mixing.mix(spark, few, given).toPandas().sort_values("doc_id")
+        monkeypatch.undo()
+        assert np.allclose(a.weight, b.weight, rtol=1e-6) and np.allclose(a.prob, b.prob, rtol=1e-6)
+
+
 # -- pipeline --------------------------------------------------------------------------------------
 
 
