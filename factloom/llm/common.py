@@ -71,6 +71,11 @@ def bucket_of(column: str, n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
+def row_id() -> F.Column:
+    """doc_id, or a hash of the text for a row without one; equal texts without a doc_id share it."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("row"), F.coalesce(F.col("text"), F.lit(""))))
+
+
 def docs_of(df: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the columns in *more*; whatever else *df* has is dropped."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

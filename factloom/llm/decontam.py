@@ -267,15 +267,16 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, err
 
 
 def without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """*docs* but for the rows whose doc_id is in *ids*, which is broadcast if it has BROADCAST_IDS rows at most."""
-    ids = C.staged(spark, ids.select(F.col("doc_id").alias("gone")).where("gone is not null").distinct(), "gone")
+    """*docs* but for the rows whose ``row_id`` is in *ids*, which is broadcast if it has BROADCAST_IDS rows at most."""
+    ids = C.staged(spark, ids.select(F.col("row_id").alias("gone")).distinct(), "gone")
     small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids, C.row_id() == F.col("gone"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, error: float = ERROR, recall: float = RECALL) -> DataFrame:
-    """*docs* without the documents that hold an item."""
-    return without(spark, docs, contaminated(spark, docs, benchmark, error, recall))
+    """*docs* without the documents that hold an item; a row without a doc_id is a document by its text."""
+    found = contaminated(spark, docs.select(C.row_id().alias("doc_id"), "text"), benchmark, error, recall)
+    return without(spark, docs, found.withColumnRenamed("doc_id", "row_id"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,9 @@ How it runs on many rows:
 
 Defined results: null or empty text has no shingles, is linked with nothing and forms its
 own component; a text of fewer than five words has its whole word sequence as the one
-shingle; repeated rows with one doc_id share a component; a row without a doc_id takes the
-smallest doc_id among texts linked to it, null if there is none, and counts as kept then.
+shingle; repeated rows with one doc_id share a component; a row without a doc_id is known by
+a hash of its text, links texts like any other, and takes the smallest doc_id among texts
+linked to it.  Where none of them has a doc_id that is null, and one text of them is kept.
 """
 
 from __future__ import annotations
@@ -120,8 +121,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
                     sig[i], digest[i] = row.tobytes(), xxhash.xxh3_128_digest(sets[i].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "sig"],
+                [b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
+                ["doc_id", "row_id", "n_shingles", "digest", "sig"],
             )
 
 
@@ -285,12 +286,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     Documents with den * |intersection| >= num * |union| are linked; component_id is the
     smallest doc_id that a document can reach over links, itself included.
     """
+    return near_rows(spark, docs, num, den).drop("row_id")
+
+
+def near_rows(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of *near_duplicates* with ``row_id``, which tells rows without a doc_id apart."""
     radius = radius_for(num, den)
     chunks = chunks_for(radius)
-    docs = C.docs_of(docs)
-    signed = C.staged(spark, docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig binary"), "signed")
-    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = C.staged(spark, classes.where("cid is not null"), "classes")
+    docs = C.docs_of(docs).withColumn("row_id", C.row_id())
+    signed = C.staged(spark, docs.mapInArrow(_sign, "doc_id long, row_id long, n_shingles long, digest binary, sig binary"), "signed")
+    own = F.coalesce(F.min("doc_id"), F.min("row_id"))
+    classes = signed.where("digest is not null").groupBy("digest").agg(own.alias("cid"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = C.staged(spark, classes, "classes")
 
     keys = classes.select("cid", "sig").mapInArrow(_keys(chunks), "key long, cid long")
     shared = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
@@ -307,7 +314,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     blocks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     member = C.staged(spark, family.join(sized.select("root", blocks.alias("blocks")), "root").select(F.col("root").alias("family"), "blocks", F.col("node").alias("cid")), "members")
     small = member.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(member) if small else member, docs.doc_id == member.cid).select("family", "blocks", "cid", "text")
+    texts = docs.join(F.broadcast(member) if small else member, docs.row_id == member.cid).select("family", "blocks", "cid", "text")
     pairs = texts.mapInArrow(_members, "family long, b1 int, b2 int, mine int, cid long, set binary")
     pairs = pairs.repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2")
     links = C.staged(spark, pairs.mapInArrow(_links(num, den, radius), "family long, src long, dst long"), "links")
@@ -317,11 +324,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: in
     far = C.components(spark, links.join(wide, "family", "left_semi").select("src", "dst"))
     root = stars.unionAll(far)
 
-    found = classes.select("digest", "cid").join(root, F.col("cid") == F.col("node"), "left")
-    found = found.select("digest", F.coalesce("root", "cid").alias("component"))
-    out = signed.where("digest is not null").join(found, "digest", "left").select("doc_id", "n_shingles", "component")
-    out = out.unionAll(signed.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component")))
-    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.col("component").isNull()).alias("kept"))
+    found = classes.select("digest", "cid", "low").join(root, F.col("cid") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "cid").alias("component"))
+    if not classes.where("low is null").isEmpty():  # a hash may be the smallest of a component: the smallest doc_id stands for it where there is one
+        found = C.staged(spark, found, "found")
+        found = found.select("digest", "component").join(found.groupBy("component").agg(F.min("low").alias("low")), "component")
+    else:
+        found = found.withColumn("low", F.col("component"))
+    out = signed.where("digest is not null").join(found, "digest", "left").select("doc_id", "row_id", "n_shingles", F.col("low").alias("component"), F.coalesce("low", "component").alias("keeps"))
+    out = out.unionAll(signed.where("digest is null").select("doc_id", "row_id", "n_shingles", F.col("doc_id").alias("component"), F.col("row_id").alias("keeps")))
+    named = F.col("component").isNull() | F.col("doc_id").isNotNull()
+    return out.select("doc_id", "row_id", "n_shingles", F.col("component").alias("component_id"), (named & (F.col("row_id") == F.col("keeps"))).alias("kept"))
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .decontam import without
 from .langid import fit, predicted
-from .near_dup import near_duplicates
+from .near_dup import near_rows
 
 LEAST_SCORE = 0.3
 
@@ -22,10 +22,11 @@ def keep_identified(spark: SparkSession, docs: DataFrame, least: float = LEAST_S
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest doc_id; of repeated rows the first."""
-    found = C.staged(spark, near_duplicates(spark, docs, num, den), "near")
+    found = C.staged(spark, near_rows(spark, docs, num, den), "near")
     left = without(spark, docs, found.where("not kept"))
-    again = C.staged(spark, found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    again = found.where("kept and (doc_id is not null or n_shingles > 0)").groupBy("row_id").count().where("count > 1").select("row_id")
+    again = C.staged(spark, again, "again")
     if again.isEmpty():
         return left
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    once = left.withColumn("_row", C.row_id()).join(again, F.col("_row") == F.col("row_id"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
     return without(spark, left, again).unionAll(once)

@@ -399,6 +399,23 @@ def test_one_of_repeated_rows_stays(spark):
     assert sorted((r["doc_id"] or 0) for r in stages.keep_one_of_each(spark, docs).collect()) == [0, 0, 1]
 
 
+def test_rows_without_an_id_are_judged(spark):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(900)}" for _ in range(200)]
+    with_, but = (lambda *at: " ".join("zz" if i in at else w for i, w in enumerate(base))), " ".join(f"v{rnd.randrange(900)}" for _ in range(200))
+    texts = [(7, with_(0, 40)), (None, with_()), (None, with_()), (9, with_(199, 160)), (None, but), (None, but + " more"), (None, ""), (None, None), (3, "alone with these six words here")]
+    rows = [(i, t, "en", "s", 1) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(spark, docs, 90, 100).collect()]
+    assert near_dup.near_duplicates(spark, docs.where("doc_id is not null"), 90, 100).where("doc_id = 9 and component_id = 9").count() == 1  # linked only through the text without an id
+    assert collections.Counter(got) == collections.Counter([(7, 7, True), (9, 7, False), (3, 3, True)] + [(None, 7, False)] * 2 + [(None, None, True)] * 3 + [(None, None, False)])
+    left = [(r["doc_id"], r["text"]) for r in stages.keep_one_of_each(spark, docs, 90, 100).collect()]
+    assert len(left) == 5 and (7, with_(0, 40)) in left and sum(t in (but, but + " more") for _, t in left) == 1
+    bench = spark.createDataFrame([(1, " ".join(base[50:80]))], "item_id long, text string")
+    clean = decontam.decontaminate(spark, docs, bench).collect()
+    assert sorted((r["doc_id"] or 0) for r in clean) == [0, 0, 0, 0, 3]
+
+
 def test_near_dup_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
