@@ -15,7 +15,10 @@ document starts a window, and each repetition of the index
 Sampled steps are compared as the walk goes, so a window that differs at one costs no more
 steps.  The number of repetitions is planned on the items themselves: random edits at the full
 allowance are applied and repetitions are added until ``recall`` of the edited items meet
-their original.  Candidate windows then pass a count filter that loses nothing (an item within
+their original in every class of lengths.  Items of fewer than SHORT words leave a walk no room
+beside an edit; they, and classes that miss ``recall`` within MOST_REPEATS, are seeded instead:
+an item with k edits is cut into k+1 blocks, of which one stays whole, and every window that
+holds the first SEED_WORDS words of some block is a candidate, so none is lost.  Candidate windows then pass a count filter that loses nothing (an item within
 k errors shares at least n-k words) and an exact semi-global edit distance.
 
 The items are a query set: they are sent to the executors in blocks of at most BLOCK_WORDS
@@ -45,6 +48,8 @@ SAMPLES = 3
 STEPS = 12
 MIN_WORDS = 5
 MOST_REPEATS = 48
+#: Items below this length are found by whole blocks; a block is looked up by its first words.
+SHORT, SEED_WORDS = 15, 3
 BLOCK_WORDS = 2_000_000
 OWN_CELLS = 1 << 24
 BROADCAST_IDS = 500_000
@@ -65,6 +70,8 @@ class Index:
         self.allowed = np.floor(self.size * error + 1e-9).astype(np.int64)
         rng = np.random.default_rng(seed)
         self.repeats: list[tuple] = []
+        self.seeds: list[tuple] = []
+        self.planned: dict[int, float] = {}
         if self.items:
             self._plan(rng, recall)
             pairs = np.concatenate([np.unique(t) + np.int64(k) * (len(self.words) + 1) for k, t in enumerate(self.tokens)])
@@ -75,17 +82,19 @@ class Index:
                 self.owns[self.owned] = True
 
     def _plan(self, rng: np.random.Generator, recall: float) -> None:
-        """Add repetitions until random edits at the full allowance are found often enough."""
-        picks = rng.permutation(len(self.items))[:200]
-        trials = [(k, self._edit(rng, k)) for k in picks for _ in range(4)]
+        """Add repetitions until random edits at the full allowance are found often enough in each class of lengths; seed the rest."""
+        kind = np.array([int(n).bit_length() if n >= SHORT else 0 for n in self.size])
+        kinds = [k for k in np.unique(kind) if k]
+        trials = [(k, self._edit(rng, k)) for c in kinds for k in rng.permutation(np.flatnonzero(kind == c))[:200] for _ in range(4)]
+        of = np.array([kind[k] for k, _ in trials], np.int64)
         found = np.zeros(len(trials), bool)
-        while len(self.repeats) < MOST_REPEATS:
+        while kinds and len(self.repeats) < MOST_REPEATS:
             place = rng.random()
             steps = np.concatenate([[0], np.sort(rng.choice(np.arange(1, STEPS), SAMPLES - 1, replace=False))])
             bits = rng.random((STEPS, len(self.words) + 2)) < 0.5
             at = np.array([self._offset(n, place) for n in self.size], np.int64)
             keys = np.array([self._walk(t, int(o), steps, bits) for t, o in zip(self.tokens, at, strict=True)], np.int64)
-            whole = (keys >= 0).all(axis=1)
+            whole = (keys >= 0).all(axis=1) & (kind > 0)
             rows = np.flatnonzero(whole)
             order = rows[np.lexsort(keys[rows].T[::-1])]
             self.repeats.append((steps, bits, at, keys[order], order))
@@ -95,9 +104,24 @@ class Index:
                     high = min(len(t), int(at[k]) + int(self.allowed[k]) + 1)
                     want = tuple(keys[k])
                     found[j] = any(t[s] == want[0] and tuple(self._walk(t, s, steps, bits)) == want for s in range(low, high))
-            if found.mean() >= recall:
+            self.planned = {int(c): float(found[of == c].mean()) for c in kinds}
+            if min(self.planned.values()) >= recall:
                 break
-        self.planned = float(found.mean())
+        missed = [c for c, share in self.planned.items() if share < recall]
+        self._seed(np.flatnonzero((kind == 0) | np.isin(kind, missed)))
+
+    def _seed(self, items: np.ndarray) -> None:
+        """For each width: sorted keys of the blocks' first words, with their items and offsets."""
+        held: dict[int, list[tuple[int, int, int]]] = {}
+        for k in items:
+            cut = np.linspace(0, self.size[k], int(self.allowed[k]) + 2).astype(np.int64)
+            for lo, hi in zip(cut, cut[1:], strict=False):
+                width = min(SEED_WORDS, int(hi - lo))
+                if width:
+                    held.setdefault(width, []).append((int(self._packed(self.tokens[k][None, lo : lo + width])[0]), int(k), int(lo)))
+        for width, rows in sorted(held.items()):
+            key, item, at = (np.array(c, np.int64) for c in zip(*sorted(rows), strict=True))
+            self.seeds.append((width, key, item, at))
 
     @staticmethod
     def _offset(n: int, place: float) -> int:
@@ -133,6 +157,15 @@ class Index:
         items, places = [], []
         known = np.flatnonzero(x).astype(np.int64)
         symbols = x[known]
+        for width, seeds, item, at in self.seeds:
+            start = known[known <= len(x) - width]
+            for i in range(1, width):
+                start = start[x[start + i] > 0]
+            mine = self._packed(np.stack([x[start + i] for i in range(width)], axis=1))
+            lo, hi = np.searchsorted(seeds, mine), np.searchsorted(seeds, mine, "right")
+            got = C.expand(lo, hi - lo)
+            items.append(item[got])
+            places.append(np.repeat(start, hi - lo) - at[got])
         x = np.append(x, np.zeros(STEPS + 1, x.dtype))
         for steps, bits, at, keys, owner in self.repeats:
             flat = np.ascontiguousarray(bits[:, : len(self.words) + 1])
@@ -175,7 +208,7 @@ class Index:
 
     def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """(text number, item number, fewest errors) of all items found in each text."""
-        if not self.repeats:
+        if not self.repeats and not self.seeds:
             return
         get = self.words.get
         lists = [plain_words(t) for t in texts]

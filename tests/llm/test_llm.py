@@ -258,6 +258,37 @@ def test_leaks_and_recall(spark):
         assert e == edits(items[i], toxicity.plain_words(rows[n][1].encode()))
 
 
+def test_short_items_with_any_word_edited(spark):
+    rnd = random.Random(13)
+    word = lambda c: f"{c}{rnd.randrange(400)}"
+    items = {n: [word("i") for _ in range(n)] for n in range(5, 15)}
+    rows = []
+    for w in items.values():
+        for at in range(len(w)):
+            for now in (w[:at] + ["zq"] + w[at + 1 :], w[:at] + w[at + 1 :], w[:at] + ["zq"] + w[at:]):
+                rows.append((len(rows), " ".join(now if at % 2 else [word("h") for _ in range(9)] + now + [word("h") for _ in range(9)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["errors"] for r in decontam.contaminated(spark, docs, bench).collect()}
+    split = [(i, t.encode().split()) for i, t in rows]
+    held = {n: [x.encode() for x in w] for n, w in items.items()}
+    assert got == {(i, n): e for i, t in split for n, w in held.items() if (e := edits(w, t)) <= len(w) // 5}
+
+
+def test_classes_that_miss_their_recall_are_seeded(monkeypatch):
+    rnd = random.Random(14)
+    items = [(n, [b"w%d" % rnd.randrange(5000) for _ in range(size)]) for n, size in enumerate([20] * 30 + [60] * 30)]
+    assert not decontam.Index(items).seeds
+    monkeypatch.setattr(decontam, "MOST_REPEATS", 1)
+    index = decontam.Index(items)
+    assert min(index.planned.values()) < decontam.RECALL and index.seeds
+    for n, w in items:
+        now = list(w)
+        for at in rnd.sample(range(len(w)), len(w) // 5):
+            now[at] = b"zq"
+        assert index.planned[len(w).bit_length()] >= decontam.RECALL or (0, n) in {(d, i) for d, i, _ in index.matches([b" ".join(now)])}
+
+
 # -- 8 -------------------------------------------------------------------------------------------
 
 
