@@ -172,6 +172,26 @@ def test_bands():
     assert not quality.in_bands(b"", quality.Bands(), z)[2]
 
 
+def test_bands_reject_short_and_partial_noise(spark):
+    import base64
+
+    import zstandard
+
+    z, rnd, bands = zstandard.ZstdCompressor(level=3), random.Random(3), quality.Bands()
+    prose = max((r["text"] or "" for r in documents(spark).collect()), key=len).encode()
+    coded = lambda n: b" ".join(re.findall(rb".{1,7}", base64.b64encode(rnd.randbytes(n))))[:n]
+    for n in (85, 110, 150, 250, 700):
+        noise = [rnd.randbytes(n) for _ in range(50)] + [coded(n) for _ in range(50)]
+        assert sum(quality.in_bands(t, bands, z)[2] for t in noise) <= 2
+        starts = range(0, 50 * 60, 60)
+        assert sum(quality.in_bands(prose[i : i + n], bands, z)[2] for i in starts) >= 45
+    for n in (5000, 9000, 19_000):
+        assert len(prose) >= n and quality.in_bands(prose[:n], bands, z)[2]
+        half = prose[: n // 2] + coded(n - n // 2)
+        assert not quality.in_bands(half, bands, z)[2]
+    assert quality.in_bands(prose[:4096], bands, z)[1] == 0 and quality.in_bands(prose[:4095], bands, z)[1] is None
+
+
 # -- 5 -------------------------------------------------------------------------------------------
 
 
