@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import schema as S
@@ -11,6 +11,7 @@ from factloom.operators.edges import inside, ranked, spans
 
 HOMONYMS, HITS_PER_FILE, WEAK_CONFIDENCE = 8, 50, 0.3
 FLOOR = 3.0
+LEVELS = 6
 
 
 def admitted(literals: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -55,11 +56,16 @@ def weak_sites(links: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def section_spans(headings: DataFrame, files: DataFrame) -> DataFrame:
-    """(doc_id, level, heading, start_line, end_line): a section ends before the next heading of its level or above."""
-    a, b = headings.alias("a"), headings.alias("b")
-    after = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.start_line") > F.col("a.start_line")) & (F.col("b.level") <= F.col("a.level")), "left")
-    ends = after.groupBy("a.doc_id", "a.level", "a.heading", "a.start_line").agg(F.min("b.start_line").alias("next"))
-    return ends.join(files.select("doc_id", "lines"), "doc_id").select("doc_id", "level", "heading", "start_line", F.coalesce(F.col("next") - 1, F.col("lines")).alias("end_line"))
+    """(doc_id, level, heading, start_line, end_line): a section ends before the next heading of its level or above.
+
+    A heading's level is 1 to LEVELS.  One sorted pass from a document's end keeps the nearest
+    heading for each level, so headings are not paired.
+    """
+    later = Window.partitionBy("doc_id").orderBy(F.desc("start_line")).rangeBetween(Window.unboundedPreceding, -1)
+    own = headings.select("doc_id", "level", "heading", "start_line").distinct()
+    following = own.select("*", *[F.min(F.when(F.col("level") <= n, F.col("start_line"))).over(later).alias(f"next{n}") for n in range(1, LEVELS + 1)])
+    after = F.coalesce(*[F.when(F.col("level") == n, F.col(f"next{n}")) for n in range(1, LEVELS + 1)])
+    return following.join(files.select("doc_id", "lines"), "doc_id").select("doc_id", "level", "heading", "start_line", F.coalesce(after - 1, F.col("lines")).alias("end_line"))
 
 
 def section_hits(lines: DataFrame, sections: DataFrame, needle: str) -> DataFrame:

@@ -712,4 +712,4 @@ def _(f: Facts) -> DataFrame:
     from factloom.streaming import scheduler
 
     events = f.table("events").select(F.lit("repo").alias("key"), "ts", F.when(F.col("event_type") == "purchase", "head").otherwise("change").alias("op"), (F.col("event_id") % 120).cast("int").alias("debt"))
-    return scheduler.decisions(events.where("event_id < 500"))
+    return scheduler.decisions(events)

@@ -200,3 +200,24 @@ def test_empty_tables(spark):
     roots = spark.createDataFrame([(1,)], "root bigint")
     assert services.affects_hops(roots, links, s, f, e).count() == 0
     assert graph.distances(roots.select("root", F.col("root").alias("node")), e, 3).count() == 1
+
+
+def test_sections_end_without_pairing(spark):
+    import random
+
+    rnd = random.Random(4)
+    heads = [(d, rnd.randint(1, 6), f"h{i}", line) for d in range(4) for i, line in enumerate(sorted(rnd.sample(range(900), 120)))]
+    table = spark.createDataFrame(heads, "doc_id bigint, level int, heading string, start_line int")
+    lines = spark.createDataFrame([(d, 900) for d in range(4)], "doc_id bigint, lines int")
+    want = sorted((d, v, h, at, min((b[3] for b in heads if b[0] == d and b[3] > at and b[1] <= v), default=901) - 1) for d, v, h, at in heads)
+    found = text.section_spans(table, lines)
+    assert rows(found, "doc_id", "level", "heading", "start_line", "end_line") == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # only with the documents, no headings with headings
+
+
+def test_scheduler_query_reads_every_event(spark):
+    from factloom.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    events = spark.read.parquet(f"{data}/events.parquet").count()
+    assert events > 500 and registry.queries()["reindex_scheduler"](spark, data).count() == events
