@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds as words at a time.
 SUB_BATCH_BYTES = 1 << 20
+#: Rows of (id, key) that may be broadcast.
+BROADCAST_ROWS = 500_000
+#: Keys with more rows than this, and than all rows over HOT_KEYS, are joined by broadcast.
+HOT_ROWS, HOT_KEYS = 64, 100_000
 
 _RUN = uuid.uuid4().hex[:12]
 _ROOTS: dict[str, SparkSession] = {}
@@ -71,9 +76,47 @@ def bucket_of(column: str, n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(n)
 
 
-def row_id() -> F.Column:
-    """doc_id, or a hash of the text for a row without one; equal texts without a doc_id share it."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("row"), F.coalesce(F.col("text"), F.lit(""))))
+def text_key() -> F.Column:
+    """A hash of the text; with the doc_id it tells rows apart where ids are absent or repeated."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The *names*, each with as many underscores added as make it differ from every column of *df*."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def without(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """*docs* but for the rows whose doc_id and text key are in *rows* (doc_id, text_key).
+
+    *rows* is written, counted, and broadcast if it has BROADCAST_ROWS rows at most.  Null ids
+    are equal to each other, so a row without a doc_id is known by its text.
+    """
+    a, b = fresh(docs, "gone_id", "gone_key")
+    gone = staged(spark, rows.select(F.col("doc_id").cast("long").alias(a), F.col("text_key").alias(b)).distinct(), "gone")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (text_key() == F.col(b))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+
+
+def split_join(rows: DataFrame, table: DataFrame, key: str, hot: F.Column) -> DataFrame:
+    """*rows* joined with *table* on *key*, which is unique in *table*.
+
+    Rows of the *hot* keys never meet in one task: the caller sees to it that so few keys are hot
+    (each holds more rows than a known share of the total) that they may be broadcast.
+    """
+    few = F.broadcast(table.where(hot))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.where(~hot), key))
+
+
+def hot_from(total: int) -> int:
+    """Rows from which a key counts as hot, so that of *total* rows at most HOT_KEYS keys are."""
+    return max(HOT_ROWS, math.ceil(total / HOT_KEYS))
 
 
 def docs_of(df: DataFrame, *more: str) -> DataFrame:
@@ -137,15 +180,17 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     """(node, root): the smallest node that each end of an edge (src, dst) can reach.
 
     Alternating large-star and small-star contraction.  Each round is two groupings with
-    map-side minima and two joins, is written to the shared folder, and ends when a round
-    leaves the edges as they were.  Hubs are joined by AQE's skew splitting, never gathered.
+    map-side minima, whose minima are joined back; it is written to the shared folder, and the
+    last round is the one that leaves the edges as they were.  The minima of hubs are broadcast
+    (``split_join``), so the edges of a hub stay where they are.
     """
 
-    def star(e: DataFrame, name: str, large: bool) -> DataFrame:
+    def star(e: DataFrame, count: int, name: str, large: bool) -> DataFrame:
         both = e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         near = both if large else both.where("dst < src")
-        low = near.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("low"))
-        joined = near.join(low, "src")
+        low = near.groupBy("src").agg(F.min("dst").alias("low"), F.count("*").alias("held")).select("src", F.least("src", "low").alias("low"), "held")
+        low = staged(spark, low, "minima")
+        joined = split_join(near, low, "src", F.col("held") > hot_from(2 * count))
         if large:
             out = joined.where("dst > src").select(F.col("dst").alias("a"), F.col("low").alias("b"))
         else:
@@ -161,7 +206,7 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
     for _ in range(rounds):
         if not last[0]:
             break
-        edges = star(star(edges, "large", True), "small", False)
+        edges = star(star(edges, last[0], "large", True), last[0], "small", False)
         now = mark(edges)
         if now == last:
             break

@@ -18,14 +18,16 @@ allowance are applied and repetitions are added until ``recall`` of the edited i
 their original in every class of lengths.  Items of fewer than SHORT words leave a walk no room
 beside an edit; they, and classes that miss ``recall`` within MOST_REPEATS, are seeded instead:
 an item with k edits is cut into k+1 blocks, of which one stays whole, and every window that
-holds the first SEED_WORDS words of some block is a candidate, so none is lost.  Candidate windows then pass a count filter that loses nothing (an item within
-k errors shares at least n-k words) and an exact semi-global edit distance.
-
-The items are a query set: they are sent to the executors in blocks of at most BLOCK_WORDS
-words, and each block is matched against all rows.  Documents are never shuffled or compared
-with each other.  Defined results: null or empty texts and items match nothing; items of fewer
-than MIN_WORDS words are not searched, as they say nothing about leakage; equal items match
-separately; repeated rows give one result row per doc_id and item.
+holds the first SEED_WORDS words of some block is a candidate, so none is lost.  (Items of
+fewer than five words are allowed no edit, so their one block is the item.)  Candidate windows
+then pass a count filter that loses nothing (an item within k errors shares at least n-k words)
+and an exact semi-global edit distance.
+
+The items are a query set: they are sent to the executors in blocks of at most about BLOCK_WORDS
+words, and each block is matched against all rows; of several blocks one is held at a time.
+Documents are never shuffled or compared with each other.  Defined results: null or empty texts
+and items match nothing; equal items match separately; repeated rows give one result row per
+doc_id and item, and all rows without a doc_id together one per item.
 """
 
 from __future__ import annotations
@@ -46,20 +48,18 @@ ERROR = 0.2
 RECALL = 0.98
 SAMPLES = 3
 STEPS = 12
-MIN_WORDS = 5
 MOST_REPEATS = 48
 #: Items below this length are found by whole blocks; a block is looked up by its first words.
 SHORT, SEED_WORDS = 15, 3
 BLOCK_WORDS = 2_000_000
 OWN_CELLS = 1 << 24
-BROADCAST_IDS = 500_000
 
 
 class Index:
     """Items, walks and sampled steps of all repetitions."""
 
     def __init__(self, items: list[tuple[int, list[bytes]]], error: float = ERROR, recall: float = RECALL, seed: int = 11) -> None:
-        self.items = [(i, w) for i, w in items if len(w) >= MIN_WORDS]
+        self.items = [(i, w) for i, w in items if w]
         self.words: dict[bytes, int] = {}
         for _, w in self.items:
             for x in w:
@@ -276,40 +276,42 @@ def _match(index):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
         for b in batches:
-            ids, texts, rows = b.column(0).to_pylist(), C.text_bytes(b.column(1)), []
+            ids, texts, keys, rows = b.column(0).to_pylist(), C.text_bytes(b.column(1)), b.column(2).to_pylist(), []
             for lo, hi in C.sub_batches(texts):
-                rows += [(ids[lo + d], own.ids[i], len(own.tokens[i]), e) for d, i, e in own.matches(texts[lo:hi])]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "item_words", "errors"])
+                rows += [(ids[lo + d], keys[lo + d], own.ids[i], len(own.tokens[i]), e) for d, i, e in own.matches(texts[lo:hi])]
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "text_key", "item_id", "item_words", "errors"])
 
     return run
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, error: float = ERROR, recall: float = RECALL) -> DataFrame:
-    """(doc_id, item_id, item_words, errors) for every document and every item found in it."""
+def _found(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, error: float, recall: float) -> DataFrame:
+    """(doc_id, text_key, item_id, item_words, errors) for every row and every item found in it."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = C.docs_of(docs).withColumn("text_key", C.text_key())
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / (4 * BLOCK_WORDS)))
     found = None
     for block in range(blocks):  # one pass over the documents for each bounded part of the query set
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         index = Index(sorted(((r["item_id"], plain_words(r["text"].encode())) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])), error, recall)
-        one = C.docs_of(docs).mapInArrow(_match(spark.sparkContext.broadcast(index)), "doc_id long, item_id long, item_words long, errors long")
+        sent = spark.sparkContext.broadcast(index)
+        one = rows.mapInArrow(_match(sent), "doc_id long, text_key long, item_id long, item_words long, errors long")
+        if blocks > 1:
+            one = C.staged(spark, one, "found")
+            sent.destroy()
         found = one if found is None else found.unionAll(one)
-    return found.groupBy("doc_id", "item_id").agg(F.min("item_words").alias("item_words"), F.min("errors").alias("errors"))
+    return found
 
 
-def without(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """*docs* but for the rows whose ``row_id`` is in *ids*, which is broadcast if it has BROADCAST_IDS rows at most."""
-    ids = C.staged(spark, ids.select(F.col("row_id").alias("gone")).distinct(), "gone")
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, C.row_id() == F.col("gone"), "left_anti")
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, error: float = ERROR, recall: float = RECALL) -> DataFrame:
+    """(doc_id, item_id, item_words, errors) for every document and every item found in it."""
+    return _found(spark, docs, benchmark, error, recall).groupBy("doc_id", "item_id").agg(F.min("item_words").alias("item_words"), F.min("errors").alias("errors"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, error: float = ERROR, recall: float = RECALL) -> DataFrame:
-    """*docs* without the documents that hold an item; a row without a doc_id is a document by its text."""
-    found = contaminated(spark, docs.select(C.row_id().alias("doc_id"), "text"), benchmark, error, recall)
-    return without(spark, docs, found.withColumnRenamed("doc_id", "row_id"))
+    """*docs* without the rows that hold an item, with all their columns; null and empty texts hold none and stay."""
+    return C.without(spark, docs, _found(spark, docs, benchmark, error, recall))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

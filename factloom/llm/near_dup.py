@@ -1,28 +1,33 @@
 """MinHash near-duplicates by a multi-index Hamming join.
 
 A document's set holds its distinct five-word shingles (ASCII-lower-cased words between
-ASCII white space).  K one-byte MinHash values form its signature.  Two signatures differ in
-at most *radius* values when two sets have the wanted similarity, but for a chance of about
-3e-5.  The signature is cut into m chunks with 2*m > radius, so by the pigeonhole principle
-some chunk of such a pair has at most one error; every chunk is indexed once for each value
-left out, and pairs with at most one error there meet under one key.  No such pair is lost.
+ASCII white space).  K one-byte MinHash values form its signature.  Two sets of the wanted
+similarity have signatures that differ in more than *radius* values with a chance of LOSS at
+most (``radius_for`` counts it from the binomial).  The signature is cut into m chunks with
+2*m > radius, so by the pigeonhole principle some chunk of such a pair has at most one error;
+every chunk is indexed once for each value left out, and pairs with at most one error there
+meet under one key.  No pair within the radius is lost.
 
 How it runs on many rows:
 
 1. Equal sets become one class (a grouping with map-side minima, so a group of copies that
    holds a third of all rows costs one row per task).
 2. Keys held by one class only are dropped after a counting group-by; the rest meet their
-   signatures.  A key with more than ``BLOCK`` classes is dealt over pairs of hashed blocks.
-3. Each task unites the pairs within the radius into families, without emitting pairs.
-4. Families are cut into block pairs by members and shingles; each task holds the full sets
-   of two blocks, confirms links on them and returns a spanning star per block pair.
-5. Stars of one-block families are final; the others are contracted to components.
+   signatures, and each task unites the pairs within the radius into families.
+3. The full sets of a family's members are written once, and each task confirms links between
+   sets that it holds.  Links are contracted to components.
+
+A key or family of more than BLOCK classes is dealt over blocks by a hash.  At first the pairs
+inside a block, and those of each block with block 0, are compared: two copies of every row,
+whatever the size.  Where that leaves several groups, every member outside the largest one
+visits all other blocks; members of one group are never compared again.
 
 Defined results: null or empty text has no shingles, is linked with nothing and forms its
 own component; a text of fewer than five words has its whole word sequence as the one
-shingle; repeated rows with one doc_id share a component; a row without a doc_id is known by
-a hash of its text, links texts like any other, and takes the smallest doc_id among texts
-linked to it.  Where none of them has a doc_id that is null, and one text of them is kept.
+shingle; repeated rows with one doc_id and text share a component, and rows with one doc_id
+but different texts are judged each by its text; a row without a doc_id is known by its text,
+links texts like any other, and takes the smallest doc_id among texts linked to it.  Where
+none of them has a doc_id that is null, and one text of them is kept.
 """
 
 from __future__ import annotations
@@ -41,8 +46,8 @@ from . import common as C
 K = 64
 BLOCK = 256
 BLOCK_SHINGLES = 1_000_000
-#: Rows of (doc_id, family) that may be broadcast to find the texts of family members.
-BROADCAST_ROWS = 500_000
+#: Chance that a pair at exactly the wanted similarity differs in more values than the radius.
+LOSS = 2e-5
 
 _P = np.array([xxhash.xxh64_intdigest(b"position", seed=i) | 1 for i in range(64)], np.uint64)
 _A = np.array([xxhash.xxh64_intdigest(b"multiply", seed=i) | 1 for i in range(K)], np.uint64)
@@ -50,9 +55,13 @@ _B = np.array([xxhash.xxh64_intdigest(b"flip", seed=i) for i in range(K)], np.ui
 
 
 def radius_for(num: int, den: int, k: int = K) -> int:
-    """Signature errors that a pair of similarity num/den exceeds with a chance of about 3e-5."""
-    p = 1 - num / den
-    return min(k - 1, math.floor(k * p + 4 * math.sqrt(k * p * (1 - p))))
+    """The least radius that the signature errors of a pair of similarity num/den exceed with a chance of LOSS at most."""
+    p, below = 1 - num / den, 0.0
+    for r in range(k):
+        below += math.comb(k, r) * p**r * (1 - p) ** (k - r)
+        if 1 - below <= LOSS:
+            return r
+    return k - 1
 
 
 def chunks_for(radius: int, k: int = K) -> list[tuple[int, int]]:
@@ -122,7 +131,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sig[i], digest[i] = row.tobytes(), xxhash.xxh3_128_digest(sets[i].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0)[lo:hi], b.column(2)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
-                ["doc_id", "row_id", "n_shingles", "digest", "sig"],
+                ["doc_id", "text_key", "n_shingles", "digest", "sig"],
             )
 
 
@@ -178,26 +187,28 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterat
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _families(radius: int):  # noqa: ANN202
-    """Rows (key, b1, b2, mine, cid, sig) sorted by the first three: pairs of a key within *radius* are united."""
+def _families(radius: int, across: bool):  # noqa: ANN202
+    """Rows (key, block, guest, node, sig) sorted by the first two: nodes with a pair of their rows within *radius* are united.
+
+    Guests are not compared with each other, and with *across* neither are the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 3, 40_000):
-            key, b1, b2, mine, cid = (t.column(i).to_numpy() for i in range(5))
-            sig = np.frombuffer(b"".join(t.column(5).to_pylist()), np.uint8).reshape(-1, K)
-            ids, node = np.unique(cid, return_inverse=True)
+        for t in _grouped(batches, 2, 40_000):
+            key, block, guest, owner = (t.column(i).to_numpy() for i in range(4))
+            sig = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(-1, K)
+            ids, node = np.unique(owner, return_inverse=True)
             root = np.arange(len(ids))
-            at = _runs(key, b1, b2)
+            at = _runs(key, block)
             size = np.diff(at)
             left = np.repeat(at[1:], size) - np.arange(len(key)) - 1  # rows after this one in its run
-            split = b1 != b2
             rows = np.flatnonzero(left > 0)
             for step in range(1, int(size.max(initial=0))):
                 rows = rows[left[rows] >= step]
                 if not len(rows):
                     break
                 x, y = rows, rows + step
-                fit = (root[node[x]] != root[node[y]]) & (~split[x] | (mine[x] != mine[y]))
+                fit = (root[node[x]] != root[node[y]]) & ((guest[x] != guest[y]) if across else ~(guest[x] & guest[y]))
                 x, y = x[fit], y[fit]
                 if not len(x):
                     continue
@@ -210,40 +221,38 @@ def _families(radius: int):  # noqa: ANN202
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(family, blocks, cid, text) to a row for every block pair, with the set in place of the text."""
-    words = words_memo()
+    """(family, blocks, mine, cid, text) with the set in place of the text; of repeated rows a task returns one."""
+    words, done = words_memo(), set()
     for b in batches:
-        family, blocks, cid = (b.column(i).to_pylist() for i in range(3))
-        texts = C.text_bytes(b.column(3))
+        cid = b.column(3).to_pylist()
+        new = [i for i, c in enumerate(cid) if c not in done and not done.add(c)]
+        b = b.take(pa.array(new, pa.int64()))
+        texts = C.text_bytes(b.column(4))
         for lo, hi in C.sub_batches(texts):
-            rows: list[tuple] = []
-            for i, s in zip(range(lo, hi), shingle_sets(texts[lo:hi], words), strict=True):
-                mine = xxhash.xxh64_intdigest(str(cid[i])) % blocks[i]
-                rows += [(family[i], min(mine, o), max(mine, o), mine, cid[i], s.tobytes()) for o in range(blocks[i])]
-            if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[1:4]), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())],
-                    ["family", "b1", "b2", "mine", "cid", "set"],
-                )
-
-
-def linked(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int, radius: int) -> np.ndarray:
-    """Forest over *sets*: i and j of different sides (any, if None) whose sets have den*inter >= num*union are united."""
-    n = len(sets)
-    root = np.arange(n)
+            sets = [s.tobytes() for s in shingle_sets(texts[lo:hi], words)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i)[lo:hi] for i in range(4)), pa.array(sets, pa.binary())], ["family", "blocks", "mine", "cid", "set"])
+
+
+def linked(sets: list[np.ndarray], node: np.ndarray, guest: np.ndarray, across: bool, num: int, den: int, radius: int) -> np.ndarray:
+    """Forest over nodes 0..: those with a pair of sets that have den*inter >= num*union are united.
+
+    Guests are not compared with each other, and with *across* neither are the others.
+    """
+    root = np.arange(int(node.max(initial=-1)) + 1)
     size = np.array([len(s) for s in sets], np.int64)
-    if n < 2:
+    if len(sets) < 2:
         return root
     sig = signatures(sets)
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     at = np.cumsum(size) - size
     mark = np.zeros(int(flat.max()) + 1, bool)
-    for i in range(n - 1):
-        j = np.arange(i + 1, n)
-        fit = (root[j] != root[i]) & (den * np.minimum(size[j], size[i]) >= num * np.maximum(size[j], size[i]))
-        if side is not None:
-            fit &= side[j] != side[i]
+    for i in range(len(sets) - 1):
+        j = np.arange(i + 1, len(sets))
+        fit = (root[node[j]] != root[node[i]]) & (den * np.minimum(size[j], size[i]) >= num * np.maximum(size[j], size[i]))
+        if across:
+            fit &= guest[j] != guest[i]
+        elif guest[i]:
+            fit &= ~guest[j]
         j = j[fit]
         if not len(j):
             continue
@@ -256,84 +265,166 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None, num: int, den: int,
         inter = np.add.reduceat(mark[flat[C.expand(at[j], size[j])]].astype(np.int64), starts)
         mark[mine] = False
         j = j[den * inter >= num * (size[j] + size[i] - inter)]
-        root = C.merge_roots(root, np.full(len(j), i), j)
+        root = C.merge_roots(root, np.full(len(j), node[i]), node[j])
     return root
 
 
-def _links(num: int, den: int, radius: int):  # noqa: ANN202
+def _links(num: int, den: int, radius: int, across: bool):  # noqa: ANN202
+    """Rows (family, block, guest, node, cid, set) sorted by the first two: nodes with linked sets are united."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _grouped(batches, 3, 200):
-            family, b1, b2, mine, cid = (t.column(i).to_numpy() for i in range(5))
+        for t in _grouped(batches, 2, 200):
+            family, block, guest, owner, cid = (t.column(i).to_numpy() for i in range(5))
             sets = [np.frombuffer(x, np.uint64) for x in t.column(5).to_pylist()]
-            at = _runs(family, b1, b2)
+            at = _runs(family, block)
             src, dst, fam = [], [], []
             for lo, hi in zip(at, at[1:], strict=False):
                 order = lo + np.unique(cid[lo:hi], return_index=True)[1]  # by cid; a repeated row counts once
-                side = mine[order] if b1[lo] != b2[lo] else None
-                root = linked([sets[i] for i in order], side, num, den, radius)
+                ids, node = np.unique(owner[order], return_inverse=True)
+                root = linked([sets[i] for i in order], node, guest[order], across, num, den, radius)
                 out = np.flatnonzero(root != np.arange(len(root)))
-                src.append(cid[order[root[out]]])
-                dst.append(cid[order[out]])
+                src.append(ids[root[out]])
+                dst.append(ids[out])
                 fam.append(np.full(len(out), family[lo]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (fam, src, dst)], ["family", "src", "dst"])
 
     return run
 
 
+def _dealt(rows: DataFrame, group: str, carried: list[str], guests: DataFrame) -> DataFrame:
+    """Rows (group, mine, node, ..) at their own block and *guests* (the same with block) at others, sorted by group and block."""
+    columns = [group, "block", "guest", "node", *carried]
+    home = rows.select(group, F.col("mine").alias("block"), F.lit(False).alias("guest"), "node", *carried)
+    both = home.unionAll(guests.withColumn("guest", F.lit(True)).select(*columns))
+    return both.repartition(group, "block").sortWithinPartitions(group, "block")
+
+
+def _block_zero(rows: DataFrame) -> DataFrame:
+    """Members of block 0 as guests of every other block."""
+    return rows.where("mine = 0 and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+
+
+def _apart(spark: SparkSession, rows: DataFrame, group: str, total: int) -> DataFrame:
+    """Of *rows* (group, mine, blocks, node, ..), those in groups that hold several nodes, with ``minor``: not of the group's largest node."""
+    sizes = rows.groupBy(group, "node").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy(group).agg(F.max(F.struct("n", "node")).alias("top"), F.count("*").alias("nodes"), F.sum("n").alias("held")).where("nodes > 1")
+    sizes = C.staged(spark, sizes.select(group, F.col("top.node").alias("major"), "held"), "majors")
+    joined = C.split_join(rows, sizes, group, F.col("held") > C.hot_from(total))
+    return joined.withColumn("minor", F.col("node") != F.col("major")).drop("major", "held")
+
+
+def _visits(rows: DataFrame) -> DataFrame:
+    """Minor members as guests of every block but their own."""
+    return rows.where("minor").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block != mine")
+
+
+def _settled(spark: SparkSession, roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) after the roots themselves were united by the edges *more* (src, dst)."""
+    up = C.components(spark, more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return C.staged(spark, moved.unionAll(up.select(F.col("root").alias("node"), F.col("top").alias("root"))).distinct(), "settled")
+
+
+def _candidates(spark: SparkSession, classes: DataFrame, radius: int) -> DataFrame:
+    """(node, root): the family of every class with another class within the radius."""
+    chunks = chunks_for(radius)
+    total = classes.count() * K
+    keys = classes.select("cid", "sig").mapInArrow(_keys(chunks), "key long, cid long")
+    shared = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    salts = F.when(F.col("held") > C.hot_from(total), F.ceil(F.col("held") / C.hot_from(total))).otherwise(1).cast("int")
+    shared = C.staged(spark, shared.select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"), salts.alias("salts")), "shared")
+    few = F.broadcast(shared.where("salts > 1").select("key", F.col("salts").alias("own")))  # HOT_KEYS at most
+    salted = keys.join(few, "key", "left").select("key", "cid", F.pmod(F.xxhash64("cid"), F.coalesce("own", F.lit(1))).cast("int").alias("salt"))
+    spread = shared.select("key", "blocks", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    met = salted.join(spread, ["key", "salt"]).select("key", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("mine"), F.col("cid").alias("node"))
+    met = C.staged(spark, met, "met")
+    signed = classes.select(F.col("cid").alias("node"), "sig")
+    rows = _dealt(met.join(signed, "node"), "key", ["sig"], _block_zero(met).join(signed, "node"))
+    roots = C.staged(spark, C.components(spark, rows.mapInArrow(_families(radius, False), "src long, dst long")), "families")
+    wide = met.where("blocks > 1")
+    if wide.isEmpty():
+        return roots
+    wide = wide.withColumnRenamed("node", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    wide = C.staged(spark, wide.select("key", "blocks", "mine", "cid", F.coalesce("root", "cid").alias("node")), "wide")
+    apart = C.staged(spark, _apart(spark, wide, "key", total), "apart")
+    if apart.isEmpty():
+        return roots
+    signed = classes.select("cid", "sig")
+    rows = _dealt(apart.join(signed, "cid"), "key", ["sig"], _visits(apart).join(signed, "cid"))
+    return _settled(spark, roots, rows.mapInArrow(_families(radius, True), "src long, dst long"))
+
+
+def _linked_classes(spark: SparkSession, docs: DataFrame, classes: DataFrame, roots: DataFrame, num: int, den: int, radius: int) -> DataFrame:
+    """(node, root): the component of every class with a confirmed link, the smallest class id being the root."""
+    family = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    known = classes.select(F.col("cid").alias("node"), "n", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key"))
+    family = C.staged(spark, family.join(known, "node").withColumnRenamed("root", "family"), "family")
+    total = family.count()
+    sized = family.groupBy("family").agg(F.count("*").alias("held"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sized = C.staged(spark, sized, "sized")
+    member = C.split_join(family, sized, "family", F.col("held") > C.hot_from(total))
+    member = member.select("family", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"), F.col("node").alias("cid"), F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"))
+    member = C.staged(spark, member, "members")
+    same = docs.doc_id.eqNullSafe(F.col("own_id")) & (docs.text_key == F.col("own_key"))
+    texts = docs.join(F.broadcast(member) if total <= C.BROADCAST_ROWS else member, same).select("family", "blocks", "mine", "cid", "text")
+    sets = C.staged(spark, texts.mapInArrow(_members, "family long, blocks int, mine int, cid long, set binary"), "sets")
+    rows = sets.withColumn("node", F.col("cid"))
+    rows = _dealt(rows, "family", ["cid", "set"], _block_zero(rows))
+    links = C.staged(spark, rows.mapInArrow(_links(num, den, radius, False), "family long, src long, dst long"), "links")
+
+    wide = C.staged(spark, sized.where("blocks > 1").select("family", "held"), "wide")
+    small = F.broadcast(wide)  # a family in blocks holds more than BLOCK classes or BLOCK_SHINGLES shingles
+    if wide.count() > C.BROADCAST_ROWS:
+        small = wide
+    stars = links.join(small, "family", "left_anti").select(F.col("dst").alias("node"), F.col("src").alias("root"))
+    if wide.isEmpty():
+        return stars
+    far = C.components(spark, links.join(small, "family", "left_semi").select("src", "dst"))
+    held = sets.join(small, "family", "left_semi").join(far.withColumnRenamed("node", "cid"), "cid", "left").withColumn("node", F.coalesce("root", "cid")).drop("root")
+    brief = C.staged(spark, held.drop("set").distinct(), "brief")
+    apart = C.staged(spark, _apart(spark, brief, "family", total), "apart")
+    if not apart.isEmpty():
+        whole = apart.join(sets.select("cid", "set"), "cid")
+        rows = _dealt(whole, "family", ["cid", "set"], _visits(whole))
+        more = rows.mapInArrow(_links(num, den, radius, True), "family long, src long, dst long").select("src", "dst")
+        far = _settled(spark, far, more)
+    return stars.unionAll(far)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of *docs* (doc_id, text).
 
     Documents with den * |intersection| >= num * |union| are linked; component_id is the
     smallest doc_id that a document can reach over links, itself included.
     """
-    return near_rows(spark, docs, num, den).drop("row_id")
+    return near_rows(spark, docs, num, den).drop("text_key", "first")
 
 
 def near_rows(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of *near_duplicates* with ``row_id``, which tells rows without a doc_id apart."""
+    """The rows of *near_duplicates* with ``text_key`` and ``first``: the row is its component's one to keep, or repeats it."""
     radius = radius_for(num, den)
-    chunks = chunks_for(radius)
-    docs = C.docs_of(docs).withColumn("row_id", C.row_id())
-    signed = C.staged(spark, docs.mapInArrow(_sign, "doc_id long, row_id long, n_shingles long, digest binary, sig binary"), "signed")
-    own = F.coalesce(F.min("doc_id"), F.min("row_id"))
-    classes = signed.where("digest is not null").groupBy("digest").agg(own.alias("cid"), F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    classes = C.staged(spark, classes, "classes")
-
-    keys = classes.select("cid", "sig").mapInArrow(_keys(chunks), "key long, cid long")
-    shared = keys.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    shared = shared.select("key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    met = keys.join(shared, "key").join(classes.select("cid", "sig"), "cid")
-    mine = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    met = met.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("key", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "mine", "cid", "sig")
-    met = met.repartition("key", "b1", "b2").sortWithinPartitions("key", "b1", "b2")
-    family = C.components(spark, met.mapInArrow(_families(radius), "src long, dst long"))
-    family = C.staged(spark, family.unionAll(family.select(F.col("root").alias("node"), "root").distinct()), "families")
-
-    sized = family.join(classes.select(F.col("cid").alias("node"), "n"), "node").groupBy("root").agg(F.count("*").alias("held"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("held") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    member = C.staged(spark, family.join(sized.select("root", blocks.alias("blocks")), "root").select(F.col("root").alias("family"), "blocks", F.col("node").alias("cid")), "members")
-    small = member.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(member) if small else member, docs.row_id == member.cid).select("family", "blocks", "cid", "text")
-    pairs = texts.mapInArrow(_members, "family long, b1 int, b2 int, mine int, cid long, set binary")
-    pairs = pairs.repartition("family", "b1", "b2").sortWithinPartitions("family", "b1", "b2")
-    links = C.staged(spark, pairs.mapInArrow(_links(num, den, radius), "family long, src long, dst long"), "links")
-
-    wide = member.where("blocks > 1").select("family").distinct()
-    stars = links.join(wide, "family", "left_anti").select(F.col("dst").alias("node"), F.col("src").alias("root"))
-    far = C.components(spark, links.join(wide, "family", "left_semi").select("src", "dst"))
-    root = stars.unionAll(far)
-
-    found = classes.select("digest", "cid", "low").join(root, F.col("cid") == F.col("node"), "left").select("digest", "low", F.coalesce("root", "cid").alias("component"))
-    if not classes.where("low is null").isEmpty():  # a hash may be the smallest of a component: the smallest doc_id stands for it where there is one
-        found = C.staged(spark, found, "found")
-        found = found.select("digest", "component").join(found.groupBy("component").agg(F.min("low").alias("low")), "component")
-    else:
-        found = found.withColumn("low", F.col("component"))
-    out = signed.where("digest is not null").join(found, "digest", "left").select("doc_id", "row_id", "n_shingles", F.col("low").alias("component"), F.coalesce("low", "component").alias("keeps"))
-    out = out.unionAll(signed.where("digest is null").select("doc_id", "row_id", "n_shingles", F.col("doc_id").alias("component"), F.col("row_id").alias("keeps")))
-    named = F.col("component").isNull() | F.col("doc_id").isNotNull()
-    return out.select("doc_id", "row_id", "n_shingles", F.col("component").alias("component_id"), (named & (F.col("row_id") == F.col("keeps"))).alias("kept"))
+    docs = C.docs_of(docs).withColumn("text_key", C.text_key())
+    signed = C.staged(spark, docs.mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, digest binary, sig binary"), "signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    classes = signed.where("digest is not null").groupBy("digest").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    classes = C.staged(spark, classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # once written, the numbers stay
+
+    roots = _candidates(spark, classes, radius)
+    roots = C.staged(spark, _linked_classes(spark, docs, classes, roots, num, den, radius), "roots")
+    both = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    groups = both.join(classes.select(F.col("cid").alias("node"), "first"), "node").groupBy("root").agg(F.min("first").alias("keeper"), F.count("*").alias("held"))
+    groups = C.staged(spark, groups, "groups")
+    named = C.split_join(both, groups, "root", F.col("held") > C.hot_from(signed.count())).select(F.col("node").alias("cid"), "keeper")
+    found = classes.join(named, "cid", "left").select("digest", "copies", F.coalesce("keeper", "first").alias("keeper"))
+    found = C.staged(spark, found, "found")
+
+    own = ["doc_id", "text_key", "n_shingles"]
+    out = C.split_join(signed.where("digest is not null").select(*own, "digest"), found, "digest", F.col("copies") > C.hot_from(signed.count()))
+    component = F.col("keeper.doc_id")
+    mine = F.col("doc_id").eqNullSafe(component) & (F.col("text_key") == F.col("keeper.text_key"))
+    out = out.select(*own, component.alias("component_id"), F.when(component.isNull(), mine).otherwise(F.col("doc_id").eqNullSafe(component)).alias("kept"), mine.alias("first"))
+    alone = signed.where("digest is null").select(*own, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("first"))
+    return out.unionAll(alone)
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .decontam import without
 from .langid import fit, predicted
 from .near_dup import near_rows
 
@@ -21,12 +20,19 @@ def keep_identified(spark: SparkSession, docs: DataFrame, least: float = LEAST_S
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest doc_id; of repeated rows the first."""
+    """One document of each group of near-duplicates, the one with the smallest doc_id, with all its columns.
+
+    Of rows that repeat a doc_id and its text one stays, any of them.  Null and empty texts are
+    near nothing: they stay, one for each doc_id, and all of those without one.
+    """
     found = C.staged(spark, near_rows(spark, docs, num, den), "near")
-    left = without(spark, docs, found.where("not kept"))
-    again = found.where("kept and (doc_id is not null or n_shingles > 0)").groupBy("row_id").count().where("count > 1").select("row_id")
-    again = C.staged(spark, again, "again")
+    left = C.without(spark, docs, found.where("not first"))
+    again = found.where("first and (doc_id is not null or n_shingles > 0)").groupBy("doc_id", "text_key").count().where("count > 1")
+    again = C.staged(spark, again.select("doc_id", "text_key"), "again")
     if again.isEmpty():
         return left
-    once = left.withColumn("_row", C.row_id()).join(again, F.col("_row") == F.col("row_id"), "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
-    return without(spark, left, again).unionAll(once)
+    a, b, own = C.fresh(docs, "again_id", "again_key", "own_key")
+    named = again.select(F.col("doc_id").alias(a), F.col("text_key").alias(b))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(a)) & (F.col(own) == F.col(b))
+    once = left.withColumn(own, C.text_key()).join(named, same, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)
+    return C.without(spark, left, again).unionAll(once)
