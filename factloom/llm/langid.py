@@ -3,8 +3,14 @@
 Document frequencies of hashed 1- to 3-grams are counted over all documents that may be
 learned from.  Weights are trained by follow-the-regularised-leader with elastic-net
 penalties on a bounded sample of labelled documents (``SAMPLE_PER_LANG`` of each language,
-``MAX_LANGS`` languages), taken by a hash of the id; a fifth of the sample, not trained on,
-sets the temperature.  The model is 2^15 rows of one float per language, whatever the input.
+those with the smallest hashes of id and text); a fifth of the sample, not trained on, sets the
+temperature.  The model is 2^15 rows of one float per language, whatever the input; a column
+of more than MOST_LANGS different languages holds something else, and is an error.
+
+The probability only says which learned language is the best one.  Whether the text is in any
+of them is told by how common its n-grams are (the mean log share of documents that hold them):
+``slack`` is that mean less the lowest one in the sample of the predicted language, below which
+a margin is left that shrinks with the sample.
 
 Defined results: null text and text without a letter give ``und`` and score 0; with nothing
 to learn from every text does.  Ties go to the language that sorts first.  Every input row
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +34,10 @@ from . import common as C
 BITS = 15
 DIM = 1 << BITS
 SAMPLE_PER_LANG = 1000
-MAX_LANGS = 256
+MOST_LANGS = 1000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.5, 1.0, 0.002, 0.0005
+#: The margin of a language with n sampled documents is MARGIN * (1 + 10 / sqrt(n)).
+MARGIN = 0.25
 
 _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -47,6 +55,11 @@ def grams(text: str) -> np.ndarray | None:
     return np.concatenate([((x + np.uint64(n)) * _MULT) >> shift for n, x in ((1, c), (1 << 40, two), (1 << 50, three))]).astype(np.int64)
 
 
+def common(ids: np.ndarray, idf: np.ndarray) -> float:
+    """Mean log share of documents over all n-grams of a text."""
+    return 1.0 - float(idf[ids].mean())
+
+
 def tfidf(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features of a text and their L2-normalised, sublinear TF-IDF values."""
     counts = np.bincount(ids, minlength=DIM)
@@ -72,17 +85,21 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(idf: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[int, int] = {}
         for b in batches:
-            ids, langs, at, x = [], [], [], []
-            for d, t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                g = grams(t)
+            ranks, langs, at, x, usual = [], [], [], [], []
+            for rank, t, lang, times in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                done[rank] = done.get(rank, 0) + 1
+                g = grams(t) if done[rank] <= times else None
                 if g is not None:
                     f, v = tfidf(g, idf)
-                    ids.append(d)
+                    ranks.append(rank)
                     langs.append(lang)
                     at.append(f.astype(np.uint16).tobytes())
                     x.append(v.astype(np.float32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["doc_id", "lang", "at", "x"])
+                    usual.append(common(g, idf))
+            arrays = [pa.array(c, k) for c, k in ((ranks, pa.int64()), (langs, pa.string()), (at, pa.binary()), (x, pa.binary()), (usual, pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["rank", "lang", "at", "x", "common"])
 
     return run
 
@@ -128,70 +145,81 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], langs: list[str]) -> t
 
 def _train(langs: list[str]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, usual = [], {lang: [] for lang in langs}
         for b in batches:
+            for lang, c in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
+                usual[lang].append(c)
             for d, lang, at, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                rows.append((xxhash.xxh64_intdigest(str(d)), d is None or d, lang, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)))
+                rows.append((xxhash.xxh64_intdigest(str(d)), d, lang, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)))
         rows.sort(key=lambda r: r[:3])
         w, t = train([r[2:] for r in rows], langs)
-        yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([t], pa.float64())], ["w", "t"])
+        lows = [min(c) - MARGIN * (1 + 10 / len(c) ** 0.5) if c else 0.0 for c in usual.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([t], pa.float64()), pa.array([lows], pa.list_(pa.float64()))], ["w", "t", "lows"])
 
     return run
 
 
-def predict(model: tuple, texts: list[str]) -> tuple[list[str], list[float]]:
-    """The most probable language of each text and its calibrated probability."""
-    langs, idf, w, t = model
-    pred, score = [], []
+def predict(model: tuple, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+    """The most probable language of each text, its calibrated probability, and the slack of its n-grams."""
+    langs, idf, w, t, lows = model
+    pred, score, slack = [], [], []
     for text in texts:
         g = grams(text) if langs else None
         if g is None:
             pred.append("und")
             score.append(0.0)
+            slack.append(0.0)
             continue
         f, v = tfidf(g, idf)
         p = softmax((v.astype(np.float32) @ w[f] + w[DIM]) / t)
         best = int(p.argmax())
         pred.append(langs[best])
         score.append(float(p[best]))
-    return pred, score
+        slack.append(common(g, idf) - lows[best])
+    return pred, score, slack
 
 
-def _predict(model, names: list[str]):  # noqa: ANN001, ANN202
-    """All columns but ``text`` unless it is in *names*, then lang_pred and score."""
+def _predict(model, names: list[str], more: list[str]):  # noqa: ANN001, ANN202
+    """All columns but ``text`` unless it is in *names*, then as many results as *more* names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pred, score = predict(model.value, [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
+            got = predict(model.value, [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()])
+            kinds = (pa.string(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *(pa.array(c, k) for c, k, _ in zip(got, kinds, more))], [*names, *more])
 
     return run
 
 
-def predicted(spark: SparkSession, docs: DataFrame, model: tuple, names: list[str]) -> DataFrame:
-    """Columns *names* of *docs*, which has ``text``, with lang_pred and score."""
-    kinds = T.StructType([docs.schema[n] for n in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_predict(spark.sparkContext.broadcast(model), names), kinds)
+def predicted(spark: SparkSession, docs: DataFrame, model: tuple, names: list[str], more: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """Columns *names* of *docs*, which has ``text``, with the predicted language, its probability and (if *more* has three names) the slack."""
+    kinds = T.StructType([docs.schema[n] for n in names] + [T.StructField(n, k) for n, k in zip(more, (T.StringType(), T.DoubleType(), T.DoubleType()))])
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(_predict(spark.sparkContext.broadcast(model), names, list(more)), kinds)
 
 
-def fit(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float]:
-    """Languages, idf, weights and temperature from the documents (doc_id, text, lang) with a language."""
+def fit(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, float, list[float]]:
+    """Languages, idf, weights, temperature and each language's least common text from the documents (doc_id, text, lang) with a language."""
     known = C.docs_of(docs, "lang").where("lang is not null")
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS + 1).collect()
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"lang holds more than {MOST_LANGS} different values")
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
-        return [], np.ones(DIM), np.zeros((DIM + 1, 1), np.float32), 1.0
+        return [], np.ones(DIM), np.zeros((DIM + 1, 1), np.float32), 1.0, []
     counted = known.select("text").mapInArrow(_frequencies, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
     df = np.zeros(DIM + 1)
     for r in counted:  # at most DIM + 1 rows
         df[r["feature"]] = r["df"]
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    share = spark.createDataFrame([(r["lang"], min(1.0, SAMPLE_PER_LANG / r["count"])) for r in sizes], "lang string, share double")
-    chance = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = known.join(F.broadcast(share), "lang").where(chance < F.col("share")).select("doc_id", "text", "lang")
-    rows = sample.mapInArrow(_features(idf), "doc_id long, lang string, at binary, x binary").repartition(1)
-    got = rows.mapInArrow(_train(langs), "w binary, t double").first()
-    return langs, idf, np.frombuffer(got["w"], np.float32).reshape(DIM + 1, len(langs)), got["t"]
+    rank = F.xxhash64(F.lit("langid"), "doc_id", "text")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank"))
+    # Each task passes on its first rows only (a window group limit), so a language's window holds SAMPLE_PER_LANG rows of each task.
+    drawn = known.select("lang", rank.alias("rank")).withColumn("place", place).where(F.col("place") <= SAMPLE_PER_LANG)
+    drawn = C.staged(spark, drawn.groupBy("lang", "rank").agg(F.count("*").alias("times")), "drawn")  # SAMPLE_PER_LANG rows of each language at most
+    sample = known.withColumn("rank", rank).join(F.broadcast(drawn), ["lang", "rank"]).select("rank", "text", "lang", "times")
+    rows = sample.mapInArrow(_features(idf), "rank long, lang string, at binary, x binary, common double").repartition(1)
+    got = rows.mapInArrow(_train(langs), "w binary, t double, lows array<double>").first()
+    return langs, idf, np.frombuffer(got["w"], np.float32).reshape(DIM + 1, len(langs)), got["t"], list(got["lows"])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, learn: F.Column | None = None) -> DataFrame:

@@ -2,9 +2,10 @@
 
 Tokens (runs between ASCII white space) are summed by (source, language, topic) cell.  The
 cells' weights are raked in turn to the target shares of sources, languages and topics until
-all three margins hold to TOLERANCE.  Each document's calibrated probability is its cell's
+all three margins hold to TOLERANCE, or ROUNDS times; ``gap`` says by which share of all tokens
+the margins were off in the last round, as targets can contradict each other.  Each document's calibrated probability is its cell's
 weight, scaled so that the expected tokens kept are the budget and none exceeds one; it is
-sampled if a hash of its id falls below.
+sampled if a hash of its id (of its text, for a row without one) falls below.
 
 One pass reads the texts and keeps a few bytes per row; cells are a grouping with map-side
 sums, so a source with a third of all rows is one row per task.  Every source and language
@@ -17,7 +18,9 @@ a cell, or name a value without tokens, the shares of the rest are scaled to one
 
 Defined results: null source or language counts as a value of its own; null or empty text has no
 tokens, topic ``empty`` and the weight of its cell, or 1 where the cell has no tokens; the
-same rows give the same sample on any run; repeated rows are sampled alike.
+same rows give the same sample on any run; repeated rows, and equal texts without a doc_id, are
+sampled alike.  A column of the input that bears the name of a result keeps it; the result's name
+gets an underscore.
 """
 
 from __future__ import annotations
@@ -61,30 +64,31 @@ def topic_of(text: bytes, words: int) -> str:
     return "brief" if words < 100 else "article" if words < 1000 else "longform"
 
 
-def _measure(names: list[str]):  # noqa: ANN202
+def _measure(names: list[str], more: list[str]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = C.text_bytes(b.column(b.schema.get_field_index("text")))
             words = [len(t.split()) for t in texts]
             topics = [topic_of(t, n) for t, n in zip(texts, words, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(topics, pa.string()), pa.array(words, pa.int64())], [*names, "topic", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(topics, pa.string()), pa.array(words, pa.int64())], [*names, *more])
 
     return run
 
 
-def measured(docs: DataFrame, names: list[str]) -> DataFrame:
-    """Columns *names* of *docs*, which has ``text``, with topic and n_tokens."""
+def measured(docs: DataFrame, names: list[str], more: tuple[str, str] = ("topic", "n_tokens")) -> DataFrame:
+    """Columns *names* of *docs*, which has ``text``, with the topic and the number of tokens under the names in *more*."""
     rows = docs.select(*dict.fromkeys([*names, "text"]))
-    kinds = T.StructType([rows.schema[n] for n in names] + [T.StructField("topic", T.StringType()), T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(_measure(names), kinds)
+    kinds = T.StructType([rows.schema[n] for n in names] + [T.StructField(more[0], T.StringType()), T.StructField(more[1], T.LongType())])
+    return rows.mapInArrow(_measure(names, list(more)), kinds)
 
 
-def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
-    """Factor of each cell after which the token shares of every margin are the targets."""
+def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Factor of each cell after which the token shares of every margin are the targets, and the gap."""
     w = tokens.astype(np.float64)
     total = w.sum()
+    worst = 0.0
     if total <= 0:
-        return np.ones(len(tokens))
+        return np.ones(len(tokens)), worst
     for _ in range(ROUNDS):
         worst = 0.0
         for code, target in zip(codes, targets, strict=True):
@@ -98,7 +102,7 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray])
             w = w * scale[code]
         if worst < TOLERANCE:
             break
-    return np.divide(w, tokens, out=np.ones(len(tokens)), where=tokens > 0)
+    return np.divide(w, tokens, out=np.ones(len(tokens)), where=tokens > 0), worst
 
 
 def calibrated(tokens: np.ndarray, factor: np.ndarray, budget: float) -> np.ndarray:
@@ -126,8 +130,8 @@ MARGINS = ("source", "lang", "topic")
 _CELLS = "source string, lang string, topic string, weight double, prob double"
 
 
-def _raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
-    """Cells (source, lang, topic, t) with w, their raked tokens: each round is a grouping and a join back per margin, written once."""
+def _raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, float]]) -> tuple[DataFrame, float]:
+    """Cells (source, lang, topic, t) with w, their raked tokens, and the gap: each round is a grouping and a join back per margin, written once."""
     total = float(cells.agg(F.sum("t")).first()[0] or 0)
     shares = {}
     for n in MARGINS:
@@ -136,8 +140,9 @@ def _raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, f
         else:
             shares[n] = C.staged(spark, cells.groupBy(n).agg(F.pow(F.sum("t"), F.lit(TEMPER)).alias("share")), "shares")
     out = cells.withColumn("w", F.col("t").cast("double"))
+    worst = 0.0
     if total <= 0:
-        return out
+        return out, worst
     for _ in range(ROUNDS):
         out = out.withColumn("worst", F.lit(0.0))
         for n in MARGINS:
@@ -154,7 +159,7 @@ def _raked(spark: SparkSession, cells: DataFrame, targets: dict[str, dict[str, f
         out = out.drop("worst")
         if worst < TOLERANCE:
             break
-    return out
+    return out, worst
 
 
 def _calibrated_cells(cells: DataFrame, budget: float) -> DataFrame:
@@ -170,44 +175,53 @@ def _calibrated_cells(cells: DataFrame, budget: float) -> DataFrame:
     return rows.select(*MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") * (scale if r[1] else 1e12)).alias("prob"))
 
 
-def cells_of(spark: SparkSession, rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> tuple[DataFrame, bool]:
-    """The cells (source, lang, topic, weight, prob) of rows with source, lang, topic and n_tokens, and whether they are few enough to broadcast."""
+def cells_of(spark: SparkSession, rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> tuple[DataFrame, bool, float]:
+    """The cells (source, lang, topic, weight, prob) of rows with source, lang, topic and n_tokens, whether they are few enough to broadcast, and the gap."""
     targets = targets or {}
     cells = rows.groupBy(*(F.coalesce(n, F.lit(NONE)).alias(n) for n in ("source", "lang")), "topic").agg(F.sum("n_tokens").alias("t"))
     cells = C.staged(spark, cells, "cells")
     if cells.count() > DRIVER_CELLS:
-        return C.staged(spark, _calibrated_cells(_raked(spark, cells, targets), budget), "calibrated"), False
+        raked, gap = _raked(spark, cells, targets)
+        return C.staged(spark, _calibrated_cells(raked, budget), "calibrated"), False, gap
     found = sorted(tuple(r) for r in cells.select(*MARGINS, "t").collect())
     tokens = np.array([r[3] for r in found], np.float64)
     margins = [_codes([r[i] for r in found], tokens, targets.get(n)) for i, n in enumerate(MARGINS)] if found else []
-    factor = rake(tokens, [m[0] for m in margins], [m[1] for m in margins])
+    factor, gap = rake(tokens, [m[0] for m in margins], [m[1] for m in margins])
     prob = calibrated(tokens, factor, budget) if found else factor
-    return spark.createDataFrame([(r[0], r[1], r[2], float(f), float(p)) for r, f, p in zip(found, factor, prob, strict=True)], _CELLS), True
+    return spark.createDataFrame([(r[0], r[1], r[2], float(f), float(p)) for r, f, p in zip(found, factor, prob, strict=True)], _CELLS), True, gap
 
 
-def calibrate(rows: DataFrame, cells: DataFrame, small: bool) -> DataFrame:
-    """*rows* (doc_id, source, lang, topic, ..) with weight, prob and sampled from the cell table, which is broadcast if *small*."""
-    same = [F.coalesce(F.col(f"m.{n}"), F.lit(NONE)) == F.col(f"c.{n}") for n in ("source", "lang")]
-    on = same[0] & same[1] & (F.col("c.topic") == F.col("m.topic"))
-    chance = F.pmod(F.xxhash64(F.lit("mixing"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))), F.lit(1 << 40)) / float(1 << 40)
-    out = rows.alias("m").join((F.broadcast(cells) if small else cells).alias("c"), on, "left")
-    prob = F.coalesce("c.prob", F.lit(1.0))
-    return out.select("m.*", F.coalesce("c.weight", F.lit(1.0)).alias("weight"), prob.alias("prob"), (chance < prob).alias("sampled"))
+def calibrate(rows: DataFrame, topic: str, cells: DataFrame, small: bool, more: tuple[str, str, str] = ("weight", "prob", "sampled")) -> DataFrame:
+    """*rows* (doc_id, source, lang, *topic*, text or text_key, ..) with three more columns from the cell table, which is broadcast if *small*."""
+    names = C.fresh(rows, "cell_source", "cell_lang", "cell_topic", "cell_weight", "cell_prob")
+    cells = cells.toDF(*names)
+    own = [F.coalesce(F.col("source"), F.lit(NONE)), F.coalesce(F.col("lang"), F.lit(NONE)), F.col(topic)]
+    on = (own[0] == F.col(names[0])) & (own[1] == F.col(names[1])) & (own[2] == F.col(names[2]))
+    known = F.coalesce(F.col("doc_id").cast("long"), F.col("text_key") if "text" not in rows.columns else C.text_key())
+    chance = F.pmod(F.xxhash64(F.lit("mixing"), known), F.lit(1 << 40)) / float(1 << 40)
+    out = rows.join(F.broadcast(cells) if small else cells, on, "left")
+    prob = F.coalesce(names[4], F.lit(1.0))
+    return out.select(*rows.columns, F.coalesce(names[3], F.lit(1.0)).alias(more[0]), prob.alias(more[1]), (chance < prob).alias(more[2]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, weight, prob, sampled) for every row of *docs* (doc_id, text, source, lang).
+    """(doc_id, source, lang, topic, n_tokens, weight, prob, sampled, gap) for every row of *docs* (doc_id, text, source, lang).
 
     *targets* may hold a share for each value of ``source``, ``lang`` and ``topic``.
     """
-    rows = C.staged(spark, measured(docs, ["doc_id", "source", "lang"]), "measured")
-    return calibrate(rows, *cells_of(spark, rows, targets, budget))
+    own = C.docs_of(docs, "source", "lang").withColumn("text_key", C.text_key())
+    rows = C.staged(spark, measured(own, ["doc_id", "source", "lang", "text_key"]), "measured")
+    cells, small, gap = cells_of(spark, rows, targets, budget)
+    return calibrate(rows, "topic", cells, small).drop("text_key").withColumn("gap", F.lit(float(gap)))
 
 
 def sample(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET) -> DataFrame:
     """The sampled rows of *docs* with all their columns, then topic, n_tokens, weight and prob; the texts are shuffled only beyond DRIVER_CELLS cells."""
-    rows = C.staged(spark, measured(docs, ["source", "lang"]), "measured")
-    return calibrate(measured(docs, docs.columns), *cells_of(spark, rows, targets, budget)).where("sampled").drop("sampled")
+    names = C.fresh(docs, "topic", "n_tokens", "weight", "prob", "sampled")
+    rows = C.staged(spark, measured(docs.select("source", "lang", "text"), ["source", "lang"]), "measured")
+    cells, small, _ = cells_of(spark, rows, targets, budget)
+    whole = measured(docs, docs.columns, (names[0], names[1]))
+    return calibrate(whole, names[0], cells, small, tuple(names[2:])).where(F.col(names[4])).drop(names[4])
 
 
 def op9_mix_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

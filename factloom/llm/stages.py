@@ -9,14 +9,26 @@ from . import common as C
 from .langid import fit, predicted
 from .near_dup import near_rows
 
-LEAST_SCORE = 0.3
+#: By how much the best of k probabilities must exceed 1/k, as a share of what it can.
+ABOVE_CHANCE = 0.1
 
 
-def keep_identified(spark: SparkSession, docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents whose language is recognised with a probability of *least* or more; ``lang`` is filled where it was null."""
+def keep_identified(spark: SparkSession, docs: DataFrame, above: float = ABOVE_CHANCE) -> DataFrame:
+    """Documents whose language is recognised, with all their columns; ``lang`` is filled where it was null.
+
+    A document goes if its best probability is barely better than chance among the learned
+    languages, or if its n-grams are rarer than those of any sampled text in that language by
+    more than the margin (``langid``): noise, or a language that was not learned.  Null and empty
+    texts, and those without a letter, go.  Repeated rows fare alike; with no language to learn
+    from nothing is recognised.
+    """
     names = docs.columns
-    out = predicted(spark, docs, fit(spark, docs), names).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return out.select(*[F.coalesce("lang", "lang_pred").alias("lang") if n == "lang" else F.col(n) for n in names])
+    lang_pred, score, slack = C.fresh(docs, "lang_pred", "score", "slack")
+    model = fit(spark, docs)
+    least = (1 + above * (len(model[0]) - 1)) / max(len(model[0]), 1)
+    out = predicted(spark, docs, model, names, (lang_pred, score, slack))
+    out = out.where((F.col(lang_pred) != "und") & (F.col(score) >= least - 1e-9) & (F.col(slack) >= 0))
+    return out.select(*[F.coalesce("lang", lang_pred).alias("lang") if n == "lang" else F.col(n) for n in names])
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:

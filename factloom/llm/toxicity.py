@@ -4,8 +4,12 @@ Terms are the distinct words of a text and the four- and five-byte beginnings of
 a weight, each has a vector of FACTORS numbers; the product of two vectors is the weight of
 the pair, so that an insult near a group's name can count for more than both alone.  Weights
 follow FTRL-proximal with an L1 penalty, vectors Adagrad.  Training takes a sample of
-labelled documents bounded by ``SAMPLE`` rows of each label, chosen by a hash of the id; the
-share taken of each label enters as an offset, so scores keep the true odds.
+labelled documents bounded by ``SAMPLE`` rows of each label, those with the smallest hashes of
+id and text; the share taken of each label enters as an offset, so scores keep the true odds.
+Labels of documents that are not learned from are dropped before anything is counted.
+
+Terms of fewer than ``least_docs`` sampled documents stay at zero: LEAST_DOCS of them, or
+fewer where the sample is small (one per LEAST_SHARE documents, two at least).
 
 Defined results: null or empty text gets the score of no terms; with no labels
 to learn from the bias is NO_LABEL_BIAS, so that nothing is called toxic.  Conflicting labels of an id: 1 if
@@ -30,7 +34,7 @@ FACTORS = 8
 SAMPLE = 10_000
 NO_LABEL_BIAS = -3.0
 EPOCHS, ALPHA, BETA, L1, L2 = 8, 2.0, 1.0, 6.0, 0.01
-RATE, DECAY, LEAST_DOCS = 0.02, 1e-4, 5
+RATE, DECAY, LEAST_DOCS, LEAST_SHARE = 0.02, 1e-4, 5, 200
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -67,12 +71,16 @@ def logit(at: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> float:
     return w0 + float(w[at].sum()) + 0.5 * float(total @ total - (rows * rows).sum()) / len(at)
 
 
+def least_docs(sampled: int) -> int:
+    return min(LEAST_DOCS, max(2, sampled // LEAST_SHARE))
+
+
 def train(rows: list[tuple[int, np.ndarray]], offset: float) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and vectors; terms of fewer than LEAST_DOCS documents are left at zero."""
+    """Bias, weights and vectors; terms of few documents are left at zero."""
     seen = np.zeros(DIM, np.int64)
     for _, at in rows:
         seen[at] += 1
-    use = seen >= LEAST_DOCS
+    use = seen >= least_docs(len(rows))
     rows = [(y, at[use[at]]) for y, at in rows]
     v = np.random.default_rng(7).normal(0, 0.05, (DIM, FACTORS)) * use[:, None]
     grads = np.full((DIM, FACTORS), 1e-2)
@@ -103,19 +111,25 @@ def train(rows: list[tuple[int, np.ndarray]], offset: float) -> tuple[float, np.
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = C.Memo(_term)
+    """Terms of (doc_id, y, text, rank, times) rows; a task returns a repeated row *times* times at most."""
+    memo, done = C.Memo(_term), {}
     for b in batches:
-        at = [terms(t, memo).astype(np.int32).tobytes() for t in C.text_bytes(b.column(2))]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.binary())], ["doc_id", "y", "at"])
+        rows = []
+        for d, y, t, rank, times in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), C.text_bytes(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            done[rank] = done.get(rank, 0) + 1
+            if done[rank] <= times:
+                rows.append((d, y, rank, terms(t, memo).astype(np.int32).tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "y", "rank", "at"])
 
 
 def _train(offset: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for b in batches:
-            for d, y, at in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                rows.append((xxhash.xxh64_intdigest(str(d)), d, y, at))
-        rows.sort(key=lambda r: (r[0], r[1], r[3]))
+            for d, y, rank, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                rows.append((xxhash.xxh64_intdigest(str(rank)), d, y, at))
+        rows.sort()
         w0, w, v = train([(y, np.frombuffer(at, np.int32)) for _, _, y, at in rows], offset)
         yield pa.RecordBatch.from_arrays([pa.array([w0], pa.float64()), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["w0", "w", "v"])
 
@@ -135,18 +149,23 @@ def _score(model):  # noqa: ANN001, ANN202
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
-    """The machine learned from *docs* (doc_id, text) and *labels* (doc_id, toxic), which may be null."""
+    """The machine learned from *docs* (doc_id, text) and those of the *labels* (doc_id, toxic; null: none) that are theirs."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
-    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    rows = C.docs_of(docs).withColumn("rank", F.xxhash64(F.lit("toxicity"), "doc_id", "text"))
+    rows = C.staged(spark, rows.select("doc_id", "rank").join(known, "doc_id"), "labelled")
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if not counts:
         return NO_LABEL_BIAS, np.zeros(DIM, np.float32), np.zeros((DIM, FACTORS), np.float32)
     share = {y: min(1.0, SAMPLE / n) for y, n in counts.items()}
-    chance = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    known = known.where(chance < F.when(F.col("y") == 1, share.get(1, 1.0)).otherwise(share.get(0, 1.0)))
-    # At most about 2 * SAMPLE rows, so the broadcast is bounded.
-    rows = C.docs_of(docs).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text").mapInArrow(_sampled, "doc_id long, y int, at binary").repartition(1)
-    got = rows.mapInArrow(_train(float(np.log(share.get(1, 1.0) / share.get(0, 1.0)))), "w0 double, w binary, v binary").first()
+    chosen = None
+    for y in sorted(counts):  # top-k of each label, so at most 2 * SAMPLE rows are broadcast
+        some = rows.where(F.col("y") == y).orderBy("rank", "doc_id").limit(SAMPLE)
+        chosen = some if chosen is None else chosen.unionAll(some)
+    chosen = chosen.groupBy("doc_id", "rank").agg(F.max("y").alias("y"), F.count("*").alias("times"))
+    text = C.docs_of(docs).withColumn("rank", F.xxhash64(F.lit("toxicity"), "doc_id", "text"))
+    same = text.join(F.broadcast(chosen), ["doc_id", "rank"]).select("doc_id", "y", "text", "rank", "times").mapInArrow(_sampled, "doc_id long, y int, rank long, at binary")
+    got = same.repartition(1).mapInArrow(_train(float(np.log(share.get(1, 1.0) / share.get(0, 1.0)))), "w0 double, w binary, v binary").first()
     return got["w0"], np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(DIM, FACTORS)
 
 

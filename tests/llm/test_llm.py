@@ -471,3 +471,151 @@ def test_near_dup_matches_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
     assert sorted(map(tuple, queries.QUERIES["op8_near_dup"](spark, SMALL).collect())) == sorted(con.execute(queries.ORACLE_SQL["op8_near_dup"]).fetchall())
+
+
+# -- sampling, folds, odd stages -------------------------------------------------------------------
+
+
+def test_held_out_labels_change_no_score(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 30)
+    docs, labels = documents(spark), spark.read.parquet(f"{SMALL}/labels.parquet")
+    held = C.bucket_of("doc_id", 5) == 0
+    flipped = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert flipped.exceptAll(labels).count() > 10
+    a, b = ({r["doc_id"]: r["score"] for r in toxicity.toxicity(spark, docs, x, held).collect()} for x in (labels, flipped))
+    assert a == b and len(set(a.values())) > 10
+
+
+def test_toxicity_held_out(spark):
+    big = "/root/testdata/sf0.1"  # the smaller tables hold too few toxic documents
+    got = queries.QUERIES["op6_toxicity"](spark, big).where("held_out").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id")
+    r = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))).alias("caught"), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))).alias("false")).first()
+    assert r["caught"] > 0.85 and r["false"] < 0.02  # about a tenth of the toxic texts hold no insult that the training rows have
+
+
+def test_a_repeated_row_does_not_crowd_out_a_language(spark):
+    rows = [(1, "the one row that is all of the table", "en")] * 500 + [(i, f"der eine und die andere {i}", "de") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    for size in (5, 1000):
+        langid_size, langid.SAMPLE_PER_LANG = langid.SAMPLE_PER_LANG, size
+        try:
+            langs, _, _, _, lows = langid.fit(spark, docs)
+        finally:
+            langid.SAMPLE_PER_LANG = langid_size
+        assert langs == ["de", "en"] and all(x < 0 for x in lows)
+
+
+def test_language_stage_rejects_noise_and_other_languages(spark):
+    rnd = random.Random(1)
+    noise = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(k)) for k in (10, 50, 300)]
+    other = [
+        "Hän käveli hitaasti metsän läpi kohti vanhaa taloa jossa hänen isoäitinsä oli asunut koko elämänsä ajan ja muisti kesäpäivät järven rannalla",
+        "Wczoraj wieczorem spotkaliśmy się z przyjaciółmi w małej kawiarni nad rzeką i rozmawialiśmy o książkach które przeczytaliśmy w zeszłym roku",
+        "Вчера вечером мы встретились с друзьями в маленьком кафе у реки и говорили о книгах которые прочитали в прошлом году",
+    ]
+    strange = spark.createDataFrame([(10**6 + i, t, None, "x", 0) for i, t in enumerate([*noise, *other, "", None, "12 34"])], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = documents(spark, DATA)
+    left = stages.keep_identified(spark, docs.unionByName(strange.select(docs.columns))).select("doc_id").collect()
+    assert all(r["doc_id"] < 10**6 for r in left)
+    with_letter = docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert len(left) >= 0.999 * with_letter
+
+
+def test_stages_on_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    more = odd
+    for name in ("weight", "prob", "sampled", "gone", "lang_pred", "slack", "gone_id", "gone_key", "again_id", "cell_topic", "text_key"):
+        more = more.withColumn(name, F.lit("clash"))
+    bench = spark.createDataFrame([(1, "no id here at all"), (2, None)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for docs in (more, none):
+        before = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, docs, str(tmp_path))
+            assert now.columns[: len(docs.columns)] == docs.columns
+            rows = now.collect()
+            assert len(rows) <= before and (name in ("near_dedup", "mix") or not rows or len({r["doc_id"] for r in rows}) > 1)
+            if docs is more and name == "decontaminate":
+                assert len(rows) == before - 1 and "no id here at all" not in {r["text"] for r in rows}
+            if docs is more and rows:
+                assert {r["topic"] for r in rows} == {"clash"} and {r["score"] for r in rows} == {"clash"}
+
+
+def test_rows_without_an_id_draw_their_own_chance(spark):
+    docs = spark.createDataFrame([(None, f"text number {i}", "s", "en") for i in range(400)], "doc_id long, text string, source string, lang string")
+    share = mixing.mix(spark, docs).agg(F.avg(F.col("sampled").cast("int"))).first()[0]
+    assert 0.4 < share < 0.6
+
+
+def test_contradicting_targets_report_their_gap(spark):
+    docs = spark.createDataFrame([(i, "w " * 9, "a" if i % 2 else "b", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, source string, lang string")
+    gaps = [mixing.mix(spark, docs, t).first()["gap"] for t in (None, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}})]
+    assert gaps[0] < 1e-6 and gaps[1] > 0.5
+
+
+def test_equal_ids_with_other_texts(spark):
+    rnd = random.Random(15)
+    base = [f"w{rnd.randrange(900)}" for _ in range(200)]
+    with_ = lambda *at: " ".join("zz" if i in at else w for i, w in enumerate(base))
+    rows = [(1, " ".join(f"v{i}" for i in range(60))), (1, with_(3)), (3, with_(90)), (3, "something else that is near nothing at all"), (4, with_(3))]
+    got = near_dup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 85, 100).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(1, 1, True), (1, 1, True), (3, 1, False), (3, 3, True), (4, 1, False)]
+    left = stages.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["text"][:4]) for r in left) == [(1, "v0 v"), (1, with_(3)[:4]), (3, "some")]
+
+
+def test_items_of_every_length_at_the_full_allowance():
+    rnd = random.Random(16)
+    items = [(100 * n + k, [b"i%d" % rnd.randrange(3000) for _ in range(n)]) for n in range(1, 41) for k in range(12)]
+    index = decontam.Index(items)
+    held = dict(items)
+    texts, owner = [], []
+    for i, w in items:
+        now = list(w)
+        for _ in range(len(w) // 5):
+            at = rnd.randrange(len(now))
+            rnd.choice([lambda: now.__setitem__(at, b"zq"), lambda: now.insert(at, b"zq"), lambda: now.pop(at)])()
+        texts.append(b" ".join([b"h1 h2"] + now + [b"h3 h4"]))
+        owner.append(i)
+    got = {(d, index.ids[k]): e for d, k, e in index.matches(texts)}
+    for n in range(1, 41):
+        mine = [d for d, i in enumerate(owner) if i // 100 == n]
+        assert sum((d, owner[d]) in got for d in mine) >= (1 if n < 15 else 0.9) * len(mine)
+    assert sum((d, i) in got for d, i in enumerate(owner)) >= 0.98 * len(owner)
+    for (d, i), e in list(got.items())[:200]:
+        assert e == edits(held[i], toxicity.plain_words(texts[d]))
+
+
+def test_added_spans_held_out(spark):
+    """Loose spans with a known truth: what the classifier adds on texts that it has not seen."""
+    rnd = random.Random(17)
+    d = lambda n: "".join(rnd.choice("23456789") for _ in range(n))
+    true = [lambda: ("please call ", f"{d(3)}-{d(3)}-{d(4)}", " today"), lambda: ("my ssn is ", f"{rnd.randint(100, 660)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}", " ok"), lambda: ("contact ", f"jo{d(2)} (at) mail (dot) com", " for more"), lambda: ("Dear ", f"Mr. {rnd.choice(['John', 'Maria', 'Paul'])} Smith", " we write")]
+    false = [lambda: ("order ", f"{d(3)}-{d(3)}-{d(4)}", " shipped"), lambda: ("serial ", f"9{d(2)}-{d(2)}-{d(4)}", " fine"), lambda: ("invoice ", "1234567890123456", " paid")]
+    rows, truth = [], {}
+    for i in range(800):
+        right = rnd.random() < 0.5
+        before, hit, after = rnd.choice(true if right else false)()
+        lead = "some words first " * rnd.randint(0, 3)
+        rows.append((i, lead + before + hit + after))
+        truth[i] = (right, len(lead + before), len(lead + before + hit))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    half = docs.where("doc_id % 2 = 0").select(pii.candidates(F.col("text")).alias("found"))
+    rest = docs.where("doc_id % 2 = 1").select("doc_id", pii.written(pii.accepted(pii.candidates(F.col("text")), pii.fit(half))).alias("spans"))
+    right = wrong = missed = 0
+    for r in rest.collect():
+        ok, a, z = truth[r["doc_id"]]
+        found = any(x.endswith(f":{a}:{z}") for x in r["spans"].split(","))
+        right, wrong, missed = right + (ok and found), wrong + (not ok and bool(r["spans"])), missed + (ok and not found)
+    assert right >= 0.9 * (right + missed) and wrong <= 0.1 * (right + wrong)
+
+
+def test_many_spans_in_one_text(spark):
+    import time
+
+    text = "x@y.co 9.8.7.6 call 555-123-4567, " * 10_000
+    began = time.monotonic()
+    (r,) = pii.pii(spark, spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (r["n_email"], r["n_ip"]) == (10_000, 10_000) and r["base_sha256"] == brute_pii.digest(text)
+    assert time.monotonic() - began < 60
