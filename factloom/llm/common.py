@@ -104,14 +104,15 @@ def without(spark: SparkSession, docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
 
 
-def split_join(rows: DataFrame, table: DataFrame, key: str, hot: F.Column) -> DataFrame:
-    """*rows* joined with *table* on *key*, which is unique in *table*.
+def split_join(rows: DataFrame, table: DataFrame, key: str, hot: F.Column, left: bool = False) -> DataFrame:
+    """*rows* joined with *table* on *key*, which is unique in *table*; with *left* rows that meet nothing stay.
 
     Rows of the *hot* keys never meet in one task: the caller sees to it that so few keys are hot
     (each holds more rows than a known share of the total) that they may be broadcast.
     """
     few = F.broadcast(table.where(hot))
-    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(table.where(~hot), key))
+    rest = rows.join(few.select(key), key, "left_anti").join(table.where(~hot), key, "left" if left else "inner")
+    return rows.join(few, key).unionByName(rest)
 
 
 def hot_from(total: int) -> int:

@@ -8,7 +8,8 @@ yes, no or nothing on every candidate:
 * shape: the strict form, or a failed check;
 * gazetteer: known top-level domains, issuer prefixes, number-plan and address ranges, names,
   all of which are parameters (``Gazetteers``);
-* context: cue words in the 40 characters before, or words that announce other numbers.
+* context: cue words in the 40 characters before (as far as they lie behind the pattern's last
+  match), or words that announce other numbers.
 
 Votes and forms are counted in one grouping (at most kinds * 54 * 2**FORMS rows reach the
 driver), where expectation-maximisation estimates from the votes how reliable each labeler is;
@@ -90,10 +91,19 @@ NO_ERROR = 0.02
 FORMS = ("marked", "line", "after", "grouped", "long")
 
 
+def _let(value: Column, then) -> Column:  # noqa: ANN001
+    """*then* of the value, which is computed once: inside a lambda an expression would be computed for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _chunks(values: Column) -> Column:
     """The array cut into arrays of CHUNK elements."""
-    last = F.ceil(F.size(values) / CHUNK).cast("int") - 1
-    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(values, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def cut(v: Column) -> Column:
+        last = F.ceil(F.size(v) / CHUNK).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(v, k * CHUNK + 1, F.lit(CHUNK)))
+
+    return _let(values, cut)
 
 
 def _running(starts: str, base: Column, values: Column, step) -> Column:  # noqa: ANN001
@@ -103,20 +113,32 @@ def _running(starts: str, base: Column, values: Column, step) -> Column:  # noqa
 
 
 def _hits(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, hit>> in code points, of all matches from left to right."""
+    """array<struct<start, end, hit, before, after>> in code points, of all matches from left to right.
+
+    *before* and *after* are what lies next to a match, up to the neighbouring one: taken from the
+    pieces, as a substring of the whole text would be searched from its start for each match.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    chunks = _chunks(F.zip_with(pieces, found, lambda p, h: F.struct(F.length(p).alias("gap"), h.alias("hit"))))
+    parts = F.split(text, pattern, -1)
+    n = F.size(found)
+    one = lambda p, h: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT)).alias("before"), h.alias("hit"))
+    with_next = lambda x, p: F.struct(x["gap"].alias("gap"), x["before"].alias("before"), x["hit"].alias("hit"), F.left(p, F.lit(CONTEXT)).alias("after"))
+    rows = F.zip_with(F.zip_with(F.slice(parts, F.lit(1), n), found, one), F.slice(parts, F.lit(2), n), with_next)
+    return _let(_chunks(rows), _placed)
+
+
+def _placed(chunks: Column) -> Column:
+    """The starts and ends of matches in chunks of (gap, before, hit, after)."""
     totals = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["hit"])))
     bases = _running("array<int>", F.lit(0), totals, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         end = start + F.length(x["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["before"].alias("before"), x["after"].alias("after"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.flatten(F.zip_with(chunks, bases, lambda c, base: _running("array<struct<start:int,end:int,hit:string>>", base, c, step)))
+    return F.flatten(F.zip_with(chunks, bases, lambda c, base: _running("array<struct<start:int,end:int,hit:string,before:string,after:string>>", base, c, step)))
 
 
 def _digits(hit: Column) -> Column:
@@ -183,13 +205,12 @@ def _shape(kind: str, hit: Column) -> Column:
     }[kind]
 
 
-def _form(text: Column, kind: str, s: Column, before: Column) -> Column:
+def _form(kind: str, s: Column) -> Column:
     """The FORMS of a span as bits."""
-    behind = F.lower(F.substr(text, s["end"] + 1, F.lit(CONTEXT)))
     tests = (
-        before.rlike(r"[:=#]\s*$"),
-        (s["start"] == 0) | before.endswith("\n"),
-        behind.rlike(rf"\b(?:{CUES[kind]})"),
+        s["before"].rlike(r"[:=#]\s*$"),
+        (s["start"] == 0) | s["before"].endswith("\n"),
+        F.lower(s["after"]).rlike(rf"\b(?:{CUES[kind]})"),
         s["hit"].rlike(r"[0-9a-z][\x20.-][0-9A-Za-z(]"),
         F.length(s["hit"]) >= 16,
     )
@@ -199,18 +220,17 @@ def _form(text: Column, kind: str, s: Column, before: Column) -> Column:
     return out
 
 
-def _voted(text: Column, kind: str, spans: Column, strict: bool, lists: Gazetteers) -> Column:
+def _voted(kind: str, spans: Column, strict: bool, lists: Gazetteers) -> Column:
     """Spans with kind, rank, the votes of the three labelers and the form."""
 
     def one(s: Column) -> Column:
-        raw = F.substr(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
-        before = F.lower(raw)
+        before = F.lower(s["before"])
         context = F.when(before.rlike(rf"\b(?:{OTHER})"), -1).when(before.rlike(rf"\b(?:{CUES[kind]})"), 1).otherwise(0)
         shape = F.lit(1) if strict else _shape(kind, s["hit"])
         return F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"),
             F.lit(strict).alias("strict"), shape.alias("shape"), _gazetteer(kind, s["hit"], lists).alias("gazetteer"), context.alias("context"),
-            _form(text, kind, s, raw).alias("form"),
+            _form(kind, s).alias("form"),
         )
 
     return F.transform(spans, one)
@@ -225,12 +245,12 @@ def candidates(text: Column, lists: Gazetteers = Gazetteers()) -> Column:
     strict, loose = [], []
     for kind, pattern, test in STRICT:
         hits = _hits(text, pattern)
-        strict.append(F.when(test(text), _voted(text, kind, F.filter(hits, _checked(kind)), True, lists).cast(_SPAN)).otherwise(none))
+        strict.append(F.when(test(text), _voted(kind, F.filter(hits, _checked(kind)), True, lists).cast(_SPAN)).otherwise(none))
         if kind == "card":  # runs of card length that fail the checksum stay as loose candidates
             bad = F.filter(hits, lambda s: F.length(_digits(s["hit"])).between(14, 19) & ~_valid("card", s["hit"]))
-            loose.append(F.when(test(text), _voted(text, kind, bad, False, lists).cast(_SPAN)).otherwise(none))
+            loose.append(F.when(test(text), _voted(kind, bad, False, lists).cast(_SPAN)).otherwise(none))
     for kind, pattern, test in LOOSE:
-        loose.append(F.when(test(text), _voted(text, kind, _hits(text, pattern), False, lists).cast(_SPAN)).otherwise(none))
+        loose.append(F.when(test(text), _voted(kind, _hits(text, pattern), False, lists).cast(_SPAN)).otherwise(none))
 
     def reach(c: Column) -> Column:
         return F.struct(F.array_min(F.transform(c, lambda b: b["start"])).alias("lo"), F.array_max(F.transform(c, lambda b: b["end"])).alias("hi"), c.alias("spans"))
@@ -353,16 +373,38 @@ def pii(spark: SparkSession, docs: DataFrame, lists: Gazetteers = Gazetteers())
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by the kind of its first, as [EMAIL]."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each run of overlapping spans (sorted by start) replaced by the kind of its first, as [EMAIL].
+
+    The text is cut before every CHUNK-th span, and each part is then redacted by itself, so that
+    no string grows or is searched from its start once a span.
+    """
+    return _let(_chunks(spans), lambda chunks: _replaced(text, chunks))
+
+
+def _replaced(text: Column, chunks: Column) -> Column:
+    lows = F.transform(chunks, lambda c: c[0]["start"])
+    tops = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+    before = _running("array<int>", F.lit(0), tops, lambda acc, t: F.struct(F.greatest(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+    stops = F.concat(F.slice(lows, F.lit(2), F.size(lows)), F.array(F.length(text)))
+    cut = F.arrays_zip(chunks.alias("spans"), lows.alias("low"), before.alias("reach"), stops.alias("stop"))
+
+    def part(x: Column) -> Column:
+        own = F.substr(text, x["low"] + 1, x["stop"] - x["low"])
+
+        def inside(y: Column) -> Column:
+            zero = F.struct(F.greatest(x["low"], x["reach"]).alias("at"), F.lit("").alias("out"))
+
+            def step(acc: Column, s: Column) -> Column:
+                gap = F.substr(y, acc["at"] - x["low"] + 1, s["start"] - acc["at"])
+                out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
+                return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+
+            tail = lambda acc: F.when(acc["at"] < x["stop"], F.substr(y, acc["at"] - x["low"] + 1, x["stop"] - acc["at"])).otherwise("")
+            return F.aggregate(x["spans"], zero, step, lambda acc: F.concat(acc["out"], tail(acc)))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substr(text, acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        return F.transform(F.array(own), inside)[0]
 
-    return F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return F.concat(F.left(text, lows[0]), F.array_join(F.transform(cut, part), ""))
 
 
 def redact(spark: SparkSession, docs: DataFrame, lists: Gazetteers = Gazetteers()) -> DataFrame:

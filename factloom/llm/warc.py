@@ -4,7 +4,8 @@ Writing: each task appends one gzip member per record to its own archive files i
 folder and returns an index row per record: file, offset, length, URL, digest.  A file name
 holds a fresh id, so a task that runs again writes other files and only the index rows of the
 attempt that succeeded count.  Which record is the response and which revisit it comes from a
-grouping of digests with map-side minima; the join back splits a digest that many pages share.
+grouping of digests with map-side minima; the digests that several pages share are joined back,
+by broadcast if they are BROADCAST_ROWS at most, so that bodies are shuffled only beyond that.
 
 Reading: the index rows of the wanted records are dealt by file and sorted by offset; ranges
 with small gaps are read in one go, up to ``SPAN`` bytes, and every record is parsed and its
@@ -126,8 +127,9 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, revisit_b
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    firsts = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"))
-    joined = rows.join(firsts, "sha", "left").select("page_id", "url", "html", "sha", "first")
+    firsts = rows.where(F.octet_length("html") >= revisit_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("held"))
+    firsts = C.staged(spark, firsts.where("held > 1").select("sha", "first"), "repeated")
+    joined = rows.join(F.broadcast(firsts) if firsts.count() <= C.BROADCAST_ROWS else firsts, "sha", "left").select("page_id", "url", "html", "sha", "first")
     return C.staged(spark, joined.mapInArrow(_write(folder), INDEX), "warc-index")
 
 

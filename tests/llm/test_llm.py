@@ -99,9 +99,37 @@ def test_lm_probabilities_add_up():
     model.weights = lm_scoring.first_weights()
     model.ready()
     start = np.array([0, 1, 2], np.int64)
-    before = lm_scoring.score(model, start, np.array([3]))[0][0]
-    total = sum(math.exp(lm_scoring.score(model, np.append(start, s), np.array([4]))[0][0] - before) for s in range(model.symbols))
+    cost = lambda x: lm_scoring.coded(model, x, np.array([len(x)]), np.zeros(len(x), np.int64))[0]
+    total = sum(math.exp(cost(np.append(start, s)) - cost(start)) for s in range(model.symbols))
     assert math.isclose(total, 1.0, rel_tol=1e-4)
+    long = np.random.default_rng(2).integers(0, model.symbols, 1000)
+    lens = np.array([3, 700, 297])
+    cell = np.arange(1000) // 7
+    whole = lm_scoring.coded(model, long, lens, cell)
+    assert np.allclose(whole, lm_scoring.coded(model, long, lens, cell, lm_scoring.BLOCK), rtol=1e-4)  # runs carry weights and contexts on
+
+
+def test_segments_do_not_depend_on_what_surrounds_a_passage():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(1, 1 << 62, 400).astype(np.uint64)
+    texts = [np.concatenate([rng.integers(1, 1 << 62, n).astype(np.uint64), passage, rng.integers(1, 1 << 62, 50).astype(np.uint64)]) for n in (0, 17, 333)]
+    lens = np.array([len(t) for t in texts])
+    starts, context, content = lm_scoring.segments(np.concatenate(texts), lm_scoring.places(lens))
+    begin = np.cumsum(lens) - lens
+    found = [set(zip(context[(starts >= b) & (starts < b + n)].tolist(), content[(starts >= b) & (starts < b + n)].tolist(), strict=True)) for b, n in zip(begin, lens, strict=True)]
+    assert len(found[0] & found[1] & found[2]) >= 10 and set(begin) <= set(starts.tolist())
+
+
+def test_lm_scores_repeated_documents_apart(spark):
+    rnd = random.Random(18)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choice(words) for _ in range(120)) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm_scoring.lm_scores(spark, docs, F.lit(False)).collect()}
+    twice = [got[i]["bits_per_byte"] for i in [*range(20), *range(1000, 1020)]]
+    once = [got[i]["bits_per_byte"] for i in range(20, 120)]
+    assert max(twice) < min(once) and len(got) == 140
 
 
 # -- 2 -------------------------------------------------------------------------------------------
@@ -214,6 +242,22 @@ def test_redaction(spark):
     assert got == {1: "é mail [EMAIL] or [PHONE] now", 2: None, 3: "clean 42"}
 
 
+def test_redaction_of_many_and_overlapping_spans(spark):
+    rnd = random.Random(19)
+    rows = []
+    for i in range(150):
+        rows.append((i, " ".join(rnd.choice(["x@y.co", "é", "9.8.7.6", "+1 (555) 222-3333", "4111111111111111", "w", "1.2.3.4.5.6.7.8", "+4111111111111111"]) for _ in range(rnd.randint(0, 300)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: [x.split(":") for x in r["spans"].split(",") if x] for r in pii.pii(spark, docs).collect()}
+    for r in pii.redact(spark, docs).collect():
+        text, out, at = rows[r["doc_id"]][1], "", 0
+        for kind, a, z in ((k, int(a), int(z)) for k, a, z in spans[r["doc_id"]]):
+            if a >= at:
+                out += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, z)
+        assert r["text"] == out + text[at:]
+
+
 def test_estimation_prefers_reliable_labelers():
     counts = [("phone", True, (1, 1, 0), 100), ("phone", False, (1, 1, 1), 40), ("phone", False, (0, -1, -1), 60), ("card", False, (-1, 0, 0), 50)]
     post = pii.estimate(counts)
