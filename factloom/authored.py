@@ -24,8 +24,8 @@ class Authored:
         self.spark, self.root = spark, f"{root}/authored"
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        path, fs = sinks._fs(self.spark, f"{self.root}/{name}")
-        return self.spark.read.schema(schema).parquet(path.toString()) if fs.exists(path) else self.spark.createDataFrame([], schema)
+        rows = sinks.read_table(self.spark, f"{self.root}/{name}", schema)
+        return self.spark.createDataFrame([], schema) if rows is None else rows
 
     def _put(self, name: str, schema: str, row: tuple, key: list[str]) -> None:
         new = self.spark.createDataFrame([(*row, dt.datetime.now())], schema)
@@ -52,17 +52,21 @@ class Authored:
         rows = rows.where(F.col("name") == name) if name else rows
         return knowledge.flag_stale(knowledge.resolve_links(rows, symbols.select("hash", "id")), files.select("path", "content_hash"))
 
+    def seeds(self, symbols: DataFrame, query: str) -> DataFrame:
+        """(id): symbols now that concepts whose name or note holds *query* in any case are tied to."""
+        q = query.lower()
+        about = self._table("concepts", CONCEPTS).where(F.lower("name").contains(q) | F.lower(F.coalesce("note", F.lit(""))).contains(q)).select("ns", "name")
+        tied = self._table("concept_links", LINKS).join(about, ["ns", "name"], "left_semi")
+        return knowledge.resolve_links(tied, symbols.select("hash", "id")).where("symbol_id is not null").select(F.col("symbol_id").alias("id")).distinct()
+
     def drop_namespace(self, ns: str) -> None:
         """Remove a namespace's concepts and links; the default one is never dropped."""
         if ns == DEFAULT_NS:
             raise ValueError("the default namespace is not dropped")
         for name, schema in (("concepts", CONCEPTS), ("concept_links", LINKS)):
-            path, fs = sinks._fs(self.spark, f"{self.root}/{name}")
-            if fs.exists(path):
-                kept, _ = sinks._fs(self.spark, f"{self.root}/{name}.kept")
-                self._table(name, schema).where(F.col("ns") != ns).write.mode("overwrite").parquet(kept.toString())
-                fs.delete(path, True)
-                fs.rename(kept, path)
+            path = f"{self.root}/{name}"
+            if sinks.read_table(self.spark, path, schema) is not None:
+                sinks.replace_table(self.spark, path, lambda old: old.where(F.col("ns") != ns))
 
     def assert_link(self, src_hash: str, dst_hash: str, rel: str = "calls", note: str = "") -> None:
         self._put("asserted", ASSERTED, (src_hash, dst_hash, rel, note), ["src_hash", "dst_hash", "rel"])

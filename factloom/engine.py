@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from factloom import schema as S
 from factloom import sinks
+from factloom.authored import Authored
 from factloom.envelope import Envelope
 from factloom.functions import scalar as X
 from factloom.operators import deploy, edges, graph, knowledge, search, services, survey, text
+from factloom.stage import staged
 
 
 class Ambiguous(Exception):
@@ -21,9 +23,21 @@ class Ambiguous(Exception):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+    """*dirty* names the paths that changed since the build, and is None where that is not tracked."""
+
+    def __init__(self, spark: SparkSession, root: str, dirty: set[str] | None = None) -> None:
+        self.spark, self.root, self.dirty = spark, root, dirty
         self.t = sinks.open_build(spark, root)
+        self.authored = Authored(spark, root)
+
+    def _fresh(self, out: Envelope, paths: DataFrame) -> Envelope:
+        """Say which of the answer's *paths* (path) changed since the build; only changed ones are collected."""
+        if self.dirty is None:
+            return out.mark_stale(None, set())
+        if not self.dirty:
+            return out
+        hit = paths.where(F.col("path").isin(*self.dirty)).select("path").distinct().collect()
+        return out.mark_stale(self.dirty, {r["path"] for r in hit})
 
     # -- subjects ------------------------------------------------------------------------------
 
@@ -59,7 +73,10 @@ class Engine:
         hidden = search.suppressed(own, self.t["files"]).first()
         if hidden and hidden["generated"] and not generated:
             out.suppressed.append(f"{hidden['generated']} references in generated code")
-        return out
+        row = self.t["symbols"].where(F.col("id") == me).select(X.is_under_resolved_attribute(F.col("kind"), F.col("container")).alias("loose")).first()
+        if row and row["loose"]:
+            out.unknown.append("an attribute of a type: indexers resolve few of its uses; search its name as text")
+        return self._fresh(out, out.rows)
 
     def usage(self, given: str, tests: bool = False) -> Envelope:
         own = self.t["occurrences"].where(F.col("symbol_id") == self.subject(given))
@@ -78,7 +95,7 @@ class Engine:
         return Envelope(search_literals(self.t, needle)).check_layer(self.t["literals"].limit(1).count(), "the literal layer", "build it from the source tree")
 
     def context(self, query: str, limit: int = 12) -> Envelope:
-        scored = text.context_scores(self.t["symbols"], self.t["files"], query).orderBy(F.desc("score"), "id").limit(limit)
+        scored = text.context_scores(self.t["symbols"], self.t["files"], query, self.authored.seeds(self.t["symbols"], query)).orderBy(F.desc("score"), "id").limit(limit)
         out = Envelope(self._named(scored, "id").orderBy(F.desc("score"), "id"))
         best = scored.first()
         if best is None or best["score"] < text.FLOOR:
@@ -122,7 +139,10 @@ class Engine:
 
     def outline(self, prefix: str = "") -> Envelope:
         rows = survey.outline(self.t["symbols"], self.t["files"], self.t["edges"], self.t["service_links"], prefix)
-        return Envelope(self._named(rows.drop("path", "def_line"), "id"))
+        who = self.t["symbols"].select("id", X.qualified(F.col("name"), F.col("container")).alias("name"))
+        rows = rows.join(who, "id").withColumn("at", X.location(F.col("path"), F.col("def_line")))
+        out = Envelope(rows.select("path", "at", "name", "callers", "prod_callers", "dispatched", "def_line", "id").orderBy("path", "def_line", "id"))
+        return self._fresh(out, out.rows)
 
     # -- deployment and services ---------------------------------------------------------------
 
@@ -153,23 +173,53 @@ class Engine:
         rows = services.rpc_callers(t["service_links"], t["symbols"], t["files"], t["edges"]).where(F.col("method_id") == me)
         return Envelope(self._named(rows, "caller_id"))
 
-    def affects(self, given: str, depth: int = 12) -> Envelope:
-        """Calls over the wire that a change can reach, with the deployed services that make them."""
+    def callers_of_type(self, given: str) -> Envelope:
+        """Calls over the wire that name any method of a handler type."""
         t = self.t
-        hops = services.affects_hops(self._root(given), t["service_links"], t["symbols"], t["files"], t["edges"], depth)
-        makers = deploy.runs(t["deploy_reach"], t["symbols"]).select(F.col("id").alias("caller_id"), F.col("service").alias("from"))
-        grouped = hops.join(makers, "caller_id", "left").groupBy("hop", "from", "service_id").agg(F.count_distinct("caller_id").alias("sites"), F.array_sort(F.collect_set("rpc")).alias("rpcs"))
-        return self._reached(Envelope(grouped.orderBy("hop", "from", "service_id")))
+        rows = services.rpc_callers_of_type(t["service_links"], t["symbols"], t["files"], t["edges"]).where(F.col("type_id") == self.subject(given))
+        return Envelope(self._named(rows, "caller_id").orderBy("rpc", "caller_id"))
+
+    def affects(self, given: str, depth: int = 12) -> Envelope:
+        """Deployed services that a change touches: those that run the symbol, those that reach it over the wire hop by hop, and those that it calls.
+
+        Rows are (kind, hop, from, to, service, path, sites, rpcs); *via* in-process says how a
+        service was attributed.  The count of services adds those in process and the distinct
+        callers, a service that is both counting twice.
+        """
+        t, root = self.t, self._root(given)
+        run = staged(deploy.runs(t["deploy_reach"], t["symbols"]), "runs")
+        own = run.join(root, F.col("id") == F.col("root")).select("service", "via").distinct()
+        members = services.handler_members(t["service_links"], t["symbols"]).join(root, F.col("type_id") == F.col("root")).select("root", F.col("method_id").alias("node")).distinct()
+        hops = services.affects_hops(root, t["service_links"], t["symbols"], t["files"], t["edges"], depth, start=members)
+        grouped = staged(services.hop_groups(hops, run, t["symbols"], t["files"]), "groups")
+        names = t["proto_services"].select(F.col("id").alias("service_id"), F.concat_ws(".", "pkg", "name").alias("service"))
+        out_of = services.outgoing_services(t["service_links"], t["proto_services"], t["symbols"], t["files"], t["deploy_reach"]).join(root, F.col("symbol_id") == F.col("root"))
+        none = lambda kind: F.lit(None).cast(kind)
+        inside = own.select(F.lit("in process").alias("kind"), F.lit(0).alias("hop"), F.col("service").alias("from"), none("string").alias("to"), none("string").alias("service"), none("string").alias("path"), none("bigint").alias("sites"), F.col("via").alias("rpcs"))
+        over = grouped.join(names, "service_id", "left").select(F.lit("over the wire").alias("kind"), "hop", "from", "to", "service", "path", "sites", "rpcs")
+        outward = out_of.select(F.lit("calls").alias("kind"), F.lit(0).alias("hop"), none("string").alias("from"), F.col("deployed").alias("to"), F.col("called").alias("service"), none("string").alias("path"), none("bigint").alias("sites"), none("string").alias("rpcs"))
+        out = self._reached(Envelope(inside.unionAll(over).unionAll(outward).orderBy("kind", "hop", "from", "service", "path", "to")))
+        services_hit = own.count() + grouped.agg(F.count_distinct("from")).first()[0]
+        if not services_hit:
+            out.unknown.append("no deployed service reaches it; registration at run time is not seen")
+        for row in deploy.blind(t["deploy_services"], t["deploy_on_demand"]).limit(20).collect():
+            out.unknown.append(f"{row['name']} has no resolved entrypoint")
+        return self._fresh(out, grouped)
 
     # -- documents, change, quality --------------------------------------------------------------
 
-    def docs(self, query: str | None = None) -> Envelope:
-        sections = self.t["doc_sections"].join(self.t["doc_files"].select(F.col("id").alias("doc_id"), "path"), "doc_id")
+    def docs(self, query: str | None = None, lines: DataFrame | None = None) -> Envelope:
+        """Documents, or the sections about *query*: by heading, and with *lines* (path, line from 1, text) of the tree by their bodies too."""
+        names = self.t["doc_files"].select(F.col("id").alias("doc_id"), "path")
         if query is None:
             files = self.t["doc_files"].withColumnRenamed("id", "doc_id")
             return Envelope(text.documents(self.t["doc_sections"], files).orderBy("path"))
-        q = query.lower()
-        return Envelope(sections.where(F.lower("heading").contains(q) | F.lower("trail").contains(q)).orderBy("path", "start_line"))
+        own = (self.spark.createDataFrame([], "path string, line int, text string") if lines is None else lines).join(names, "path")
+        rows = text.sections_about(own.select("doc_id", "line", "text"), self.t["doc_sections"], query).join(names, "doc_id")
+        out = Envelope(rows.orderBy(*text.about_order()).select("path", "start_line", "end_line", "trail", "words", "hits", "in_heading"))
+        if lines is None:
+            out.unknown.append("bodies were not searched: name the repository")
+        return self._fresh(out, rows)
 
     def line(self, path: str, number: int) -> Envelope:
         """The narrowest body and the narrowest section around a line, counted from 1."""
@@ -181,7 +231,12 @@ class Engine:
         return Envelope(held.unionAll(sec.select(F.lit("section"), F.col("trail"), F.col("start_line").cast("bigint"), F.col("end_line").cast("bigint")).limit(1)))
 
     def for_find(self, needle: str, lines: DataFrame) -> Envelope:
-        return Envelope(search.tree_search(lines, needle).orderBy("path", "line"))
+        """Lines that hold *needle*; a subject that is no name is only searched as text."""
+        out = Envelope(search.tree_search(lines, needle).orderBy("path", "line"))
+        as_text = self.spark.range(1).select(X.looks_like_text(F.lit(needle)).alias("t")).first()["t"]
+        if not as_text and not search.symbols_named(self.t["symbols"], needle).isEmpty():
+            out.unknown.append("a symbol of this name exists: refs follows its uses")
+        return self._fresh(out, out.rows)
 
     def for_change(self, given: str, lines: DataFrame) -> dict[str, Envelope]:
         """What to look at before a change: references, lines that name it and none accounts for, services, weak links."""
@@ -205,6 +260,28 @@ class Engine:
             out.stale += [f"{r['state']}: {r['count']}" for r in changed.groupBy("state").count().orderBy("state").collect()]
         return out
 
+    def standings(self, head: str | None = None) -> Envelope:
+        """What can be confirmed about the fact base, and how its areas stand by the verdicts recorded so far."""
+        t = self.t
+        entries = deploy.entry_points(t["deploy_services"], t["deploy_on_demand"])
+        checks = knowledge.verification_checks(services.service_pivot(t["service_links"], t["proto_services"]), entries)
+        standing = knowledge.standings(checks.select("check_id", "area"), self.authored.verdicts(), head)
+        areas = knowledge.apply_verdicts(knowledge.coverage_areas(entries, t["service_links"], t["proto_services"].count()), standing)
+        out = Envelope(checks.join(standing.drop("area"), "check_id").select("area", "check_id", "claim", "standing").orderBy("area", "check_id"))
+        out.unknown += [f"{r['area']}: {r['state']}" for r in areas.orderBy("area").collect()]
+        if head is None:
+            out.stale.append("no commit was named: verdicts count as expired")
+        return out
+
+    def unlinked_calls(self, given: str, source: DataFrame) -> Envelope:
+        """Known types and callables, and RPCs, that a body names but no edge follows; *source* holds (path, line, text)."""
+        body = self.expand(given, source).rows
+        named = search.known_calls(body, self.t["symbols"])
+        rpcs = services.rpc_mentions(body, self.t["service_links"], self.t["symbols"])
+        followed = self.t["edges"].where((F.col("kind") == S.CALLS) & (F.col("src") == self.subject(given))).join(self.t["symbols"].select(F.col("id").alias("dst"), "name"), "dst").select("name").distinct()
+        rows = named.join(followed, "name", "left_anti").select("path", "line", "name", F.lit("call").alias("what")).unionByName(rpcs.select("path", "line", F.col("rpc").alias("name"), F.lit("rpc").alias("what")))
+        return Envelope(rows.orderBy("path", "line", "name", "what"))
+
     def coverage(self, tree: DataFrame) -> Envelope:
         """Languages of the tree (lang, files) against those indexed."""
         indexed = self.t["symbols"].groupBy("lang").agg(F.count("*").alias("symbols"))

@@ -70,6 +70,25 @@ def rpc_callers(links: DataFrame, symbols: DataFrame, files: DataFrame, edges: D
     return mine.join(calls, ["service_id", "key"]).where("caller_id <> method_id").select("method_id", "service_id", "rpc", "caller_id").distinct()
 
 
+def rpc_callers_of_type(links: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(type_id, service_id, rpc, caller_id): for each type that serves, the calls over the wire that name one of its members."""
+    names = symbols.select(F.col("id").alias("method_id"), X.same_rpc(F.col("name")).alias("key"))
+    mine = handler_members(links, symbols).join(names, "method_id").select("type_id", "service_id", "key").distinct()
+    calls = client_calls(links, symbols, files, edges).withColumn("key", X.same_rpc(F.col("rpc")))
+    return mine.join(calls, ["service_id", "key"]).select("type_id", "service_id", "rpc", "caller_id").distinct()
+
+
+def outgoing_services(links: DataFrame, services: DataFrame, symbols: DataFrame, files: DataFrame, reached: DataFrame) -> DataFrame:
+    """(symbol_id, called, deployed): services that a symbol calls, with the deployed ones (if any) that run a hand-written server of each."""
+    named = services.select(F.col("id").alias("service_id"), F.concat_ws(".", "pkg", "name").alias("called"))
+    mine = links.where(F.col("role") == S.CALLS_SERVICE).select("symbol_id", "service_id").distinct().join(named, "service_id")
+    own = files.where("not generated").select(F.col("id").alias("def_file_id"))
+    hand = symbols.join(own, "def_file_id", "left_semi").select(F.col("id").alias("server"))
+    servers = links.where(F.col("role") == S.SERVES).select("service_id", F.col("symbol_id").alias("server")).distinct().join(hand, "server", "left_semi")
+    run = servers.join(reached.select(F.col("symbol_id").alias("server"), F.col("service").alias("deployed")), "server").select("service_id", "deployed").distinct()
+    return mine.join(run, "service_id", "left").select("symbol_id", "called", "deployed").distinct()
+
+
 def rpc_targets(links: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
     """(caller_id, service_id, rpc, method_id): handler methods that a symbol's own calls reach, in other files."""
     file_of = symbols.select("id", F.col("def_file_id").alias("file"))
@@ -116,17 +135,19 @@ def service_pivot(links: DataFrame, services: DataFrame) -> DataFrame:
     return services.join(n, "id", "left").select(F.col("id").alias("service_id"), F.coalesce("serves", F.lit(0)).alias("serves"), F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
-def affects_hops(roots: DataFrame, links: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame, depth: int = 12, hops: int = 4) -> DataFrame:
+def affects_hops(roots: DataFrame, links: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame, depth: int = 12, hops: int = 4, start: DataFrame | None = None) -> DataFrame:
     """(root, hop, method_id, service_id, rpc, caller_id): calls over the wire that a change of each root can reach.
 
     Each hop walks production callers inward, meets handler methods, and goes on from the calls
-    that reach them; a caller is followed once for each root.
+    that reach them; a caller is followed once for each root.  *start* (root, node) may add nodes
+    to walk from, such as a handler's own methods, which are not among its callers.
     """
     test = symbols.join(files.where("is_test").select(F.col("id").alias("def_file_id")), "def_file_id", "left_semi").select(F.col("id").alias("src"))
     inward = edges.where(F.col("kind") == S.CALLS).select("src", "dst").distinct().join(test, "src", "left_anti").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     inward = staged(inward, "inward")
     wire = staged(rpc_callers(links, symbols, files, edges), "wire")
     front = roots.select("root", F.col("root").alias("node"))
+    front = front if start is None else front.unionByName(start.select("root", "node")).distinct()
     seen, out = None, None
     for hop in range(1, hops + 1):
         near = distances(front, inward, depth).select("root", F.col("node").alias("method_id"))
@@ -144,6 +165,19 @@ def affects_hops(roots: DataFrame, links: DataFrame, symbols: DataFrame, files:
     return out
 
 
+def hop_groups(hops: DataFrame, runs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(root, hop, from, to, service_id, path, sites, rpcs): hops by the services that make and take the call and by the file of the call.
+
+    *runs* (id, service) attributes symbols to deployed services; a side that none runs is null.
+    """
+    site = symbols.select(F.col("id").alias("caller_id"), F.col("def_file_id").alias("file_id")).join(files.select(F.col("id").alias("file_id"), "path"), "file_id", "left").select("caller_id", "path")
+    makes = runs.select(F.col("id").alias("caller_id"), F.col("service").alias("from")).distinct()
+    takes = runs.select(F.col("id").alias("method_id"), F.col("service").alias("to")).distinct()
+    rows = hops.join(site, "caller_id", "left").join(makes, "caller_id", "left").join(takes, "method_id", "left")
+    grouped = rows.groupBy("root", "hop", "from", "to", "service_id", "path")
+    return grouped.agg(F.count_distinct("caller_id").alias("sites"), F.array_join(F.array_sort(F.collect_set("rpc")), ",").alias("rpcs"))
+
+
 def rpc_chain(roots: DataFrame, links: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame, depth: int = 4, local: int = 2) -> DataFrame:
     """(root, hop, caller_id, service_id, method_id): calls over the wire outward from each root, through *local* levels of its own callees."""
     outward = staged(edges.where(F.col("kind") == S.CALLS).select("src", "dst").distinct(), "outward")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom import schema as S
@@ -77,6 +77,26 @@ def section_hits(lines: DataFrame, sections: DataFrame, needle: str) -> DataFram
     return sections.join(counts, ["doc_id", "start_line"]).select("doc_id", "start_line", "heading", "words", "hits", F.lower("heading").contains(needle.lower()).alias("in_heading"))
 
 
+def sections_about(lines: DataFrame, sections: DataFrame, needle: str) -> DataFrame:
+    """Sections (doc_id, start_line, heading, words, hits, in_heading, density) about *needle*.
+
+    A section whose heading or trail holds it is about it, with or without a line that does; in
+    all others it comes up, the more the denser: hits over words.
+    """
+    q = needle.lower()
+    hit = section_hits(lines, sections, needle).select("doc_id", "start_line", "hits")
+    named = F.lower("heading").contains(q) | F.lower(F.coalesce("trail", F.lit(""))).contains(q)
+    rows = sections.join(hit, ["doc_id", "start_line"], "left").withColumn("in_heading", named).where("in_heading or hits is not null")
+    density = F.col("hits") / F.greatest("words", F.lit(1))
+    return rows.select("doc_id", "start_line", "end_line", "heading", "trail", "words", F.coalesce("hits", F.lit(0)).alias("hits"), "in_heading", F.when(~F.col("in_heading"), density).alias("density"))
+
+
+def about_order() -> list[Column]:
+    """Headings first, by place; then the densest, the shorter first on a tie."""
+    place = lambda c: F.when(F.col("in_heading"), F.col(c))
+    return [F.desc("in_heading"), place("path"), place("start_line"), F.desc("density"), F.asc("words"), F.asc("path"), F.asc("start_line")]
+
+
 def documents(sections: DataFrame, files: DataFrame) -> DataFrame:
     """(doc_id, path, sections, words, top): headings at the uppermost level below the title, in order."""
     base = sections.where("level > 1").groupBy("doc_id").agg(F.min("level").alias("least"))

@@ -92,14 +92,22 @@ class Facts:
 
     @cached_property
     def entries(self) -> DataFrame:
-        """Regions as deployed services whose entry files are those of the suppliers up to 15."""
-        return self.files.where("id <= 15").select(F.col("region").alias("service"), F.col("id").alias("entry_file"))
+        """Regions as deployed services; every seventh supplier is an entry file of its region."""
+        return self.files.where("id % 7 = 1").select(F.col("region").alias("service"), F.col("id").alias("entry_file"))
 
     @cached_property
     def literals(self) -> DataFrame:
         text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("pkg."), F.col("p_name"))).when(F.col("p_partkey") % 3 == 1, F.col("p_name")).otherwise(F.col("p_type"))
         return self.table("part").select(text.alias("text"), (F.col("p_partkey") % 100).cast("bigint").alias("file_id"), (F.col("p_partkey") * 7).cast("bigint").alias("line"))
 
+    @cached_property
+    def markdown(self) -> DataFrame:
+        """(path, text): events as headings of 200 documents, each followed by a line of two words."""
+        e = self.table("events")
+        at = F.struct(F.floor(F.col("event_id") / 200).alias("at"), F.concat(F.repeat(F.lit("#"), (1 + F.col("event_id") * 7 % 4).cast("int")), F.lit(" "), F.col("event_type"), F.lit("\nabout "), F.col("event_type")).alias("text"))
+        rows = e.groupBy((F.col("event_id") % 200).cast("string").alias("path")).agg(F.array_sort(F.collect_list(at)).alias("t"))
+        return rows.select("path", F.array_join(F.transform("t", lambda x: x["text"]), "\n").alias("text"))
+
     @cached_property
     def lines(self) -> DataFrame:
         return self.table("documents").select(F.col("doc_id"), F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
@@ -113,6 +121,11 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
     return _BUILT.setdefault((spark.sparkContext.applicationId, sf_dir), Facts(spark, sf_dir))
 
 
+def reset() -> None:
+    """Forget what was derived, so that the next query derives it from the folder as it is then."""
+    _BUILT.clear()
+
+
 #: The same views for DuckDB; names that a query does not use cost nothing.
 SQL = """
 WITH RECURSIVE files AS (
@@ -160,12 +173,19 @@ WITH RECURSIVE files AS (
 ), links AS (
   SELECT id % 5 AS service_id, id AS symbol_id, CAST(id % 2 AS INT) AS role, CASE WHEN id % 3 > 0 THEN id END AS via_symbol FROM symbols WHERE kind = 1
 ), services AS (SELECT CAST(n_nationkey AS BIGINT) AS id, 'pkg' || n_regionkey AS pkg, n_name AS name FROM nation
-), entries AS (SELECT region AS service, id AS entry_file FROM files WHERE id <= 15
+), entries AS (SELECT region AS service, id AS entry_file FROM files WHERE id % 7 = 1
 ), lits AS (
   SELECT CASE p_partkey % 3 WHEN 0 THEN 'pkg.' || p_name WHEN 1 THEN p_name ELSE p_type END AS text, CAST(p_partkey % 100 AS BIGINT) AS file_id, CAST(p_partkey * 7 AS BIGINT) AS line FROM part
 ), doclines AS (
   SELECT doc_id, CAST(doc_id AS VARCHAR) AS path, CAST(i - 1 AS INT) AS line, parts[i] AS text
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))
+), heads AS MATERIALIZED (
+  SELECT event_id % 200 AS doc_id, CAST(1 + (event_id * 7) % 4 AS INT) AS level, event_type AS heading, CAST(2 * (event_id // 200) + 1 AS INT) AS start_line FROM events
+), sections AS MATERIALIZED (
+  SELECT doc_id, level, heading, start_line, CAST(CASE level
+    WHEN 1 THEN coalesce(min(start_line) FILTER (level <= 1) OVER w, 1 + max(start_line + 1) OVER (PARTITION BY doc_id)) WHEN 2 THEN coalesce(min(start_line) FILTER (level <= 2) OVER w, 1 + max(start_line + 1) OVER (PARTITION BY doc_id))
+    WHEN 3 THEN coalesce(min(start_line) FILTER (level <= 3) OVER w, 1 + max(start_line + 1) OVER (PARTITION BY doc_id)) ELSE coalesce(min(start_line) FILTER (level <= 4) OVER w, 1 + max(start_line + 1) OVER (PARTITION BY doc_id)) END - 1 AS INT) AS end_line
+  FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY start_line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
 ), callers AS (
   SELECT e.dst AS id, count(*) AS callers, count(*) FILTER (NOT coalesce(f.is_test, false)) AS prod_callers, count(*) FILTER (coalesce(f.is_test, false)) AS test_callers
   FROM edges e JOIN symbols c ON c.id = e.src LEFT JOIN files f ON f.id = c.def_file_id WHERE e.kind = 0 GROUP BY e.dst

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import scalar as X
+from factloom.functions.symbols import parse_symbol
 from factloom.operators import deploy, edges, graph, knowledge, search, services, survey, text
 from factloom.plans.bridge import SQL, Facts, facts
+from factloom.sources import code, markdown
 from factloom.streaming import dirty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -231,7 +233,7 @@ def _(f: Facts) -> DataFrame:
 
 _NEAR = """, near AS MATERIALIZED (SELECT parent, other, rank, total FROM (SELECT dst AS parent, src AS other, row_number() OVER (PARTITION BY dst ORDER BY src) AS rank, count(*) OVER (PARTITION BY dst) AS total
       FROM (SELECT DISTINCT d.src, d.dst FROM dense d JOIN symbols s ON s.id = d.src)) WHERE rank <= 4),
-  l0 AS MATERIALIZED (SELECT id AS root, id AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, CAST(1 AS BIGINT) AS pos FROM symbols WHERE id % 100 = 0),
+  l0 AS MATERIALIZED (SELECT id AS root, id AS node, 0 AS depth, CAST(NULL AS BIGINT) AS parent, CAST(1 AS BIGINT) AS pos FROM symbols),
   c1 AS (SELECT a.root, n.other AS node, 1 AS depth, a.node AS parent, a.pos AS before, n.rank FROM l0 a JOIN near n ON n.parent = a.node),
   l1 AS MATERIALIZED (SELECT root, node, depth, parent, row_number() OVER (PARTITION BY root ORDER BY before, rank) AS pos
     FROM (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY before, rank) AS k FROM c1) WHERE k = 1 AND (root, node) NOT IN (SELECT root, node FROM l0)),
@@ -243,7 +245,7 @@ _NEAR = """, near AS MATERIALIZED (SELECT parent, other, rank, total FROM (SELEC
 
 def _walked(f: Facts) -> tuple[DataFrame, DataFrame]:
     near = graph.neighbours(f.part_edges, f.symbols, f.files, fanout=4)
-    return graph.walk(f.symbols.where("id % 100 = 0").select(F.col("id").alias("root")), near, 2), near
+    return graph.walk(f.symbols.select(F.col("id").alias("root")), near, 2), near
 
 
 @query("walk_callers_d2", _NEAR + " SELECT root, node, depth, parent, pos FROM nodes")
@@ -265,12 +267,12 @@ def _(f: Facts) -> DataFrame:
 
 @query(
     "call_path_len",
-    """, path AS (SELECT id AS root, id AS node, 0 AS depth FROM symbols WHERE id % 250 = 0
+    """, path AS (SELECT id AS root, id AS node, 0 AS depth FROM symbols WHERE id % 20 = 0
       UNION SELECT p.root, e.dst, p.depth + 1 FROM path p JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 0) e ON e.src = p.node WHERE p.depth < 8)
     SELECT root, node, min(depth) AS depth FROM path GROUP BY root, node""",
 )
 def _(f: Facts) -> DataFrame:
-    roots = f.symbols.where("id % 250 = 0").select(F.col("id").alias("root"), F.col("id").alias("node"))
+    roots = f.symbols.where("id % 20 = 0").select(F.col("id").alias("root"), F.col("id").alias("node"))
     return graph.distances(roots, f.edges.where("kind = 0"), 8)
 
 
@@ -285,6 +287,21 @@ def _(f: Facts) -> DataFrame:
     return graph.tests_reaching(f.symbols.where("id % 20 = 0").select(F.col("id").alias("root")), f.edges, f.symbols, f.files, 3)
 
 
+_LEVELS = """, ce AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 0), start AS (SELECT src AS id FROM ce GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
+    lv0 AS (SELECT id AS node, 0 AS depth FROM start UNION SELECT e.dst, l.depth + 1 FROM lv0 l JOIN ce e ON e.src = l.node WHERE l.depth < 8), lv AS MATERIALIZED (SELECT node, min(depth) AS depth FROM lv0 GROUP BY node),
+    goal AS (SELECT node, depth FROM lv ORDER BY depth DESC, node LIMIT 1),
+    up AS MATERIALIZED (SELECT b.node, min(a.node) AS parent FROM lv b JOIN ce ON ce.dst = b.node JOIN lv a ON a.node = ce.src AND a.depth = b.depth - 1 GROUP BY b.node),
+    back AS (SELECT node, depth AS step FROM goal UNION SELECT u.parent, b.step - 1 FROM back b JOIN up u ON u.node = b.node)"""
+
+
+@query("path_hops", _LEVELS + " SELECT CAST(step AS INT) AS step, node FROM back")
+def _(f: Facts) -> DataFrame:
+    calls = f.edges.where("kind = 0")
+    start = calls.select("src", "dst").distinct().groupBy("src").count().orderBy(F.desc("count"), "src").first()["src"]
+    far = graph.distances(f.spark.createDataFrame([(start, start)], "root bigint, node bigint"), calls, 8).orderBy(F.desc("depth"), "node").first()
+    return graph.call_path(f.edges, start, far["node"], 8)
+
+
 # -- deployment ---------------------------------------------------------------------------------
 
 _SEEDS = """, seeds AS MATERIALIZED (SELECT e.service, s.id AS node FROM entries e JOIN symbols s ON s.def_file_id = e.entry_file
@@ -413,9 +430,28 @@ def _(f: Facts) -> DataFrame:
     return services.service_pivot(f.links, f.services)
 
 
+@query(
+    "rpc_callers_of_type",
+    "SELECT DISTINCT l.symbol_id AS type_id, l.service_id, w.rpc, w.caller_id FROM links l JOIN memb m ON m.src = l.symbol_id JOIN symbols h ON h.id = m.dst JOIN wirecalls w ON w.service_id = l.service_id AND w.key = replace(lower(h.name), '_', '') WHERE l.role = 0",
+)
+def _(f: Facts) -> DataFrame:
+    return services.rpc_callers_of_type(f.links, f.symbols, f.files, f.edges)
+
+
+@query(
+    "outgoing_services",
+    _REACH
+    + """ SELECT DISTINCT mine.symbol_id, s.pkg || '.' || s.name AS called, x.deployed FROM links mine JOIN services s ON s.id = mine.service_id
+    LEFT JOIN (SELECT DISTINCT l.service_id, r.service AS deployed FROM links l JOIN symbols t ON t.id = l.symbol_id JOIN files f ON f.id = t.def_file_id AND NOT f.generated JOIN reached r ON r.symbol_id = t.id WHERE l.role = 0) x
+      ON x.service_id = mine.service_id WHERE mine.role = 1""",
+)
+def _(f: Facts) -> DataFrame:
+    return services.outgoing_services(f.links, f.services, f.symbols, f.files, _reached(f))
+
+
 def _inward(n: int) -> str:
     """One hop: the closure over production callers, the calls that meet it, those not met before."""
-    front = "SELECT id AS root, id AS node FROM symbols WHERE id % 10 = 0" if n == 1 else f"SELECT DISTINCT root, caller_id AS node FROM h{n - 1}"
+    front = "SELECT id AS root, id AS node FROM symbols WHERE id % 20 = 0" if n == 1 else f"SELECT DISTINCT root, caller_id AS node FROM h{n - 1}"
     before = "" if n == 1 else " AND (c.root, w.caller_id) NOT IN (" + " UNION ALL ".join(f"SELECT root, caller_id FROM h{i}" for i in range(1, n)) + ")"
     return f""", n{n} AS (({front}) UNION SELECT c.root, e.src FROM n{n} c JOIN inward e ON e.dst = c.node),
     h{n} AS MATERIALIZED (SELECT DISTINCT c.root, {n} AS hop, w.method_id, w.service_id, w.rpc, w.caller_id FROM n{n} c JOIN wire w ON w.method_id = c.node WHERE true{before})"""
@@ -426,19 +462,33 @@ _HOPS = ", inward AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE kin
 
 @query("affects_hops", _HOPS + " SELECT * FROM h1 UNION ALL SELECT * FROM h2")
 def _(f: Facts) -> DataFrame:
-    roots = f.symbols.where("id % 10 = 0").select(F.col("id").alias("root"))
+    roots = f.symbols.where("id % 20 = 0").select(F.col("id").alias("root"))
     return services.affects_hops(roots, f.links, f.symbols, f.files, f.edges, depth=40, hops=2)
 
 
 @query("affects_sites", _HOPS + " SELECT root, service_id, count(DISTINCT caller_id) AS sites, string_agg(DISTINCT rpc, ',' ORDER BY rpc) AS rpcs FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY root, service_id")
 def _(f: Facts) -> DataFrame:
-    roots = f.symbols.where("id % 10 = 0").select(F.col("id").alias("root"))
+    roots = f.symbols.where("id % 20 = 0").select(F.col("id").alias("root"))
     hops = services.affects_hops(roots, f.links, f.symbols, f.files, f.edges, depth=40, hops=2)
     return hops.groupBy("root", "service_id").agg(F.count_distinct("caller_id").alias("sites"), F.array_join(F.array_sort(F.collect_set("rpc")), ",").alias("rpcs"))
 
 
+@query(
+    "affects_groups",
+    _HOPS
+    + """, fs AS (SELECT id, region AS service FROM (SELECT s.id, f.region FROM symbols s JOIN files f ON f.id = s.def_file_id) WHERE id % 3 > 0)
+    SELECT h.root, h.hop, a.service AS "from", b.service AS "to", h.service_id, f.path, count(DISTINCT h.caller_id) AS sites, string_agg(DISTINCT h.rpc, ',' ORDER BY h.rpc) AS rpcs
+    FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) h JOIN symbols c ON c.id = h.caller_id LEFT JOIN files f ON f.id = c.def_file_id LEFT JOIN fs a ON a.id = h.caller_id LEFT JOIN fs b ON b.id = h.method_id GROUP BY ALL""",
+)
+def _(f: Facts) -> DataFrame:
+    roots = f.symbols.where("id % 20 = 0").select(F.col("id").alias("root"))
+    hops = services.affects_hops(roots, f.links, f.symbols, f.files, f.edges, depth=40, hops=2)
+    runs = f.symbols.where("id % 3 > 0").join(f.files.select(F.col("id").alias("def_file_id"), F.col("region").alias("service")), "def_file_id").select("id", "service")
+    return services.hop_groups(hops, runs, f.symbols, f.files)
+
+
 def _outward(n: int) -> str:
-    front = "SELECT id AS root, id AS node, 0 AS d FROM symbols WHERE id % 10 = 0" if n == 1 else f"SELECT DISTINCT root, method_id AS node, 0 AS d FROM g{n - 1}"
+    front = "SELECT id AS root, id AS node, 0 AS d FROM symbols WHERE id % 20 = 0" if n == 1 else f"SELECT DISTINCT root, method_id AS node, 0 AS d FROM g{n - 1}"
     before = "" if n == 1 else " AND (c.root, t.method_id) NOT IN (" + " UNION ALL ".join(f"SELECT root, method_id FROM g{i}" for i in range(1, n)) + ")"
     return f""", w{n} AS (({front}) UNION SELECT c.root, e.dst, c.d + 1 FROM w{n} c JOIN outward e ON e.src = c.node WHERE c.d < 2),
     g{n} AS MATERIALIZED (SELECT DISTINCT c.root, {n} AS hop, t.caller_id, t.service_id, t.method_id FROM w{n} c JOIN targets t ON t.caller_id = c.node WHERE true{before})"""
@@ -449,10 +499,15 @@ def _outward(n: int) -> str:
     f", targets AS MATERIALIZED ({_TARGETS}), outward AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE kind = 0)" + "".join(_outward(n) for n in (1, 2, 3, 4)) + " SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3 UNION ALL SELECT * FROM g4",
 )
 def _(f: Facts) -> DataFrame:
-    return services.rpc_chain(f.symbols.where("id % 10 = 0").select(F.col("id").alias("root")), f.links, f.symbols, f.files, f.edges)
+    return services.rpc_chain(f.symbols.where("id % 20 = 0").select(F.col("id").alias("root")), f.links, f.symbols, f.files, f.edges)
 
 
-@query("link_services")
+@query(
+    "link_services",
+    """, art AS (SELECT s.id AS via, split_part(f.path, '/', 2) AS pkg, replace(s.name, '#', '') || 'Service' AS service, CAST(s.id % 2 AS INT) AS role FROM symbols s JOIN files f ON f.id = s.def_file_id AND f.id % 3 = 0 WHERE s.kind = 1)
+    SELECT a.pkg, a.service, b.id AS symbol_id, a.role, min(a.via) AS via_symbol
+    FROM art a JOIN occ o ON o.symbol_id = a.via AND o.role & 1 = 0 AND o.file_id % 3 <> 0 JOIN bodies b ON b.def_file_id = o.file_id AND o.line BETWEEN b.def_line AND b.def_end_line GROUP BY a.pkg, a.service, b.id, a.role""",
+)
 def _(f: Facts) -> DataFrame:
     named = f.symbols.withColumn("name", F.when(F.col("kind") == 1, F.concat(F.regexp_replace("name", "[#]", ""), F.when(F.col("id") % 2 == 0, "ServiceServer").otherwise("ServiceClient"))).otherwise(F.col("name")))
     made = f.files.withColumn("generated", F.col("id") % 3 == 0)
@@ -521,28 +576,57 @@ def _(f: Facts) -> DataFrame:
     return text.admitted(f.literals, f.symbols)
 
 
-_HEADS = r"""SELECT page_id AS doc_id, CAST(regexp_extract(html, '<h([1-6])', 1) AS INT) AS level, regexp_extract(html, '<h[1-6][^>]*>([^<]*)', 1) AS heading, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INT) AS words FROM pages WHERE regexp_matches(html, '<h[1-6]')"""
+def _heads(f: Facts) -> DataFrame:
+    return f.table("events").select((F.col("event_id") % 200).alias("doc_id"), (1 + F.col("event_id") * 7 % 4).cast("int").alias("level"), F.col("event_type").alias("heading"), (2 * F.floor(F.col("event_id") / 200) + 1).cast("int").alias("start_line"))
 
 
-@query("section_words", f"SELECT level, count(*) AS sections, CAST(sum(words) AS BIGINT) AS words, min(heading) AS first FROM ({_HEADS}) GROUP BY level", plain=True)
+@query("doc_sections", "SELECT doc_id, level, heading, start_line, end_line FROM sections")
 def _(f: Facts) -> DataFrame:
-    rows = f.table("pages").where(F.col("html").rlike("<h[1-6]")).select(
-        F.regexp_extract("html", "<h([1-6])", 1).cast("int").alias("level"), F.regexp_extract("html", "<h[1-6][^>]*>([^<]*)", 1).alias("heading"), F.regexp_count("html", F.lit("<p[ >]")).alias("words")
-    )
-    return rows.groupBy("level").agg(F.count("*").alias("sections"), F.sum("words").alias("words"), F.min("heading").alias("first"))
+    heads = _heads(f)
+    return text.section_spans(heads, heads.groupBy("doc_id").agg((F.max("start_line") + 1).alias("lines")))
+
+
+_TRAILS = """, before AS (SELECT *, max(start_line) FILTER (level <= 1) OVER w AS p1, max(start_line) FILTER (level <= 2) OVER w AS p2, max(start_line) FILTER (level <= 3) OVER w AS p3
+      FROM sections WINDOW w AS (PARTITION BY doc_id ORDER BY start_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    trails AS MATERIALIZED (SELECT b.doc_id, b.level, b.heading, b.start_line, b.end_line, CAST(2 * (b.end_line - b.start_line) AS INT) AS words, concat_ws(' > ', CASE WHEN b.level > 1 THEN coalesce(h1.heading, '(unnamed)') END,
+        CASE WHEN b.level > 2 THEN coalesce(h2.heading, '(unnamed)') END, CASE WHEN b.level > 3 THEN coalesce(h3.heading, '(unnamed)') END, b.heading) AS trail
+      FROM before b LEFT JOIN heads h1 ON h1.doc_id = b.doc_id AND h1.start_line = b.p1 AND h1.level = 1 LEFT JOIN heads h2 ON h2.doc_id = b.doc_id AND h2.start_line = b.p2 AND h2.level = 2
+      LEFT JOIN heads h3 ON h3.doc_id = b.doc_id AND h3.start_line = b.p3 AND h3.level = 3)"""
+
 
+def _parsed(f: Facts) -> DataFrame:
+    return markdown.flat(markdown.parse(f.markdown)).withColumn("doc_id", F.col("path").cast("bigint"))
 
-_SECTIONS = "(SELECT event_id % 200 AS doc_id, CAST(1 + (event_id * 7) % 4 AS INT) AS level, event_type AS heading, CAST(event_id // 200 AS INT) AS start_line FROM events WHERE event_id < 6000)"
+
+@query("doc_trails", _TRAILS + " SELECT doc_id, level, heading, trail, start_line, end_line, words FROM trails")
+def _(f: Facts) -> DataFrame:
+    return _parsed(f).drop("path")
 
 
 @query(
-    "doc_sections",
-    f"""SELECT a.doc_id, a.level, a.heading, a.start_line, coalesce((SELECT min(b.start_line) - 1 FROM {_SECTIONS} b WHERE b.doc_id = a.doc_id AND b.start_line > a.start_line AND b.level <= a.level), 40) AS end_line FROM {_SECTIONS} a""",
-    plain=True,
+    "documents_overview",
+    _TRAILS
+    + """ SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS path, d.sections, d.words, t.top FROM (SELECT doc_id, count(*) AS sections, CAST(sum(words) AS BIGINT) AS words FROM trails GROUP BY doc_id) d
+    LEFT JOIN (SELECT doc_id, string_agg(heading, ',' ORDER BY start_line) AS top FROM trails JOIN (SELECT doc_id, min(level) AS least FROM trails WHERE level > 1 GROUP BY doc_id) USING (doc_id) WHERE level = least GROUP BY doc_id) t USING (doc_id)""",
 )
 def _(f: Facts) -> DataFrame:
-    heads = f.table("events").where("event_id < 6000").select((F.col("event_id") % 200).alias("doc_id"), (1 + F.col("event_id") * 7 % 4).cast("int").alias("level"), F.col("event_type").alias("heading"), F.floor(F.col("event_id") / 200).cast("int").alias("start_line"))
-    return text.section_spans(heads, heads.select("doc_id").distinct().withColumn("lines", F.lit(40)))
+    rows = _parsed(f)
+    return text.documents(rows, rows.select("doc_id", "path").distinct()).withColumn("top", F.array_join("top", ","))
+
+
+@query(
+    "docs_about",
+    _TRAILS
+    + """, body AS (SELECT doc_id, start_line + k AS line, CASE k WHEN 0 THEN repeat('#', level) || ' ' ELSE 'about ' END || heading AS text FROM heads, (SELECT unnest([0, 1]) AS k)),
+    hit AS (SELECT l.doc_id, l.line, max(t.start_line) AS start_line FROM body l JOIN trails t ON t.doc_id = l.doc_id AND l.line BETWEEN t.start_line AND t.end_line WHERE contains(l.text, 'click') GROUP BY ALL),
+    counts AS (SELECT doc_id, start_line, count(*) AS hits FROM hit GROUP BY ALL)
+    SELECT t.doc_id, t.start_line, t.heading, t.words, coalesce(c.hits, 0) AS hits, contains(t.trail, 'click') AS in_heading, CAST(CASE WHEN NOT contains(t.trail, 'click') THEN round(1000000 * c.hits / greatest(t.words, 1)) END AS BIGINT) AS density
+    FROM trails t LEFT JOIN counts c USING (doc_id, start_line) WHERE contains(t.trail, 'click') OR c.hits IS NOT NULL""",
+)
+def _(f: Facts) -> DataFrame:
+    lines = code.lines(f.markdown).select(F.col("path").cast("bigint").alias("doc_id"), (F.col("line") + 1).alias("line"), "text")
+    rows = text.sections_about(lines, _parsed(f), "CLICK")
+    return rows.select("doc_id", "start_line", "heading", "words", "hits", "in_heading", F.round(1000000 * F.col("density")).cast("bigint").alias("density"))
 
 
 @query(
@@ -565,6 +649,63 @@ def _(f: Facts) -> DataFrame:
     return text.context_scores(f.symbols, f.files, "Ring").select("id", F.round(F.col("score") * 1000000).cast("bigint").alias("score"), "sources")
 
 
+# -- names and paths ----------------------------------------------------------------------------
+
+
+@query(
+    "symbol_strings",
+    """SELECT p_partkey AS id, 'scip-go' AS scheme, 'pkg' || p_size AS package, CASE p_partkey % 4 WHEN 0 THEN 'meth' WHEN 1 THEN 'Type' WHEN 2 THEN 'odd name' ELSE 'arg' END || p_partkey AS name,
+      CASE p_partkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 5 END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'mod/Type#' WHEN 1 THEN 'mod/' WHEN 2 THEN 'mod/Type#' ELSE 'mod/run().' END AS container, 'mod' AS module FROM part""",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    k, n = F.col("p_partkey") % 4, F.col("p_partkey").cast("string")
+    last = F.when(k == 0, F.concat(F.lit("Type#meth"), n, F.lit("()."))).when(k == 1, F.concat(F.lit("Type"), n, F.lit("#"))).when(k == 2, F.concat(F.lit("Type#`odd name"), n, F.lit("`."))).otherwise(F.concat(F.lit("run().(arg"), n, F.lit(")")))
+    rows = f.table("part").select(F.col("p_partkey").alias("id"), parse_symbol(F.concat(F.lit("scip-go gomod pkg"), F.col("p_size").cast("string"), F.lit(" v1 mod/"), last)).alias("s"))
+    return rows.select("id", "s.*")
+
+
+@query(
+    "path_forms",
+    """SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN r_name || '/' || s_name ELSE n_name END AS path
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    k, at = F.col("id") % 3, F.split("path", "/")
+    given = F.when(k == 0, F.concat(F.lit("a/../../"), at[2])).when(k == 1, F.concat(at[0], F.lit("/./"), at[1], F.lit("//../"), at[2])).otherwise(F.concat(F.lit("./"), at[1], F.lit("/")))
+    return f.files.select("id", X.normalise_path(given).alias("path"))
+
+
+@query(
+    "path_languages",
+    """SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE CASE p_size % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 0 ELSE 3 END END AS lang,
+      p_partkey % 4 = 0 AS is_test, p_partkey % 4 = 1 AS variant FROM part""",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, ("Python", "go", "TSX", "", "kotlin"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    ext = F.element_at(F.array(*map(F.lit, ("py", "pyi", "go", "tsx", "rs", "js"))), (F.col("p_size") % 6 + 1).cast("int"))
+    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
+    test = F.when(k == 0, F.element_at(F.array(*[F.concat(F.lit(a), n, F.lit(b)) for a, b in (("x/test_", ".py"), ("x/a", "_test.go"), ("x/tests/a", ".rs"), ("tests/a", ".rs"), ("x/a", ".spec.ts"))]), (F.floor(F.col("p_partkey") / 4) % 5 + 1).cast("int")))
+    path = F.coalesce(test, F.concat(F.lit("x/contest_"), n, F.when(k == 1, F.lit(".ios.")).otherwise(F.lit(".")), ext))
+    rows = f.table("part").select(F.col("p_partkey").alias("id"), said.alias("said"), F.concat(F.lit("x/a."), ext).alias("by_ext"), path.alias("path"))
+    return rows.select("id", X.detect_lang(F.col("said"), F.col("by_ext")).alias("lang"), X.is_test_path(F.col("path")).alias("is_test"), X.is_build_variant(F.col("path")).alias("variant"))
+
+
+@query(
+    "occurrence_ranges",
+    "SELECT l_orderkey AS line, CAST(l_linenumber AS INT) AS col_start, CAST(l_linenumber + 3 AS INT) AS col_end, count(*) AS n FROM lineitem GROUP BY ALL",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    line, start, end, k = F.col("l_orderkey").cast("int"), F.col("l_linenumber").cast("int"), (F.col("l_linenumber") + 3).cast("int"), F.col("l_partkey") % 4
+    single = F.when(k == 0, F.struct(line.alias("line"), start.alias("start_character"), end.alias("end_character")))
+    multi = F.when(k == 1, F.struct(line.alias("start_line"), start.alias("start_character"), (line + 2).alias("end_line"), end.alias("end_character")))
+    packed = F.when(k == 2, F.array(line, start, end)).when(k == 3, F.array(line, start, line + 1, end)).otherwise(F.array().cast("array<int>"))
+    return f.table("lineitem").select(X.occurrence_range(single, multi, packed).alias("r")).groupBy("r.line", "r.col_start", "r.col_end").agg(F.count("*").alias("n"))
+
+
 # -- knowledge and change -----------------------------------------------------------------------
 
 
@@ -659,6 +800,31 @@ def _(f: Facts) -> DataFrame:
     return knowledge.coverage_areas(deploy.entry_points(*_deployed(f)), f.links, 1)
 
 
+@query(
+    "verdict_areas",
+    """SELECT 'area' || n_regionkey AS area, CASE WHEN bool_or(n_nationkey % 4 = 1 AND n_regionkey <> 2) THEN 'Failing' WHEN n_regionkey = 3 THEN 'Partial' WHEN bool_and(n_nationkey % 4 = 2) THEN 'Verified'
+      WHEN bool_or(n_nationkey % 4 = 3) THEN 'VerifyStale' ELSE 'Indexed' END AS state FROM nation WHERE n_regionkey <> 2 OR n_nationkey % 4 <> 1 GROUP BY n_regionkey""",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    n = f.table("nation").where("n_regionkey <> 2 or n_nationkey % 4 <> 1")
+    area, k = F.concat(F.lit("area"), F.col("n_regionkey").cast("string")), F.col("n_nationkey") % 4
+    standing = n.select(area.alias("area"), F.when(k == 0, "Open").when(k == 1, "Broken").when(k == 2, "Current").otherwise("Expired").alias("standing"))
+    areas = n.select(area.alias("area"), F.when(F.col("n_regionkey") == 3, "Partial").otherwise("Indexed").alias("state")).distinct()
+    return knowledge.apply_verdicts(areas, standing)
+
+
+@query(
+    "stale_links",
+    "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 3 THEN false ELSE s_suppkey % 4 <> 0 END AS needs_review FROM supplier",
+    plain=True,
+)
+def _(f: Facts) -> DataFrame:
+    k = F.col("id") % 4
+    links = f.files.select("id", F.when(k != 3, F.when(k == 2, F.concat(F.lit("gone/"), F.col("path"))).otherwise(F.col("path"))).alias("anchor_path"), F.when(k == 1, "other").otherwise(F.col("content_hash")).alias("anchor_hash"))
+    return knowledge.flag_stale(links, f.files.select("path", "content_hash")).select("id", "needs_review")
+
+
 @query("hit_classes", "SELECT CASE WHEN is_test THEN 'tests' WHEN generated THEN 'generated' ELSE 'hand-written' END AS class, count(*) AS hits FROM files GROUP BY 1")
 def _(f: Facts) -> DataFrame:
     return knowledge.hit_classes(f.files)

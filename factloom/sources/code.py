@@ -15,7 +15,10 @@ HEAD_BYTES, MOST_BYTES, LITERAL_BYTES = 2048, 2 << 20, 200
 
 
 def tree(spark: SparkSession, root: str, glob: str = "*", pack: dict = rules.DEFAULT) -> DataFrame:
-    """(path, text, content_hash, bytes) of the text files of at most MOST_BYTES under *root*, skipped folders left out."""
+    """(path, text, content_hash, bytes) of the text files of at most MOST_BYTES under *root*, skipped folders left out.
+
+    ``too_large`` counts those that are longer.
+    """
     read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = root.split("://")[-1].rstrip("/")
     path = F.regexp_replace("path", rf"^(?:\w+:/*)?/?{re.escape(base.lstrip('/'))}/", "")
@@ -25,6 +28,12 @@ def tree(spark: SparkSession, root: str, glob: str = "*", pack: dict = rules.DEF
     return rows.where(~skipped & F.is_valid_utf8(text)).select("path", text.alias("text"), F.substring(F.sha2("content", 256), 1, 32).alias("content_hash"), "bytes")
 
 
+def too_large(spark: SparkSession, root: str) -> int:
+    """Files under *root* that *tree* leaves out for their size."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return read.where(F.col("length") > MOST_BYTES).count()
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(path, line, text), lines counted from 0."""
     return files.select("path", F.posexplode(F.split("text", "\r?\n")).alias("line", "text"))
@@ -112,7 +121,7 @@ def extensions(files: DataFrame) -> DataFrame:
 
 
 def excerpt(spans: DataFrame, source: DataFrame, most: int = 120) -> DataFrame:
-    """(id, line, text): the first *most* lines of each span (id, path, start, end; from 0)."""
+    """(id, path, line, text): the first *most* lines of each span (id, path, start, end; from 0)."""
     cut = spans.withColumn("last", F.least("end", F.col("start") + most - 1)).alias("s")
     at = source.alias("l")
-    return cut.join(at, (F.col("s.path") == F.col("l.path")) & F.col("l.line").between(F.col("s.start"), F.col("s.last"))).select("s.id", "l.line", "l.text")
+    return cut.join(at, (F.col("s.path") == F.col("l.path")) & F.col("l.line").between(F.col("s.start"), F.col("s.last"))).select("s.id", "l.path", "l.line", "l.text")

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom import schema as S
 from factloom import sinks
@@ -187,3 +188,63 @@ def test_authored_knowledge_outlives_builds(spark, engine, tmp_path):
     assert own.asserted(engine.t["symbols"], symbol.first()["id"]).first()["dst"] is None
     own.record_verdict("service-1", "cross-api", True, commit="c1")
     assert own.verdicts().first()["commit_sha"] == "c1"
+
+
+def test_pointers_are_never_overwritten(spark, tmp_path):
+    root = f"file://{tmp_path}/base"
+    one = spark.range(1).withColumn("kind", F.lit(0))
+    builds = [sinks.write_build(spark, root, {"files": one}) for _ in range(5)]
+    held = sorted(p.name for p in (tmp_path / "base").glob("_CURRENT.*"))
+    assert len(held) == sinks.KEEP and held[-1].endswith("5") and json.loads((tmp_path / "base" / held[-1]).read_text())["build"] == builds[-1]
+    (tmp_path / "base" / "_writing-dead").write_text("half a pointer")  # a crash before the rename
+    assert sinks.open_build(spark, root)["files"].count() == 1
+    path = f"{root}/authored/t"
+    for n in range(4):
+        sinks.upsert_table(spark, path, spark.createDataFrame([(1, n)], "k int, at int"), ["k"], "at")
+        (tmp_path / "base/authored/t/_writing-dead").mkdir(exist_ok=True)
+        assert [tuple(r) for r in sinks.read_table(spark, path).collect()] == [(1, n)]
+    with pytest.raises(RuntimeError), sinks.BuildLock(spark, path):
+        sinks.upsert_table(spark, path, one, ["id"], "kind")
+
+
+def test_docs_by_body(spark, engine, repo):
+    lines = code.lines(code.tree(spark, f"file://{repo}")).withColumn("line", F.col("line") + 1)
+    assert names(engine.docs("more words", lines), "trail", "hits", "in_heading") == [("Shop > (unnamed) > Deep", 1, False)]
+    assert [t for (t,) in names(engine.docs("words", lines), "trail")] == ["Shop > (unnamed) > Deep", "Shop"]
+    assert engine.docs("more words").unknown and not engine.docs("deep", lines).unknown
+
+
+def test_stale_paths_are_named(spark, engine):
+    assert "not tracked" in engine.refs("compute").render(9)
+    now = Engine(spark, engine.root, {"app/main.py", "elsewhere.py"})
+    assert "stale: changed since the build: app/main.py" in now.refs("compute").render(9)
+    assert "stale: none" in Engine(spark, engine.root, set()).outline("app").render(9)
+
+
+def test_outline_is_in_order(engine):
+    got = names(engine.outline("app"), "path", "at", "name")
+    assert got == sorted(got) and got[0][:2] == ("app/main.py", "app/main.py:1")
+
+
+def test_commands_over_the_tree_and_authored_knowledge(spark, engine, repo, capsys):
+    from factloom.__main__ import main
+
+    base = ["--base", engine.root, "--repository", f"file://{repo}"]
+    said = lambda *a: (main([*base, *a], spark), capsys.readouterr().out)
+    assert said("find", "nightly")[0] == S.FOUND
+    assert "def compute" in said("expand", "compute")[1]
+    code_, text = said("change", "compute")
+    assert code_ == S.FOUND and "residue:" in text and "affects:" in text
+    assert said("understand", "run")[0] == S.FOUND
+    assert main(["--base", engine.root, "find", "x"], spark) == S.BAD_QUERY
+    assert said("docs", "more words")[0] == S.FOUND
+    assert said("coverage")[0] == S.FOUND
+    assert said("concept", "pricing", "how prices are made")[0] == S.FOUND and said("about", "pricing", "compute")[0] == S.FOUND
+    assert "pricing" in said("concepts")[1] and "compute" in said("context", "pricing")[1]
+    assert said("link", "run", "compute", "by hand")[0] == S.FOUND and "by hand" in said("links", "run")[1]
+    check = next(x for x in said("checks")[1].splitlines() if x.startswith("entrypoints")).split("  ")[1]
+    assert said("verdict", check, "entrypoints", "no")[0] == S.FOUND and "entrypoints: Failing" in said("checks")[1]
+    assert said("verdict", check, "entrypoints", "maybe")[0] == S.BAD_QUERY
+    assert said("affects", "compute")[0] in (S.FOUND, S.DEGRADED) and said("callers-of-type", "Order")[0] == S.NOT_FOUND
+    assert said("unlinked", "run")[0] in (S.FOUND, S.NOT_FOUND)
+    assert said("drop", "agent")[0] == S.BAD_QUERY
