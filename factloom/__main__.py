@@ -17,7 +17,7 @@ from factloom import sinks
 from factloom.build import build
 from factloom.engine import Ambiguous, Engine
 from factloom.envelope import Envelope
-from factloom.sources import code
+from factloom.sources import code, worktree
 
 #: command: positional arguments, those that may be left out with a question mark.
 COMMANDS = {
@@ -26,7 +26,7 @@ COMMANDS = {
     "calls-over": ["subject"], "callers-of-type": ["subject"], "affects": ["subject"], "literal": ["needle"], "docs": ["query?"], "line": ["file", "number"], "context": ["query"], "status": [],
     "expand": ["subject"], "find": ["needle"], "change": ["subject"], "understand": ["subject"], "unlinked": ["subject"], "coverage": [], "checks": ["head?"],
     "verdict": ["check", "area", "holds", "note?", "commit?"], "concept": ["name", "note?"], "concepts": ["namespace?"], "about": ["name", "subject"], "drop": ["namespace"],
-    "link": ["source", "target", "note?"], "links": ["subject"],
+    "link": ["source", "target", "note?"], "links": ["subject"], "structure": ["prefix"], "layers": [], "candidates": [],
 }
 #: Commands that read the source tree, which --repository names.
 READ_TREE = {"expand", "find", "change", "unlinked", "coverage"}
@@ -42,6 +42,10 @@ def answer(engine: Engine, command: str, given: list[str], repository: str | Non
         return ask(given[0], code.lines(files))
     if command == "coverage":
         return engine.coverage(code.extensions(files).groupBy(F.col("ext").alias("lang")).agg(F.count("*").alias("files")))
+    if command == "layers":
+        return engine.layers(None if files is None else worktree.indexable(engine.spark, repository))
+    if command == "checks":
+        return engine.standings(given[0] if given else worktree.head_commit(engine.spark, repository) if repository else None)
     if command == "docs":
         return engine.docs(*given, lines=None if files is None else code.lines(files).withColumn("line", F.col("line") + 1))
     if command in WRITES:
@@ -56,7 +60,7 @@ def answer(engine: Engine, command: str, given: list[str], repository: str | Non
         return Envelope(engine.authored.concepts(*given))
     if command == "links":
         return Envelope(engine.authored.asserted(engine.t["symbols"], engine.subject(given[0])))
-    return getattr(engine, {"status": "verify", "callers-of-type": "callers_of_type", "understand": "for_understand", "checks": "standings"}.get(command, command))(*given)
+    return getattr(engine, {"status": "verify", "callers-of-type": "callers_of_type", "understand": "for_understand"}.get(command, command))(*given)
 
 
 def _hash(engine: Engine, given: str) -> str:
@@ -110,8 +114,10 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             print(sinks.write_build(spark, a.base, build(spark, a.index, a.tree), {"symbols": ["id"], "deploy_reach": ["symbol_id"]}))
         else:
             given = [getattr(a, x.rstrip("?")) for x in COMMANDS[a.command]]
-            dirty = None if a.changed is None else {x for x in a.changed if x}
-            found = answer(Engine(spark, a.base, dirty), a.command, [g for g in given if g is not None], a.repository)
+            engine = Engine(spark, a.base, None if a.changed is None else {x for x in a.changed if x})
+            if a.changed is None and a.repository:
+                engine.dirty = worktree.dirty(spark, a.repository, engine.t["files"])
+            found = answer(engine, a.command, [g for g in given if g is not None], a.repository)
             parts = found if isinstance(found, dict) else {"": found} if found is not None else {}
             text = "\n".join(f"{name}:\n{e.render(a.limit, a.budget)}" if name else e.render(a.limit, a.budget) for name, e in parts.items())
             exits = {e.exit for e in parts.values()}

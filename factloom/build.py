@@ -35,12 +35,19 @@ def build(spark: SparkSession, index: str, root: str, compose: tuple[str, ...] =
     doc_files = prose.select(X.stable_id(F.col("path")).alias("id"), "path", "title", "lines")
     sections = markdown.flat(prose).join(doc_files.select("path", F.col("id").alias("doc_id")), "path").drop("path")
 
-    small = {r["path"]: r["text"] for r in files_here.where(F.col("path").isin(*compose) | F.col("path").endswith(".sh") | F.col("path").endswith("Dockerfile")).collect()}
+    texts = lambda rows: {r["path"]: r["text"] for r in rows.select("path", "text").collect()}
+    small = texts(files_here.where(F.col("path").isin(*compose)))
     found = deployment.services([small[c] for c in compose if c in small])
+    # Only what these files name comes to the driver: the images' recipes, scripts with a schedule, and the scripts that those run.
+    small |= texts(files_here.where(F.col("path").isin(*{_recipe(s["build_context"]) for s in found})))
+    scripts = files_here.where(F.col("path").endswith(".sh"))
+    timed = texts(scripts.where(F.col("text").rlike(r"(?m)^\s*(?:[0-9*/,-]+\s+){5}\S")))
+    called = {w.rsplit("/", 1)[-1] for t in timed.values() for w in t.split() if w.endswith(".sh")}
+    small |= timed | texts(scripts.where(F.substring_index("path", "/", -1).isin(*called)))
     hints = []
     for s in found:
         target = deployment.resolve_command(s["command"] or "", pack)
-        hints.append((s["name"], deployment.path_hint(target, s["build_context"], small.get(f"{s['build_context'] or '.'}/Dockerfile".removeprefix("./"), ""))))
+        hints.append((s["name"], deployment.path_hint(target, s["build_context"], small.get(_recipe(s["build_context"]), ""))))
     runs = deployment.scheduled({p: t for p, t in small.items() if p.endswith(".sh")}, pack)
     contexts = {s["name"]: s["build_context"] for s in found}
     for r in runs:
@@ -61,6 +68,10 @@ def build(spark: SparkSession, index: str, root: str, compose: tuple[str, ...] =
     }
 
 
+def _recipe(context: str | None) -> str:
+    return f"{context or '.'}/Dockerfile".removeprefix("./")
+
+
 def _entry_files(spark: SparkSession, hints: list[tuple[str, str | None]], files: DataFrame) -> dict[str, int]:
     """File of each hint; a management command is looked up by its file name, the shortest path winning."""
     plain = [(k, h) for k, h in hints if h and not h.startswith("*/")]

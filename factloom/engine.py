@@ -76,6 +76,9 @@ class Engine:
         row = self.t["symbols"].where(F.col("id") == me).select(X.is_under_resolved_attribute(F.col("kind"), F.col("container")).alias("loose")).first()
         if row and row["loose"]:
             out.unknown.append("an attribute of a type: indexers resolve few of its uses; search its name as text")
+        at = out.rows.agg(F.min("path").alias("a"), F.max("path").alias("z"), F.count("*").alias("n")).first()
+        if at["n"] > 1 and at["a"] == at["z"]:
+            out.unknown.append(f"all {at['n']} references lie in {at['a']}")
         return self._fresh(out, out.rows)
 
     def usage(self, given: str, tests: bool = False) -> Envelope:
@@ -252,6 +255,25 @@ class Engine:
         chain = services.rpc_chain(self._root(given), t["service_links"], t["symbols"], t["files"], t["edges"])
         return {"calls": self.graph(given, outward=True, depth=1), "chain": Envelope(chain), "runs": self.runs(given)}
 
+    def structure(self, prefix: str) -> Envelope:
+        """What the files under a path define."""
+        out = Envelope(survey.structure(self.t["symbols"], self.t["files"], prefix).orderBy("path", "def_line", "id"))
+        if self.t["files"].where(search.under(prefix)).isEmpty():
+            out.unknown.append(f"UNCHECKED: no file under {prefix} is in the index")
+            out.exit = S.DEGRADED
+        return self._fresh(out, out.rows)
+
+    def layers(self, tree: DataFrame | None = None) -> Envelope:
+        """Edges by kind and how they are known; with *tree* (path) the folders that the index does not hold at all."""
+        out = Envelope(survey.layer_counts(self.t["edges"]).orderBy("kind", "source"))
+        if tree is not None:
+            out.unknown += [f"UNCHECKED: none of the {r['files']} files under {r['folder']} is in the index" for r in survey.unindexed(tree, self.t["files"]).orderBy("folder").limit(20).collect()]
+        return out
+
+    def candidates(self, limit: int = 40) -> Envelope:
+        """Symbols whose change would touch most."""
+        return Envelope(self._named(survey.change_candidates(self.t["symbols"], limit).select("id", "ref_count"), "id").orderBy(F.desc("ref_count"), "id"))
+
     def verify(self, now: DataFrame | None = None) -> Envelope:
         """Counts of the fact base; with *now* (path, content_hash) also which files have changed since."""
         out = Envelope(survey.verify_counts(self.t["files"], self.t["symbols"], self.t["occurrences"], self.t["edges"]))

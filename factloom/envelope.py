@@ -31,6 +31,17 @@ class Budget:
         return True
 
 
+def lines_around(tokens: int | None, sites: int) -> int | None:
+    """Source lines to show on each side of a site: None for no source, 0 for the line itself; more where the budget allows.
+
+    A place costs about 25 tokens and a line 15, so 30 tokens buy a line on both sides.
+    """
+    if tokens is None or not sites:
+        return 0
+    each = tokens // sites
+    return None if each < 25 else 0 if each <= 70 else min(max((each - 40) // 30, 1), 6)
+
+
 @dataclass
 class Envelope:
     rows: DataFrame | None = None

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,6 @@ from factloom.operators.graph import distances
 
 REACH_DEPTH = 12
 FILE_SYMBOLS = 40
-MOST_HINTS = 10_000
 
 
 def entry_points(services: DataFrame, on_demand: DataFrame) -> DataFrame:
@@ -31,13 +28,15 @@ def blind(services: DataFrame, on_demand: DataFrame) -> DataFrame:
 def entry_file(hints: DataFrame, files: DataFrame) -> DataFrame:
     """(key, file_id): for each (key, hint), the file at that path, else the shortest path that starts with it.
 
-    Hints come from deployment files, which are read on the driver: at most MOST_HINTS are
-    broadcast at a time, and the files, of any number, stay where they are.
+    A path starts with a hint if its first characters, as many as the hint has, are the hint: an
+    equality for each length that occurs among the hints, of which a path's length bounds the
+    number, and no comparison of every path with every hint.
     """
-    most = hints.count()
-    parts = [hints] if most <= MOST_HINTS else [hints.where(F.pmod(F.xxhash64("key"), F.lit(n)) == i) for n in [most // MOST_HINTS + 1] for i in range(n)]
+    hints = hints.select("key", "hint", F.length("hint").alias("size"))
+    sizes = sorted(r["size"] for r in hints.where("size is not null").select("size").distinct().collect())
     names = files.select(F.col("id").alias("file_id"), "path")
-    joined = reduce(DataFrame.unionAll, [names.join(F.broadcast(h), F.col("path").startswith(F.col("hint"))) for h in parts])
+    cut = names.withColumn("size", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"))).where(F.length("path") >= F.col("size"))
+    joined = cut.withColumn("hint", F.substring("path", F.lit(1), F.col("size"))).join(hints, ["hint", "size"])
     best = F.min(F.struct((F.col("path") != F.col("hint")).alias("far"), F.length("path").alias("n"), "path", "file_id"))
     return joined.groupBy("key").agg(best.alias("b")).select("key", F.col("b.file_id").alias("file_id"))
 

@@ -97,6 +97,20 @@ def residue(hits: DataFrame, accounted: DataFrame) -> DataFrame:
     return hits.join(accounted.select("path", "line").distinct(), ["path", "line"], "left_anti")
 
 
+def completeness(mentions: DataFrame, accounted: DataFrame, strings: DataFrame) -> DataFrame:
+    """(name, bucket, mentions): every mention (path, line, name, text) of a name in one bucket.
+
+    ``accounted``: a resolved reference lies on its line; ``string``: a literal does;
+    ``attribute``: it follows a dot, which indexers resolve for few; ``unexplained``: the rest.
+    The names must each be borne by one symbol, as a homonym's mentions can't be told apart.
+    """
+    at = lambda df, name: df.select("path", "line", F.lit(True).alias(name)).distinct()
+    rows = mentions.join(at(accounted, "known"), ["path", "line"], "left").join(at(strings, "quoted"), ["path", "line"], "left")
+    dotted = F.contains("text", F.concat(F.lit("."), F.col("name")))
+    bucket = F.when(F.col("known"), "accounted").when(F.col("quoted"), "string").when(dotted, "attribute").otherwise("unexplained")
+    return rows.groupBy("name", bucket.alias("bucket")).agg(F.count("*").alias("mentions"))
+
+
 def within_budget(rows: DataFrame, order: list, cost: str, tokens: int, by: str | None = None) -> DataFrame:
     """The first rows whose lines fit *tokens* of 3.7 characters, newline included; the first always fits."""
     from pyspark.sql import Window as W

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom import schema as S
 from factloom.operators.edges import members
-from factloom.operators.search import under
+from factloom.operators.search import unattributed, under
 
 
 def caller_counts(edges: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
@@ -57,10 +57,42 @@ def verify_counts(files: DataFrame, symbols: DataFrame, occ: DataFrame, edges: D
     """One row of counts; every table is read once."""
     n = lambda cond: F.count(F.when(cond, 1))
     f = files.agg(F.count("*").alias("files"), n(F.col("generated")).alias("generated_files"), n(F.col("is_test")).alias("test_files"))
-    s = symbols.agg(F.count("*").alias("symbols"), n(F.col("def_file_id").isNull()).alias("undefined"), n(F.col("ref_count") == 0).alias("unreferenced"), n(F.col("def_end_line").isNull()).alias("bodiless"))
+    s = symbols.agg(F.count("*").alias("symbols"), n(F.col("def_file_id").isNull()).alias("undefined"), n(F.col("ref_count") == 0).alias("unreferenced"), n(F.col("def_end_line").isNull()).alias("bodiless"), n(F.col("def_generated")).alias("generated_symbols"), n(F.col("doc").isNotNull()).alias("documented"))
     o = occ.agg(F.count("*").alias("occurrences"), n(F.col("role").bitwiseAND(1) == 1).alias("definitions"), n(F.col("role").bitwiseAND(2) == 2).alias("imports"))
-    e = edges.agg(n(F.col("kind") == S.CALLS).alias("calls"), n(F.col("kind") == S.MEMBER).alias("members"))
-    return f.join(s).join(o).join(e)  # one row each
+    e = edges.agg(*(n(F.col("kind") == kind).alias(name) for kind, name in ((S.CALLS, "calls"), (S.MEMBER, "members"), (S.IMPLEMENTS, "implements"), (S.WEAK_REF, "weak"))))
+    a = ambiguous(occ).agg(F.count("*").alias("ambiguous"))
+    u = unattributed(symbols, edges).agg(F.coalesce(F.sum("unattributed"), F.lit(0)).alias("unattributed"))
+    return f.join(s).join(o).join(e).join(a).join(u)  # one row each
+
+
+def layer_counts(edges: DataFrame) -> DataFrame:
+    """(kind, source, edges) of every relation and how it is known."""
+    return edges.groupBy("kind", "source").agg(F.count("*").alias("edges"))
+
+
+def concentrated(occ: DataFrame, files: DataFrame) -> DataFrame:
+    """(symbol_id, path, uses) of symbols with two references or more that all lie in one file."""
+    refs = occ.where(F.col("role").bitwiseAND(1) == 0).join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    one = refs.groupBy("symbol_id").agg(F.min("path").alias("path"), F.max("path").alias("last"), F.count("*").alias("uses"))
+    return one.where("path = last and uses > 1").drop("last")
+
+
+def change_candidates(symbols: DataFrame, limit: int = 40) -> DataFrame:
+    """Hand-written symbols that most refer to, the most referenced first."""
+    return symbols.where(~F.col("def_generated") & F.col("def_file_id").isNotNull()).orderBy(F.desc("ref_count"), "id").limit(limit)
+
+
+def structure(symbols: DataFrame, files: DataFrame, prefix: str = "") -> DataFrame:
+    """(path, def_line, id, name, kind) of what files define, without parameters."""
+    where = files.where(under(prefix)).select(F.col("id").alias("def_file_id"), "path")
+    return symbols.where(~F.col("kind").isin(S.TYPE_PARAMETER, S.PARAMETER)).join(where, "def_file_id").select("path", "def_line", "id", "name", "kind")
+
+
+def unindexed(tree: DataFrame, files: DataFrame) -> DataFrame:
+    """(folder, files) of uppermost folders of the tree (path) none of whose files is in the index: unchecked, not empty."""
+    folder = F.substring_index("path", "/", 1)
+    seen = files.select(folder.alias("folder")).distinct()
+    return tree.groupBy(folder.alias("folder")).agg(F.count("*").alias("files")).join(seen, "folder", "left_anti")
 
 
 def ambiguous(occ: DataFrame) -> DataFrame:

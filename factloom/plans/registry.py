@@ -204,12 +204,53 @@ def _(f: Facts) -> DataFrame:
     """SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE generated) AS generated_files, (SELECT count(*) FROM files WHERE is_test) AS test_files,
       (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM symbols WHERE def_file_id IS NULL) AS undefined, (SELECT count(*) FROM symbols WHERE ref_count = 0) AS unreferenced,
       (SELECT count(*) FROM symbols WHERE def_end_line IS NULL) AS bodiless, (SELECT count(*) FROM occ) AS occurrences, (SELECT count(*) FROM occ WHERE role & 1 = 1) AS definitions,
-      (SELECT count(*) FROM occ WHERE role & 2 = 2) AS imports, (SELECT count(*) FROM edges WHERE kind = 0) AS calls, (SELECT count(*) FROM edges WHERE kind = 4) AS members""",
+      (SELECT count(*) FROM occ WHERE role & 2 = 2) AS imports, (SELECT count(*) FROM edges WHERE kind = 0) AS calls, (SELECT count(*) FROM edges WHERE kind = 4) AS members,
+      (SELECT count(*) FROM edges WHERE kind = 1) AS implements, (SELECT count(*) FROM edges WHERE kind = 2) AS weak, (SELECT count(*) FROM symbols WHERE def_generated) AS generated_symbols, CAST(0 AS BIGINT) AS documented,
+      (SELECT count(*) FROM (SELECT symbol_id FROM occ WHERE role & 1 = 1 GROUP BY symbol_id HAVING count(DISTINCT file_id) > 1)) AS ambiguous,
+      (SELECT CAST(sum(greatest(ref_count - coalesce(n, 0), 0)) AS BIGINT) FROM symbols LEFT JOIN (SELECT dst, count(*) AS n FROM edges WHERE kind = 0 GROUP BY dst) ON dst = id) AS unattributed""",
 )
 def _(f: Facts) -> DataFrame:
     return survey.verify_counts(f.files, f.symbols, f.occurrences, f.edges)
 
 
+@query("layer_counts", "SELECT kind, source, count(*) AS edges FROM edges GROUP BY ALL")
+def _(f: Facts) -> DataFrame:
+    return survey.layer_counts(f.edges)
+
+
+@query("concentrated", "SELECT symbol_id, min(path) AS path, count(*) AS uses FROM (SELECT symbol_id, role, CASE WHEN symbol_id % 9 = 0 THEN 1 ELSE file_id END AS file_id FROM occ) JOIN files ON files.id = file_id WHERE role & 1 = 0 GROUP BY symbol_id HAVING count(DISTINCT path) = 1 AND count(*) > 1")
+def _(f: Facts) -> DataFrame:
+    moved = f.occurrences.withColumn("file_id", F.when(F.col("symbol_id") % 9 == 0, 1).otherwise(F.col("file_id")))
+    return survey.concentrated(moved, f.files)
+
+
+@query("change_candidates", "SELECT id, ref_count FROM symbols WHERE NOT def_generated AND def_file_id IS NOT NULL ORDER BY ref_count DESC, id LIMIT 40")
+def _(f: Facts) -> DataFrame:
+    return survey.change_candidates(f.symbols).select("id", "ref_count")
+
+
+@query("file_structure", "SELECT f.path, s.def_line, s.id, s.name, s.kind FROM symbols s JOIN files f ON f.id = s.def_file_id WHERE s.kind NOT IN (4, 5)")
+def _(f: Facts) -> DataFrame:
+    return survey.structure(f.symbols, f.files)
+
+
+@query("unindexed_folders", "SELECT r_name AS folder, count(*) AS files FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey % 2 = 0 GROUP BY r_name")
+def _(f: Facts) -> DataFrame:
+    tree = f.table("nation").join(f.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat_ws("/", "r_name", "n_name").alias("path"))
+    odd = f.table("region").where("r_regionkey % 2 = 1").select(F.col("r_name").alias("region"))
+    return survey.unindexed(tree, f.files.join(odd, "region", "left_semi").unionByName(f.table("region").where("r_regionkey % 2 = 1").select(F.concat("r_name", F.lit("/x")).alias("path")), allowMissingColumns=True))
+
+
+@query(
+    "completeness",
+    """SELECT 'idiot' AS name, CASE WHEN contains(lower(text), 'clown') THEN 'accounted' WHEN contains(lower(text), 'trash') THEN 'string' WHEN contains(lower(text), '.idiot') THEN 'attribute' ELSE 'unexplained' END AS bucket, count(*) AS mentions
+    FROM doclines WHERE contains(lower(text), 'idiot') GROUP BY 2""",
+)
+def _(f: Facts) -> DataFrame:
+    low = f.lines.select("path", "line", F.lower("text").alias("text"))
+    return search.completeness(low.where(F.col("text").contains("idiot")).withColumn("name", F.lit("idiot")), low.where(F.col("text").contains("clown")), low.where(F.col("text").contains("trash")))
+
+
 # -- walks --------------------------------------------------------------------------------------
 
 
@@ -873,6 +914,13 @@ def _(f: Facts) -> DataFrame:
     return dirty.dirty_paths(events, baseline)
 
 
+@query("rebased_paths", "SELECT path, CASE WHEN id % 7 = 0 THEN 'created' WHEN id % 7 = 1 THEN 'removed' ELSE 'modified' END AS state FROM files WHERE id % 7 IN (0, 1, 2)")
+def _(f: Facts) -> DataFrame:
+    k = F.col("id") % 7
+    now = f.files.select("path", F.when(k == 2, "other").when(k != 1, F.col("content_hash")).alias("content_hash"))
+    return dirty.rebased(now, f.files.where("id % 7 <> 0"))
+
+
 @query("reindex_scheduler")
 def _(f: Facts) -> DataFrame:
     from factloom.streaming import scheduler

@@ -47,6 +47,13 @@ def dirty_paths(events: DataFrame, baseline: DataFrame) -> DataFrame:
     return both.select("path", state.alias("state")).where("state is not null")
 
 
+def rebased(dirty: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(path, state) of dirty paths (path, content_hash; null: gone) against the baseline of a new index: what it took in is clean."""
+    both = dirty.select("path", F.col("content_hash").alias("now")).join(baseline.select("path", F.col("content_hash").alias("was")), "path", "left")
+    state = F.when(F.col("was").isNull() & F.col("now").isNotNull(), "created").when(F.col("now").isNull() & F.col("was").isNotNull(), "removed").when(F.col("now") != F.col("was"), "modified")
+    return both.select("path", state.alias("state")).where("state is not null")
+
+
 def affects(dirty: DataFrame, paths: DataFrame) -> DataFrame:
     """Paths of an answer that are stale: modified or removed since the index, not created."""
     return paths.join(dirty.where("state in ('modified', 'removed')").select("path"), "path", "left_semi")

@@ -9,8 +9,8 @@ from factloom import schema as S
 from factloom import sinks
 from factloom.build import build
 from factloom.engine import Ambiguous, Engine
-from factloom.envelope import Budget, Envelope
-from factloom.sources import code, deployment, markdown, scip
+from factloom.envelope import Budget, Envelope, lines_around
+from factloom.sources import code, deployment, markdown, scip, worktree
 
 
 def varint(n):
@@ -248,3 +248,29 @@ def test_commands_over_the_tree_and_authored_knowledge(spark, engine, repo, caps
     assert said("affects", "compute")[0] in (S.FOUND, S.DEGRADED) and said("callers-of-type", "Order")[0] == S.NOT_FOUND
     assert said("unlinked", "run")[0] in (S.FOUND, S.NOT_FOUND)
     assert said("drop", "agent")[0] == S.BAD_QUERY
+
+
+def test_checked_out_commit_and_changes(spark, engine, repo, tmp_path):
+    git = tmp_path / ".git"
+    (git / "refs/heads").mkdir(parents=True)
+    at = f"file://{tmp_path}"
+    assert worktree.head_commit(spark, f"{at}/none") is None
+    (git / "HEAD").write_text("ref: refs/heads/main\n")
+    (git / "packed-refs").write_text("# pack-refs\nabc123 refs/heads/main\n")
+    assert worktree.head_commit(spark, at) == "abc123"
+    (git / "refs/heads/main").write_text("def456\n")
+    assert worktree.head_commit(spark, at) == "def456"
+    (git / "HEAD").write_text("789\n")
+    assert worktree.head_commit(spark, at) == "789"
+    assert worktree.dirty(spark, f"file://{repo}", engine.t["files"]) == set()
+    kept = (repo / "app/main.py").read_text()
+    (repo / "app/main.py").write_text(kept + "# more\n")
+    try:
+        assert worktree.dirty(spark, f"file://{repo}", engine.t["files"]) == {"app/main.py"}
+    finally:
+        (repo / "app/main.py").write_text(kept)
+    assert {r["path"] for r in worktree.indexable(spark, f"file://{repo}").collect()} >= {"app/main.py", "app/price.py"}
+
+
+def test_lines_around_a_site():
+    assert [lines_around(t, n) for t, n in ((None, 3), (100, 0), (100, 5), (100, 2), (1000, 10), (100_000, 1))] == [0, 0, None, 0, 2, 6]
