@@ -85,21 +85,19 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _features(idf: np.ndarray):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[int, int] = {}
+        """Features of (rank, text, lang, times) rows; of a repeated row a task returns one."""
+        done = set()
         for b in batches:
-            ranks, langs, at, x, usual = [], [], [], [], []
+            rows = []
             for rank, t, lang, times in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                done[rank] = done.get(rank, 0) + 1
-                g = grams(t) if done[rank] <= times else None
+                g = None if (rank, lang) in done else grams(t)
+                done.add((rank, lang))
                 if g is not None:
                     f, v = tfidf(g, idf)
-                    ranks.append(rank)
-                    langs.append(lang)
-                    at.append(f.astype(np.uint16).tobytes())
-                    x.append(v.astype(np.float32).tobytes())
-                    usual.append(common(g, idf))
-            arrays = [pa.array(c, k) for c, k in ((ranks, pa.int64()), (langs, pa.string()), (at, pa.binary()), (x, pa.binary()), (usual, pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["rank", "lang", "at", "x", "common"])
+                    rows.append((rank, lang, f.astype(np.uint16).tobytes(), v.astype(np.float32).tobytes(), common(g, idf), times))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["rank", "lang", "at", "x", "common", "times"])
 
     return run
 
@@ -145,12 +143,14 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], langs: list[str]) -> t
 
 def _train(langs: list[str]):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, usual = [], {lang: [] for lang in langs}
+        held = {}
         for b in batches:
-            for lang, c in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
-                usual[lang].append(c)
-            for d, lang, at, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                rows.append((xxhash.xxh64_intdigest(str(d)), d, lang, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)))
+            for d, lang, at, x, c, times in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                held[d, lang] = (at, x, c, times)
+        rows, usual = [], {lang: [] for lang in langs}
+        for (d, lang), (at, x, c, times) in held.items():
+            usual[lang] += [c] * times
+            rows += [(xxhash.xxh64_intdigest(str(d)), d, lang, np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64))] * times
         rows.sort(key=lambda r: r[:3])
         w, t = train([r[2:] for r in rows], langs)
         lows = [min(c) - MARGIN * (1 + 10 / len(c) ** 0.5) if c else 0.0 for c in usual.values()]
@@ -217,7 +217,7 @@ def fit(spark: SparkSession, docs: DataFrame) -> tuple[list[str], np.ndarray, np
     drawn = known.select("lang", rank.alias("rank")).withColumn("place", place).where(F.col("place") <= SAMPLE_PER_LANG)
     drawn = C.staged(spark, drawn.groupBy("lang", "rank").agg(F.count("*").alias("times")), "drawn")  # SAMPLE_PER_LANG rows of each language at most
     sample = known.withColumn("rank", rank).join(F.broadcast(drawn), ["lang", "rank"]).select("rank", "text", "lang", "times")
-    rows = sample.mapInArrow(_features(idf), "rank long, lang string, at binary, x binary, common double").repartition(1)
+    rows = sample.mapInArrow(_features(idf), "rank long, lang string, at binary, x binary, common double, times long").repartition(1)
     got = rows.mapInArrow(_train(langs), "w binary, t double, lows array<double>").first()
     return langs, idf, np.frombuffer(got["w"], np.float32).reshape(DIM + 1, len(langs)), got["t"], list(got["lows"])
 

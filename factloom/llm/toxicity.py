@@ -111,26 +111,27 @@ def train(rows: list[tuple[int, np.ndarray]], offset: float) -> tuple[float, np.
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Terms of (doc_id, y, text, rank, times) rows; a task returns a repeated row *times* times at most."""
-    memo, done = C.Memo(_term), {}
+    """Terms of (doc_id, y, text, rank, times) rows; of a repeated row a task returns one."""
+    memo, done = C.Memo(_term), set()
     for b in batches:
         rows = []
         for d, y, t, rank, times in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), C.text_bytes(b.column(2)), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-            done[rank] = done.get(rank, 0) + 1
-            if done[rank] <= times:
-                rows.append((d, y, rank, terms(t, memo).astype(np.int32).tobytes()))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "y", "rank", "at"])
+            if rank not in done:
+                done.add(rank)
+                rows.append((d, y, rank, times, terms(t, memo).astype(np.int32).tobytes()))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "y", "rank", "times", "at"])
 
 
 def _train(offset: float):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        held = {}
         for b in batches:
-            for d, y, rank, at in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                rows.append((xxhash.xxh64_intdigest(str(rank)), d, y, at))
-        rows.sort()
-        w0, w, v = train([(y, np.frombuffer(at, np.int32)) for _, _, y, at in rows], offset)
+            for d, y, rank, times, at in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                held[rank] = (xxhash.xxh64_intdigest(str(rank)), d, y, at, times)
+        rows = [(y, np.frombuffer(at, np.int32)) for _, _, y, at, times in sorted(held.values()) for _ in range(times)]
+        w0, w, v = train(rows, offset)
         yield pa.RecordBatch.from_arrays([pa.array([w0], pa.float64()), pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["w0", "w", "v"])
 
     return run
@@ -164,7 +165,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[float,
         chosen = some if chosen is None else chosen.unionAll(some)
     chosen = chosen.groupBy("doc_id", "rank").agg(F.max("y").alias("y"), F.count("*").alias("times"))
     text = C.docs_of(docs).withColumn("rank", F.xxhash64(F.lit("toxicity"), "doc_id", "text"))
-    same = text.join(F.broadcast(chosen), ["doc_id", "rank"]).select("doc_id", "y", "text", "rank", "times").mapInArrow(_sampled, "doc_id long, y int, rank long, at binary")
+    same = text.join(F.broadcast(chosen), ["doc_id", "rank"]).select("doc_id", "y", "text", "rank", "times").mapInArrow(_sampled, "doc_id long, y int, rank long, times long, at binary")
     got = same.repartition(1).mapInArrow(_train(float(np.log(share.get(1, 1.0) / share.get(0, 1.0)))), "w0 double, w binary, v binary").first()
     return got["w0"], np.frombuffer(got["w"], np.float32), np.frombuffer(got["v"], np.float32).reshape(DIM, FACTORS)
 
