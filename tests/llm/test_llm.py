@@ -179,6 +179,9 @@ def test_token_counts_match_public_tokenizer(spark):
 
 
 def test_quality_counts(spark):
+    import zstandard
+
+    z, bands = zstandard.ZstdCompressor(level=3), quality.Bands()
     for r, d in zip(queries.QUERIES["op4_quality"](spark, SMALL).orderBy("doc_id").collect(), documents(spark).orderBy("doc_id").collect(), strict=True):
         text = d["text"] or ""
         words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -188,7 +191,16 @@ def test_quality_counts(spark):
         failed = len(words) < 10 or 100 * len(again) > 20 * len(words)
         want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again), failed)
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == want
-        assert not (failed and r["kept"])
+        raw, ratio, odd, pieces = text.encode(), None, 0, []
+        if raw:
+            ratio = len(z.compress(raw)) / len(raw)
+            _, low, high = [b for b in bands.whole if len(raw) >= b[0]][-1]
+            pieces = [raw[i : i + bands.chunk_bytes] for i in range(0, len(raw), bands.chunk_bytes)] if len(raw) >= bands.chunk_bytes else []
+            if len(pieces) > 1 and 2 * len(pieces[-1]) < bands.chunk_bytes:
+                pieces[-2:] = [pieces[-2] + pieces[-1]]
+            odd = sum(len(c) for c in pieces if not bands.chunk[0] <= len(z.compress(c)) / len(c) <= bands.chunk[1])
+        assert (r["ratio"], r["odd_chunk_share"]) == (ratio, odd / len(raw) if pieces else None)
+        assert r["kept"] == (not failed and bool(raw) and low <= ratio <= high and odd <= bands.chunk_share * len(raw))
 
 
 def test_bands():
