@@ -382,7 +382,7 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def _replaced(text: Column, chunks: Column) -> Column:
-    lows = F.transform(chunks, lambda c: c[0]["start"])
+    lows = F.transform(chunks, lambda c: F.get(c, F.lit(0))["start"])
     tops = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
     before = _running("array<int>", F.lit(0), tops, lambda acc, t: F.struct(F.greatest(acc["at"], t).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
     stops = F.concat(F.slice(lows, F.lit(2), F.size(lows)), F.array(F.length(text)))
@@ -404,7 +404,7 @@ def _replaced(text: Column, chunks: Column) -> Column:
 
         return F.transform(F.array(own), inside)[0]
 
-    return F.concat(F.left(text, lows[0]), F.array_join(F.transform(cut, part), ""))
+    return F.concat(F.left(text, F.get(lows, F.lit(0))), F.array_join(F.transform(cut, part), ""))
 
 
 def redact(spark: SparkSession, docs: DataFrame, lists: Gazetteers = Gazetteers()) -> DataFrame:
@@ -415,8 +415,8 @@ def redact(spark: SparkSession, docs: DataFrame, lists: Gazetteers = Gazetteers(
     (name,) = C.fresh(docs, "found")
     rows = C.staged(spark, docs.withColumn(name, candidates(F.coalesce("text", F.lit("")), lists)), "candidates")
     weights = fit(rows.select(F.col(name).alias("found")))
-    spans = accepted(F.col(name), weights)
-    return rows.withColumn("text", F.when(F.size(name) > 0, redacted(F.coalesce("text", F.lit("")), spans)).otherwise(F.col("text"))).drop(name)
+    text = _let(accepted(F.col(name), weights), lambda spans: F.when(F.size(spans) > 0, redacted(F.col("text"), spans)).otherwise(F.col("text")))
+    return rows.withColumn("text", text).drop(name)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

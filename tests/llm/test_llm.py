@@ -249,9 +249,9 @@ def test_personal_data(spark):
 
 
 def test_redaction(spark):
-    rows = spark.createDataFrame([(1, "é mail x@y.co or +1 (555) 222-3333 now"), (2, None), (3, "clean 42")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, "é mail x@y.co or +1 (555) 222-3333 now"), (2, None), (3, "clean 42"), (4, "invoice 1234567890123456 paid"), (5, "")], "doc_id long, text string")
     got = {r["doc_id"]: r["text"] for r in pii.redact(spark, rows).collect()}
-    assert got == {1: "é mail [EMAIL] or [PHONE] now", 2: None, 3: "clean 42"}
+    assert got == {1: "é mail [EMAIL] or [PHONE] now", 2: None, 3: "clean 42", 4: "invoice 1234567890123456 paid", 5: ""}  # the fourth has a candidate that is refused
 
 
 def test_redaction_of_many_and_overlapping_spans(spark):
