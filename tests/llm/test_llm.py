@@ -4,10 +4,12 @@ import collections
 import math
 import random
 import re
+import types
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,23 @@ def test_lm_probabilities_add_up():
     assert np.allclose(whole, lm_scoring.coded(model, long, lens, cell, lm_scoring.BLOCK), rtol=1e-4)  # runs carry weights and contexts on
 
 
+def test_lm_start_weights_learn_from_every_token():
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 90))) for _ in range(60)]
+    count = collections.Counter(w for t in texts for w in [*t.encode().split(), b""])
+    totals = {k: (sum(c for w, c in count.items() if lm_scoring.word_class(w) == k), 0) for k in range(lm_scoring.CLASSES)}
+    model = lm_scoring.Model(list(count.items()), sum(count.values()), len(count), totals)
+    model.n0, model.n1 = np.random.default_rng(0).integers(0, 150, (2, lm_scoring.SLOTS)).astype(np.uint32)
+    out = list(lm_scoring._mixer(types.SimpleNamespace(value=model))(iter([pa.record_batch([pa.array(texts)], ["text"])])))
+    assert set(out[0].column(2).to_pylist()) == {sum(count.values())}
+    for at in range(0, 2000, 7):  # an event is left out of the counts that it learns from
+        for bit in (0, 1):
+            a, b = max(int(model.n0[at]) - (bit == 0), 0), max(int(model.n1[at]) - (bit == 1), 0)
+            found = model.others[2 * at + bit]
+            assert math.isclose(found.view(np.float32), math.log((b + 0.4) / (a + 0.4)), rel_tol=1e-5, abs_tol=1e-5)
+            assert found & 3 == sum(a + b >= least for least in (2, 12, 100))
+
+
 def test_segments_do_not_depend_on_what_surrounds_a_passage():
     rng = np.random.default_rng(3)
     passage = rng.integers(1, 1 << 62, 400).astype(np.uint64)
