@@ -128,6 +128,33 @@ def test_lm_start_weights_learn_from_every_token():
             assert found & 3 == sum(a + b >= least for least in (2, 12, 100))
 
 
+def test_lm_tokens_are_those_of_the_plain_split():
+    rnd = random.Random(6)
+    odd = ["  a\tB\x0bc\x1cd e \n", "", None, "x", "É É\x85y\x00z  \r\f q", " ", "ÀB a", "new words: öß Q"]
+    texts = odd + [" ".join(rnd.choice(["a", "b", "Cc", "ee", "xyz", f"r{i}"]) for i in range(rnd.randint(0, 60))) for _ in range(40)] + ["Ab " * 400_000, "c"]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    batch = pa.record_batch([pa.array(texts)], ["text"])
+    count = collections.Counter(w for ws in plain for w in [*ws, b""])
+    got = collections.Counter()
+    for b in lm_scoring._words(iter([batch, batch])):
+        for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            got[w] += c
+    assert got == {w: 2 * c for w, c in count.items()}
+    known = {w: c for w, c in count.items() if not w.startswith(b"r") and w not in (b"q", b"x")}
+    own = {k: [c for w, c in known.items() if lm_scoring.word_class(w) == k] for k in range(lm_scoring.CLASSES)}
+    totals = {k: (sum(cs), cs.count(1)) for k, cs in own.items()}
+    model = lm_scoring.Model(list(known.items()), sum(known.values()), len(known), totals)
+    place = {w: i for i, w in enumerate(model.words.to_pylist())}
+    for column in (batch.column(0), batch.column(0).cast(pa.large_string())):
+        at = 0
+        for lo, hi, flat, lens, code, words in lm_scoring.tokens_of(column, model):
+            assert lo == at and lens.tolist() == [len(ws) + 1 for ws in plain[lo:hi]]
+            assert flat.tolist() == [place.get(w, model.known + lm_scoring.word_class(w)) for ws in plain[lo:hi] for w in [*ws, b""]]
+            assert [words[i].as_py() if i >= 0 else b"" for i in code[:200].tolist()] == [w for ws in plain[lo:hi] for w in [*ws, b""]][:200]
+            at = hi
+        assert at == len(texts)
+
+
 def test_segments_do_not_depend_on_what_surrounds_a_passage():
     rng = np.random.default_rng(3)
     passage = rng.integers(1, 1 << 62, 400).astype(np.uint64)
