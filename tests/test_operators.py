@@ -221,3 +221,16 @@ def test_scheduler_query_reads_every_event(spark):
     data = "/root/testdata/sf0.001"
     events = spark.read.parquet(f"{data}/events.parquet").count()
     assert events > 500 and registry.queries()["reindex_scheduler"](spark, data).count() == events
+
+
+def test_callers_of_few_services_in_many_tasks(spark, monkeypatch):
+    from factloom import stage
+
+    links = spark.createDataFrame([(i % 2, i, 0 if i % 3 else 1, None) for i in range(60) for _ in range(2)], "service_id bigint, symbol_id bigint, role int, via_symbol bigint")
+    want = sorted((a, a % 2, b) for a in range(60) for b in range(60) if a % 3 and not b % 3 and a % 2 == b % 2)
+    found = services.cross_callers(links)
+    assert rows(found, "symbol_id", "service_id", "caller_id") == want
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are not dealt again
+    assert len({r[0] for r in found.select(F.spark_partition_id()).distinct().collect()}) > 2  # more tasks than services
+    monkeypatch.setattr(stage, "BROADCAST_ROWS", 0)
+    assert rows(services.cross_callers(links), "symbol_id", "service_id", "caller_id") == want
