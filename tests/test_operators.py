@@ -234,3 +234,17 @@ def test_callers_of_few_services_in_many_tasks(spark, monkeypatch):
     assert len({r[0] for r in found.select(F.spark_partition_id()).distinct().collect()}) > 2  # more tasks than services
     monkeypatch.setattr(stage, "BROADCAST_ROWS", 0)
     assert rows(services.cross_callers(links), "symbol_id", "service_id", "caller_id") == want
+
+
+def test_targets_by_binding_in_many_tasks(spark, monkeypatch):
+    from factloom import stage
+
+    s = symbols(spark, [(1, "H", "", 1, 1, 0, 50), *((i, f"m{i}", "H", 3, 1, i, i) for i in range(2, 20)), *((i, f"u{i}", "", 3, 2, i, i) for i in range(20, 60))])
+    f = files(spark, [(1, "a.py", False, False), (2, "b.py", False, False)])
+    links = spark.createDataFrame([(1, 1, 0, None), *((1, i, 1, None) for i in range(20, 60))], "service_id bigint, symbol_id bigint, role int, via_symbol bigint")
+    want = sorted((u, 1, m, False) for u in range(20, 60) for m in range(2, 20) if u % 3 != m % 3)
+    found = services.rpc_targets_by_binding(links, s, f)
+    assert rows(found, "symbol_id", "service_id", "method_id", "checked") == want
+    assert len({r[0] for r in found.select(F.spark_partition_id()).distinct().collect()}) > 1  # one service, several tasks
+    monkeypatch.setattr(stage, "BROADCAST_ROWS", 0)
+    assert rows(services.rpc_targets_by_binding(links, s, f), "symbol_id", "service_id", "method_id", "checked") == want
