@@ -1,6 +1,9 @@
 """Change tracking and the reindexing schedule."""
 
-from factloom.streaming import dirty
+import pytest
+from pyspark.sql import functions as F
+
+from factloom.streaming import dirty, scheduler
 from factloom.streaming.scheduler import Scheduler
 
 EVENT = "path string, ts timestamp, content_hash string, baseline_hash string"
@@ -48,3 +51,33 @@ def test_head_outranks_and_idle():
     s = Scheduler()
     s.change(0, 3)
     assert s.decide(100) == ("idle", None) and s.decide(900) == ("due", "idle")
+
+
+@pytest.mark.parametrize("gap", [0.2, 4, 12, 40, 200])
+def test_chunks_decide_as_one_run(spark, monkeypatch, gap):
+    import random
+    from datetime import UTC, datetime
+
+    rnd, start = random.Random(int(10 * gap)), datetime(2024, 1, 1, tzinfo=UTC).timestamp()
+    at, rows_ = start, []
+    for _ in range(3000):
+        at += rnd.choice([0, gap / 10, gap, 2 * gap, 20, 60] if rnd.random() < 0.02 else [0, rnd.random() * 2 * gap])
+        rows_.append((rnd.choice(["a", "a", "a", "a", "b"]), datetime.fromtimestamp(round(at, 6), UTC), "head" if rnd.random() < 0.05 else "change", rnd.choice([0, 0, 10, 70]) if rnd.random() < 0.5 else 0))
+    want = []
+    for key in ("a", "b"):
+        s = Scheduler()
+        for _, ts, op, debt in sorted((r for r in rows_ if r[0] == key), key=lambda r: (r[1], r[3], r[2])):
+            now = ts.timestamp()
+            what, why = s.decide(now)
+            want.append((key, ts.replace(tzinfo=None), what, why or ""))
+            if what == "due":
+                s.start(now)
+                s.finish(0)
+            s.head(now) if op == "head" else s.change(now, debt)
+    table = spark.createDataFrame(rows_, "key string, ts timestamp, op string, debt int")
+    for size in (37, 10_000):
+        monkeypatch.setattr(scheduler, "CHUNK", size)
+        got = scheduler.decisions(table)
+        assert sorted((r["key"], r["ts"], r["decision"], r["reason"] or "") for r in got.collect()) == sorted(want)
+    monkeypatch.setattr(scheduler, "CHUNK", 37)
+    assert scheduler.decisions(table).select(F.spark_partition_id()).distinct().count() > 2  # one repository, several tasks
