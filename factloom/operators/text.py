@@ -69,11 +69,22 @@ def section_spans(headings: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def section_hits(lines: DataFrame, sections: DataFrame, needle: str) -> DataFrame:
-    """(doc_id, start_line, heading, words, hits, in_heading) of sections that hold *needle*; a line counts for its deepest section."""
+    """(doc_id, start_line, heading, words, hits, in_heading) of sections that hold *needle*; a line counts for its deepest section.
+
+    Sections of a level follow each other, so of each level only the last that began can hold a line:
+    one sorted pass over a document keeps it, and lines are not paired with sections.
+    """
     hit = lines.where(F.lower("text").contains(needle.lower())).select("doc_id", "line")
-    on = (hit["doc_id"] == sections["doc_id"]) & hit["line"].between(sections["start_line"], sections["end_line"])
-    deep = hit.join(sections, on).groupBy(hit["doc_id"], "line").agg(F.max(F.struct("level", "start_line")).alias("s"))
-    counts = deep.groupBy("doc_id", F.col("s.start_line").alias("start_line")).agg(F.count("*").alias("hits"))
+    none = F.lit(None)
+    spots = sections.select("doc_id", F.col("start_line").cast("bigint").alias("line"), "level", F.col("end_line").cast("bigint").alias("end_line"), F.lit(0).alias("order"))
+    spots = spots.unionByName(hit.select("doc_id", F.col("line").cast("bigint").alias("line"), none.cast("int").alias("level"), none.cast("bigint").alias("end_line"), F.lit(1).alias("order")))
+    before = Window.partitionBy("doc_id").orderBy("line", "order").rowsBetween(Window.unboundedPreceding, 0)
+    place = F.shiftleft("line", 32) + F.col("end_line")  # both at once, as a number
+    last = {n: F.max(F.when(F.col("level") == n, place)).over(before) for n in range(LEVELS, 0, -1)}
+    spots = spots.select("doc_id", "line", "order", *[c.alias(f"last{n}") for n, c in last.items()]).where("order = 1")
+    start = F.coalesce(*[F.when(F.col(f"last{n}").bitwiseAND((1 << 32) - 1) >= F.col("line"), F.shiftright(f"last{n}", 32)) for n in last])
+    deep = spots.select("doc_id", "line", start.cast("int").alias("start_line")).where("start_line is not null").distinct()
+    counts = deep.groupBy("doc_id", "start_line").agg(F.count("*").alias("hits"))
     return sections.join(counts, ["doc_id", "start_line"]).select("doc_id", "start_line", "heading", "words", "hits", F.lower("heading").contains(needle.lower()).alias("in_heading"))
 
 

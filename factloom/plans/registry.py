@@ -12,6 +12,7 @@ from factloom.functions.symbols import parse_symbol
 from factloom.operators import deploy, edges, graph, knowledge, search, services, survey, text
 from factloom.plans.bridge import SQL, Facts, facts
 from factloom.sources import code, markdown
+from factloom.stage import staged
 from factloom.streaming import dirty
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -651,7 +652,7 @@ def _(f: Facts) -> DataFrame:
     LEFT JOIN (SELECT doc_id, string_agg(heading, ',' ORDER BY start_line) AS top FROM trails JOIN (SELECT doc_id, min(level) AS least FROM trails WHERE level > 1 GROUP BY doc_id) USING (doc_id) WHERE level = least GROUP BY doc_id) t USING (doc_id)""",
 )
 def _(f: Facts) -> DataFrame:
-    rows = _parsed(f)
+    rows = staged(_parsed(f), "sections")
     return text.documents(rows, rows.select("doc_id", "path").distinct()).withColumn("top", F.array_join("top", ","))
 
 
@@ -666,7 +667,7 @@ def _(f: Facts) -> DataFrame:
 )
 def _(f: Facts) -> DataFrame:
     lines = code.lines(f.markdown).select(F.col("path").cast("bigint").alias("doc_id"), (F.col("line") + 1).alias("line"), "text")
-    rows = text.sections_about(lines, _parsed(f), "CLICK")
+    rows = text.sections_about(lines, staged(_parsed(f), "sections"), "CLICK")
     return rows.select("doc_id", "start_line", "heading", "words", "hits", "in_heading", F.round(1000000 * F.col("density")).cast("bigint").alias("density"))
 
 

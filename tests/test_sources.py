@@ -1,6 +1,7 @@
 """Readers of code, prose and deployment files; a fact base from files to answers."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,3 +275,35 @@ def test_checked_out_commit_and_changes(spark, engine, repo, tmp_path):
 
 def test_lines_around_a_site():
     assert [lines_around(t, n) for t, n in ((None, 3), (100, 0), (100, 5), (100, 2), (1000, 10), (100_000, 1))] == [0, 0, None, 0, 2, 6]
+
+
+def test_long_documents_are_parsed_one_at_a_time(spark):
+    import time
+
+    import pyarrow as pa
+
+    text = "".join(f"{'#' * (1 + 7 * i % 4)} h{i}\na b\n" for i in range(60_000))
+    began = time.time()
+    title, n, cols = markdown.columns(text)
+    assert time.time() - began < 5  # no copy of the headings left for each heading
+    assert (title, n, cols["trail"][1], cols["end_line"][:5], cols["words"][:2]) == ("h0", 120_000, "h0 > (unnamed) > (unnamed) > h1", [8, 4, 6, 8, 16], [14, 2])
+    docs = [("a", "# A\nx y\n## B\nz\n# C\n"), ("b", None)]
+    batch = pa.RecordBatch.from_pydict({"path": [p for p, _ in docs], "text": [t for _, t in docs]})
+    assert [b.num_rows for b in markdown._parse(iter([batch]))] == [1, 1]
+    table = spark.createDataFrame(docs, "path string, text string")
+    got = markdown.flat(markdown.parse(table)).select("level", "trail", "start_line", "end_line", "words")
+    assert sorted(map(tuple, got.collect())) == [(1, "A", 1, 4, 5), (1, "C", 5, 5, 0), (2, "A > B", 3, 4, 1)]
+
+
+def test_hits_are_not_paired_with_sections(spark):
+    from factloom.operators import text
+
+    rnd = random.Random(5)
+    body = "".join(rnd.choice(["# a", "## b", "### c", "#### click d", "click", "plain words", "click click"]) + "\n" for _ in range(400))
+    lines = spark.createDataFrame([("1", i, x) for i, x in enumerate(body.splitlines(), 1)], "doc_id string, line int, text string")
+    _, _, found = markdown.sections(body)
+    held = [max((s["level"], s["start_line"]) for s in found if s["start_line"] <= i <= s["end_line"]) for i, x in enumerate(body.splitlines(), 1) if "click" in x and i >= found[0]["start_line"]]
+    sections = spark.createDataFrame([("1", *s.values()) for s in found], "doc_id string, level int, heading string, trail string, start_line int, end_line int, words int")
+    hits = text.section_hits(lines, sections, "Click")
+    assert sorted(map(tuple, hits.select("start_line", "hits").collect())) == sorted((start, held.count((level, start))) for level, start in set(held))
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1  # counts with their sections, no lines with sections
