@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom import schema as S
-from factloom.stage import staged
+from factloom.stage import small, staged
 
 LINES = 256
 
@@ -23,7 +23,7 @@ def dedupe_occurrences(occ: DataFrame) -> DataFrame:
 
 def definition_pick(occ: DataFrame, files: DataFrame) -> DataFrame:
     """The definition of each symbol: hand-written before generated, then the first place."""
-    own = occ.where(F.col("role").bitwiseAND(1) == 1).join(files.select(F.col("id").alias("file_id"), "generated"), "file_id")
+    own = occ.where(F.col("role").bitwiseAND(1) == 1).join(small(files.select(F.col("id").alias("file_id"), "generated")), "file_id")
     first = F.min(F.struct("generated", "file_id", "line", "col_start", F.coalesce("enc_end", F.lit((1 << 62))).alias("enc")))
     rows = own.groupBy("symbol_id").agg(first.alias("d"))
     end = F.when(F.col("d.enc") < (1 << 62), F.col("d.enc"))
@@ -67,7 +67,7 @@ def call_edges(occ: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def binder_edges(occ: DataFrame, symbols: DataFrame) -> DataFrame:
     """(src, dst, file_id, line): references outside all bodies go to the symbol defined on their line."""
-    refs = occ.where(F.col("role").bitwiseAND(1) == 0).select("file_id", "line", "col_start", "symbol_id").distinct()
+    refs = occ.where(F.col("role").bitwiseAND(1) == 0).select("file_id", "line", "col_start", "symbol_id")  # repeats fold at the end
     at = symbols.select(F.col("id").alias("binder"), F.col("def_file_id").alias("file_id"), F.col("def_line").alias("line"), "def_col_start")
     bound = refs.join(at, ["file_id", "line"]).where("binder <> symbol_id")
     held = inside(bound.select("file_id", "line", "symbol_id").distinct(), spans(symbols)).where("symbol_id <> encl").select("p.file_id", "p.line", "symbol_id").distinct()

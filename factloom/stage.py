@@ -32,6 +32,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """*df*, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def paired(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """*left* joined with *right* where few keys hold most rows, so that pairs are many and tasks by key would be few.
 
