@@ -70,7 +70,8 @@ def rpc_callers(links: DataFrame, symbols: DataFrame, files: DataFrame, edges: D
     names = symbols.select(F.col("id").alias("method_id"), X.same_rpc(F.col("name")).alias("key"))
     mine = owner.join(served, "type_id").join(names, "method_id").select("method_id", "service_id", "key").distinct()
     calls = client_calls(links, symbols, files, edges).withColumn("key", X.same_rpc(F.col("rpc")))
-    return mine.join(calls, ["service_id", "key"]).where("caller_id <> method_id").select("method_id", "service_id", "rpc", "caller_id").distinct()
+    # A key follows from a name, so no pair of a distinct method and a distinct call comes twice.
+    return paired(calls, mine, ["service_id", "key"]).where("caller_id <> method_id").select("method_id", "service_id", "rpc", "caller_id")
 
 
 def rpc_callers_of_type(links: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def rpc_callers_of_type(links: DataFrame, symbols: DataFrame, files: DataFrame,
     names = symbols.select(F.col("id").alias("method_id"), X.same_rpc(F.col("name")).alias("key"))
     mine = handler_members(links, symbols).join(names, "method_id").select("type_id", "service_id", "key").distinct()
     calls = client_calls(links, symbols, files, edges).withColumn("key", X.same_rpc(F.col("rpc")))
-    return mine.join(calls, ["service_id", "key"]).select("type_id", "service_id", "rpc", "caller_id").distinct()
+    return paired(calls, mine, ["service_id", "key"]).select("type_id", "service_id", "rpc", "caller_id")
 
 
 def outgoing_services(links: DataFrame, services: DataFrame, symbols: DataFrame, files: DataFrame, reached: DataFrame) -> DataFrame:
