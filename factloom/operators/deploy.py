@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators.edges import enclosing_type, inside, ranked, spans
 from factloom.operators.graph import distances
+from factloom.stage import small
 
 REACH_DEPTH = 12
 FILE_SYMBOLS = 40
@@ -51,7 +52,8 @@ def seeds(entries: DataFrame, symbols: DataFrame, occ: DataFrame) -> DataFrame:
     """(service, node): symbols of an entry file, and those that it refers to outside all bodies."""
     own = entries.where("entry_file is not null").select("service", F.col("entry_file").alias("file_id")).distinct()
     defined = own.join(symbols.select(F.col("def_file_id").alias("file_id"), F.col("id").alias("node")), "file_id").select("service", "node")
-    refs = occ.where(F.col("role").bitwiseAND(1) == 0).select("file_id", "line", "symbol_id").distinct().join(own.select("file_id").distinct(), "file_id", "left_semi")
+    at = small(own.select("file_id").distinct())  # before occurrences are dealt
+    refs = occ.where(F.col("role").bitwiseAND(1) == 0).select("file_id", "line", "symbol_id").join(at, "file_id", "left_semi").distinct()
     held = inside(refs.select("file_id", "line").distinct(), spans(symbols)).select("p.file_id", "p.line").distinct()
     free = refs.join(held, ["file_id", "line"], "left_anti").join(own, "file_id").select("service", F.col("symbol_id").alias("node"))
     return defined.unionAll(free).distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom import schema as S
-from factloom.stage import folder, staged
+from factloom.stage import BROADCAST_ROWS, folder, staged
 
 
 def neighbours(edges: DataFrame, symbols: DataFrame, files: DataFrame, kind: int = S.CALLS, outward: bool = False, exclude_tests: bool = False, fanout: int | None = None) -> DataFrame:
@@ -76,7 +76,8 @@ def walk_counts(nodes: DataFrame, near: DataFrame, depth: int) -> DataFrame:
 def distances(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth): fewest hops over *edges* (src, dst) from the seeds (root, node), up to *depth*.
 
-    Levels are folders of one table, so all nodes seen are one scan however deep the walk is.
+    Levels are folders of one table, so all nodes seen are one scan however deep the walk is.  A small
+    level is sent to the edges and to the nodes seen, so that a deep walk does not shuffle both a level.
     """
     spark = seeds.sparkSession
     edges = staged(edges.select("src", "dst").distinct(), "hops")
@@ -85,11 +86,21 @@ def distances(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     schema = level.schema
     for d in range(depth + 1):
         if d:
-            came = level.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-            level = came.join(spark.read.schema(schema).parquet(where), ["root", "node"], "left_anti")
+            small = size <= BROADCAST_ROWS
+            front = F.broadcast(level) if small else level
+            came = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+            seen = spark.read.schema(schema).parquet(where)
+            if small:
+                came = staged(came, "came")
+                few = came.count() <= BROADCAST_ROWS
+                met = seen.join(F.broadcast(came), ["root", "node"], "left_semi") if few else seen
+                level = came.join(F.broadcast(met) if few else met, ["root", "node"], "left_anti")
+            else:
+                level = came.join(seen, ["root", "node"], "left_anti")
         level.write.parquet(f"{where}/depth={d}")
         level = spark.read.schema(schema).parquet(f"{where}/depth={d}")
-        if level.isEmpty():
+        size = level.count()
+        if not size:
             break
     kinds = T.StructType([*schema.fields, T.StructField("depth", T.IntegerType())])
     return spark.read.schema(kinds).parquet(where)
