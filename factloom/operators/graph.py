@@ -17,28 +17,33 @@ from factloom import schema as S
 from factloom.stage import BROADCAST_ROWS, folder, staged
 
 
-def neighbours(edges: DataFrame, symbols: DataFrame, files: DataFrame, kind: int = S.CALLS, outward: bool = False, exclude_tests: bool = False, fanout: int | None = None) -> DataFrame:
+def neighbours(edges: DataFrame, symbols: DataFrame, files: DataFrame, kind: int = S.CALLS, outward: bool = False, exclude_tests: bool = False, fanout: int | None = None, paths: bool = True) -> DataFrame:
     """(parent, other, source, confidence, path, line, rank, total) for every symbol with neighbours.
 
     A neighbour's site is its last one.  Outward calls leave out parameters and locals,
     undefined symbols and generated code.  *total* counts all neighbours, *fanout* cuts the rest.
+    Sites get their paths last, where *paths* are asked for; those without a file are dealt to all tasks.
     """
     near, far = ("src", "dst") if outward else ("dst", "src")
     other = symbols.select(F.col("id").alias("other"), F.col("kind").alias("other_kind"), F.col("def_file_id").alias("other_file"))
-    where = files.select(F.col("id").alias("other_file"), "is_test", "generated")
-    rows = edges.where(F.col("kind") == kind).select(F.col(near).alias("parent"), F.col(far).alias("other"), "source", "confidence", "file_id", "line")
-    rows = rows.join(other, "other").join(where, "other_file", "left")
+    if exclude_tests or outward and kind == S.CALLS:  # the files of symbols, before edges are met
+        other = other.join(files.select(F.col("id").alias("other_file"), "is_test", "generated"), "other_file", "left")
     if exclude_tests:
-        rows = rows.where(~F.coalesce("is_test", F.lit(False)))
+        other = other.where(~F.coalesce("is_test", F.lit(False)))
     if outward and kind == S.CALLS:
-        rows = rows.where(~F.col("other_kind").isin(S.TYPE_PARAMETER, S.PARAMETER, S.META, S.LOCAL) & F.col("other_file").isNotNull() & ~F.coalesce("generated", F.lit(False)))
+        other = other.where(~F.col("other_kind").isin(S.TYPE_PARAMETER, S.PARAMETER, S.META, S.LOCAL) & F.col("other_file").isNotNull() & ~F.coalesce("generated", F.lit(False)))
+    rows = edges.where(F.col("kind") == kind).select(F.col(near).alias("parent"), F.col(far).alias("other"), "source", "confidence", "file_id", "line")
+    rows = rows.join(other.select("other"), "other")
     best = F.max(F.struct("line", (-F.col("source")).alias("low"), "confidence", "file_id"))
     one = rows.groupBy("parent", "other").agg(best.alias("b"))
     one = one.select("parent", "other", (-F.col("b.low")).alias("source"), F.col("b.confidence").alias("confidence"), F.col("b.file_id").alias("file_id"), F.col("b.line").alias("line"))
-    one = one.join(files.select(F.col("id").alias("file_id"), "path"), "file_id", "left")
     order = W.partitionBy("parent").orderBy("source", F.desc("confidence"), "other")
     one = one.withColumns({"rank": F.row_number().over(order), "total": F.count("*").over(W.partitionBy("parent"))})
     one = one if fanout is None else one.where(F.col("rank") <= fanout)
+    if not paths:
+        return one.select("parent", "other", "source", "confidence", "line", "rank", "total")
+    one = one.withColumn("spread", F.when(F.col("file_id").isNull(), F.xxhash64("parent", "other")).otherwise(0))
+    one = one.join(files.select(F.col("id").alias("file_id"), "path", F.lit(0).cast("bigint").alias("spread")), ["file_id", "spread"], "left")
     return one.select("parent", "other", "source", "confidence", "path", "line", "rank", "total")
 
 

@@ -261,7 +261,7 @@ def _(f: Facts) -> DataFrame:
       FROM (SELECT DISTINCT d.src, d.dst FROM dense d JOIN symbols s ON s.id = d.src)) WHERE rank <= 8""",
 )
 def _(f: Facts) -> DataFrame:
-    return graph.neighbours(f.part_edges, f.symbols, f.files, fanout=8).select("parent", "other", "rank", "total")
+    return graph.neighbours(f.part_edges, f.symbols, f.files, fanout=8, paths=False).select("parent", "other", "rank", "total")
 
 
 _FILTERED = """SELECT e.src AS parent, e.dst AS other, max(e.line) AS line FROM edges e JOIN symbols o ON o.id = e.dst JOIN files f ON f.id = o.def_file_id
@@ -270,7 +270,7 @@ _FILTERED = """SELECT e.src AS parent, e.dst AS other, max(e.line) AS line FROM
 
 @query("walk_calls_filtered", _FILTERED)
 def _(f: Facts) -> DataFrame:
-    return graph.neighbours(f.edges, f.symbols, f.files, outward=True).select("parent", "other", "line")
+    return graph.neighbours(f.edges, f.symbols, f.files, outward=True, paths=False).select("parent", "other", "line")
 
 
 _NEAR = """, near AS MATERIALIZED (SELECT parent, other, rank, total FROM (SELECT dst AS parent, src AS other, row_number() OVER (PARTITION BY dst ORDER BY src) AS rank, count(*) OVER (PARTITION BY dst) AS total
@@ -286,7 +286,7 @@ _NEAR = """, near AS MATERIALIZED (SELECT parent, other, rank, total FROM (SELEC
 
 
 def _walked(f: Facts) -> tuple[DataFrame, DataFrame]:
-    near = graph.neighbours(f.part_edges, f.symbols, f.files, fanout=4)
+    near = staged(graph.neighbours(f.part_edges, f.symbols, f.files, fanout=4, paths=False).select("parent", "other", "rank", "total"), "near")
     return graph.walk(f.symbols.select(F.col("id").alias("root")), near, 2), near
 
 

@@ -248,3 +248,41 @@ def test_targets_by_binding_in_many_tasks(spark, monkeypatch):
     assert len({r[0] for r in found.select(F.spark_partition_id()).distinct().collect()}) > 1  # one service, several tasks
     monkeypatch.setattr(stage, "BROADCAST_ROWS", 0)
     assert rows(services.rpc_targets_by_binding(links, s, f), "symbol_id", "service_id", "method_id", "checked") == want
+
+
+def test_large_sides_are_not_dealt_again(spark, monkeypatch):
+    s = symbols(spark, [(i, f"s{i % 3}", "", 3, 1, i, i) for i in range(1, 30)])
+    f = files(spark, [(1, "a.py", False, False)])
+    o = occurrences(spark, [(1, i, i, 0, 1, None) for i in range(1, 30)])
+    links = spark.createDataFrame([(1, 1, 0, None)], "service_id bigint, symbol_id bigint, role int, via_symbol bigint")
+    e = calls(spark, [(1, 2)])
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in edges.definition_pick(o, f)._jdf.queryExecution().executedPlan().toString()  # definitions stay where they are
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert not plan(services.rpc_callers(links, s, f, e)).startswith("Aggregate")  # pairs are distinct as they meet
+    assert plan(edges.binder_edges(o, s)).count("Aggregate") == 3  # held lines twice, bindings once; no distinct over all references
+    near = graph.neighbours(e, s, f, paths=False)
+    assert "path" not in near.columns and plan(near).count("Join") == 1  # edges meet symbols, no files
+    apart = spark.createDataFrame([(1, i, 0, 0, 1.0, None, 5) for i in range(2, 30)], e.schema)
+    assert rows(graph.neighbours(apart, s, f, outward=True), "other", "path") == [(i, None) for i in range(2, 30)]
+    assert "xxhash64" in plan(graph.neighbours(apart, s, f))  # sites without a file are no one task
+
+
+def test_distances_by_small_and_large_levels(spark, monkeypatch):
+    pairs = [(i, i + 1) for i in range(12)] + [(3, 1), (5, 20), (20, 6), (0, 7)]
+    e = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    start = spark.createDataFrame([(0, 0), (4, 4)], "root bigint, node bigint")
+    want = []
+    for root in (0, 4):
+        depth, level = {root: 0}, [root]
+        while level:
+            level = sorted({b for a, b in pairs if a in level} - set(depth))
+            depth |= {n: max(depth.values()) + 1 for n in level} if level else {}
+        want += [(root, n, d) for n, d in depth.items()]
+    for most in (500_000, 2, 0):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", most)
+        assert rows(graph.distances(start, e, 40), "root", "node", "depth") == sorted(want)
